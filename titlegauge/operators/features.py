@@ -33,8 +33,12 @@ SPACE_COLUMNS = [*SPACE_KEYS, "center", "factor"]
 def title_terms(posts: DataFrame, analyzer: str = "word", keep: Sequence[str] = ()) -> DataFrame:
     """(subreddit, id, feature, tf): one row per distinct term of each title."""
     counted = with_term_counts(posts.select("subreddit", "id", *keep, "title"), "title", analyzer)
-    return counted.select("subreddit", "id", *keep, F.explode("terms").alias("_t")).select(
-        "subreddit", "id", *keep, F.col("_t.feature").alias("feature"), F.col("_t.tf").alias("tf")
+    # explode_outer: plain explode adds a "not empty" filter that is pushed below the counting
+    # and would repeat it.
+    return (
+        counted.select("subreddit", "id", *keep, F.explode_outer("terms").alias("_t"))
+        .filter(F.col("_t").isNotNull())
+        .select("subreddit", "id", *keep, "_t.feature", "_t.tf")
     )
 
 
@@ -159,7 +163,8 @@ def raw_features(
                 lambda x, i: _cell("e", F.concat(F.lit("e"), i.cast("string")), x, x),
             )
         )
-    cells = F.explode(F.concat(*parts) if len(parts) > 1 else parts[0])
+    # Never empty; explode_outer keeps the optimizer from filtering on a second evaluation.
+    cells = F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0])
     return staged.select(*keys, cells.alias("_c")).select(*keys, "_c.*")
 
 
@@ -197,7 +202,7 @@ def featurize(
 
 
 def long_features(featurized: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return featurized.select(*keys, F.explode("features").alias("_f")).select(*keys, "_f.*")
+    return featurized.select(*keys, F.explode_outer("features").alias("_f")).select(*keys, "_f.*")
 
 
 def tfidf(posts: DataFrame, vocab: DataFrame, analyzer: str = "word") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from titlegauge.functions.values import seeded_order
 from titlegauge.operators.joins import lookup_join
 from titlegauge.operators.ranking import mark_lowest
+from titlegauge.session import cut_lineage
 
 TEST_SHARE = 0.2
 ECDF_KEYS = ["subreddit", "era", "score"]
@@ -46,7 +47,8 @@ def group_split(
     """
     keys = list(keys)
     joined = F.concat_ws("\x1f", *[F.col(name).cast("string") for name in keys])
-    groups = (
+    # The keys are read several times while the boundary is found; the pairs are not.
+    groups = cut_lineage(
         pairs.select(*keys)
         .distinct()
         .withColumn("_hash", seeded_order(joined, seed))
