@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from titlegauge.functions.text import structural
 from titlegauge.operators.joins import lookup_join
 from titlegauge.operators.ranking import average_ranks, mark_lowest
+from titlegauge.session import cut_lineage
 
 TOP_SHARE = 0.10
 MEAN_ROW = "MEAN"
@@ -73,7 +74,8 @@ def naive_spearman(labelled: DataFrame) -> DataFrame:
 def with_mean_row(table: DataFrame, name: str = "subreddit") -> DataFrame:
     """Append the plain mean of the group rows of every numeric column."""
     numeric = [c for c, kind in table.dtypes if c != name and kind not in ("string", "boolean")]
-    as_double = table.withColumns({c: F.col(c).cast("double") for c in numeric})
+    # One row per community, read twice below.
+    as_double = cut_lineage(table.withColumns({c: F.col(c).cast("double") for c in numeric}))
     mean = as_double.agg(*[F.avg(c).alias(c) for c in numeric]).withColumn(name, F.lit(MEAN_ROW))
     return as_double.unionByName(mean, allowMissingColumns=True)
 
