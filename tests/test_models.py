@@ -51,7 +51,7 @@ def dense(training, space, community):
 
 @pytest.mark.parametrize("alpha", [0.1, 10.0])
 def test_joint_fit_equals_each_closed_form(training, space, alpha):
-    model = models.fit_ridge(training, space, alphas=(alpha,)).toPandas()
+    model = models.fit_ridge(training, space, alphas=(alpha,), max_iter=500, tol=1e-12).toPandas()
     for community in ("hot", "s0"):
         x, y = dense(training, space, community)
         w, b = ridge(x.to_numpy(), y, alpha)
@@ -81,9 +81,9 @@ def test_leave_one_out_identity():
 
 
 def test_community_batches_give_the_same_model(monkeypatch, training, space):
-    whole = models.fit_ridge(training, space, alphas=(1.0,)).toPandas()
+    whole = models.fit_ridge(training, space, alphas=(1.0,), max_iter=500, tol=1e-12).toPandas()
     monkeypatch.setattr(models, "MAX_COEFFICIENTS", 60)
-    parts = models.fit_ridge(training, space, alphas=(1.0,)).toPandas()
+    parts = models.fit_ridge(training, space, alphas=(1.0,), max_iter=500, tol=1e-12).toPandas()
     key = ["subreddit", "kind", "feature"]
     both = whole.merge(parts, on=key)
     assert len(both) == len(whole) and np.allclose(both.coef_x, both.coef_y, atol=2e-4)

@@ -29,15 +29,18 @@ def clean_title(text: Column) -> Column:
     return F.when(~title.isin(REMOVED_TITLES), title)
 
 
-def structural(text: Column) -> dict[str, Column]:
-    """The eight structural signals, in the order of STRUCTURAL_NAMES."""
+def structural(text: Column, flat: Column | None = None) -> dict[str, Column]:
+    """The eight structural signals, in the order of STRUCTURAL_NAMES.
+
+    ``flat``: the text with collapsed white space, where it already exists as a column.
+    """
     raw = F.coalesce(text, F.lit(""))
-    flat = collapse_spaces(raw)
+    flat = collapse_spaces(raw) if flat is None else flat
     spaces = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
     words = F.when(flat == "", F.lit(0)).otherwise(spaces + 1).cast("double")
     chars = F.length(raw).cast("double")
-    letters = F.length(F.regexp_replace(raw, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(raw, r"[^\p{Lu}]", ""))
+    letters = F.length(F.regexp_replace(raw, r"[^\p{L}]+", ""))
+    capitals = F.length(F.regexp_replace(raw, r"[^\p{Lu}]+", ""))
     opener = F.btrim(F.lower(F.substring_index(flat, " ", 1)), F.lit(OPENER_PUNCTUATION))
 
     def flag(condition: Column) -> Column:
@@ -56,7 +59,8 @@ def structural(text: Column) -> dict[str, Column]:
 
 
 def with_structural(df: DataFrame, text: str = "title") -> DataFrame:
-    return df.withColumns(structural(F.col(text)))
+    flattened = df.withColumn("_flat", collapse_spaces(F.coalesce(F.col(text), F.lit(""))))
+    return flattened.withColumns(structural(F.col(text), F.col("_flat"))).drop("_flat")
 
 
 def words(text: Column) -> Column:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titlegauge.functions.text import STRUCTURAL_NAMES, structural, with_term_counts
+from titlegauge.functions.text import STRUCTURAL_NAMES, with_structural, with_term_counts
 from titlegauge.operators.joins import lookup_join
 from titlegauge.operators.ranking import first_n
 
@@ -75,8 +75,7 @@ def text_space(vocab: DataFrame) -> DataFrame:
 
 def structural_space(train: DataFrame) -> DataFrame:
     """Training mean and 1 / population sigma (1 where sigma is 0) of each structural feature."""
-    columns = structural(F.col("title"))
-    values = train.select("subreddit", *[c.alias(name) for name, c in columns.items()])
+    values = with_structural(train.select("subreddit", "title"))
     moments = []
     for name in STRUCTURAL_NAMES:
         moments += [F.avg(name).alias(f"m_{name}"), F.stddev_pop(name).alias(f"s_{name}")]
@@ -140,12 +139,12 @@ def raw_features(
     embedding: str | None = None,
 ) -> DataFrame:
     """(keys, kind, feature, x, raw): every raw feature of every title, one pass over the rows."""
-    staged = posts
+    # Columns first: inside the generator the expressions would be evaluated one by one, twice.
+    staged = with_structural(posts)
     if analyzer:
         staged = with_term_counts(staged, "title", analyzer)
-    values = structural(F.col("title"))
     structure = F.array(
-        *[_cell("s", F.lit(name), values[name], values[name]) for name in STRUCTURAL_NAMES],
+        *[_cell("s", F.lit(name), F.col(name), F.col(name)) for name in STRUCTURAL_NAMES],
         _cell("i", F.lit(INTERCEPT), F.lit(1.0), F.lit(1.0)),
     )
     parts = [structure]
