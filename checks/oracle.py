@@ -538,7 +538,7 @@ def all_oracles() -> dict[str, str]:
         "era_percentile": build("SELECT id, subreddit, year, score, is_test, round(label, 6) AS label FROM labelled"),
         "structural_features": build(f"SELECT id, {_r(*STRUCTURAL)} FROM structure"),
         "title_terms": build("SELECT * FROM terms"),
-        "char_terms": build(f"SELECT subreddit, id, feature, count(*) AS tf FROM ({char_grams}) GROUP BY subreddit, id, feature"),
+        "char_terms": build(f"SELECT subreddit, feature, count(*) AS tf, count(DISTINCT id) AS df FROM ({char_grams}) GROUP BY subreddit, feature"),
         "vocabulary": build(f"SELECT subreddit, feature, tf, df, round(idf, 6) AS idf FROM ({vocabulary_sql('train_terms', 'train', 3, 500)})"),
         "tfidf": build(f"SELECT subreddit, id, feature, round(weight, 6) AS weight FROM ({weights_sql('terms', 'vocab', 'subreddit, id')})"),
         "scaled_structural": build("SELECT subreddit, id, " + ", ".join(

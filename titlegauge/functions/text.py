@@ -14,13 +14,15 @@ STRUCTURAL_NAMES = [
     "has_question", "has_exclaim", "caps_ratio", "starts_wh",
 ]
 
-# Unicode white space, word runs of two or more characters (Java regex syntax).
-SPACE_RUN = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# Java regex syntax. White space other than the plain space; runs that are not one plain space
+# (most gaps are, so most text is left untouched); word runs of two or more characters.
+OTHER_SPACE = r"\t\n\x0b\f\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+IRREGULAR_GAP = rf" *[{OTHER_SPACE}][ {OTHER_SPACE}]*| {{2,}}"
 WORD_RUN = r"[\p{L}\p{N}_]{2,}"
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(text, IRREGULAR_GAP, " "))
 
 
 def clean_title(text: Column) -> Column:

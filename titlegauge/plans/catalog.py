@@ -57,6 +57,11 @@ def _clean(spark, sf):
     return ingest.clean_posts(fixtures.raw_posts(spark, sf))
 
 
+def _stored_clean(spark, sf):
+    """Clean posts as a written table, for queries that read them more than once."""
+    return cut_lineage(_clean(spark, sf))
+
+
 def _labelled(spark, sf):
     return labelled_posts(fixtures.raw_posts(spark, sf))
 
@@ -259,7 +264,7 @@ def draft_lines(spark, sf):
 
 @query
 def community_profile(spark, sf):
-    return rounded(profile.community_profile(_clean(spark, sf)))
+    return rounded(profile.community_profile(_stored_clean(spark, sf)))
 
 
 @query
@@ -385,7 +390,7 @@ def time_matched_noise(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    return labels.stratified_split(_clean(spark, sf)).select("id", "subreddit", "year", "is_test")
+    return labels.stratified_split(_stored_clean(spark, sf)).select("id", "subreddit", "year", "is_test")
 
 
 @query
@@ -398,7 +403,7 @@ def group_split(spark, sf):
 
 @query
 def ecdf_table(spark, sf):
-    split = labels.stratified_split(_clean(spark, sf))
+    split = labels.stratified_split(_stored_clean(spark, sf))
     return labels.fit_ecdf(split.filter("not is_test"))
 
 
@@ -424,13 +429,19 @@ def title_terms(spark, sf):
 
 @query
 def char_terms(spark, sf):
-    return features.title_terms(_clean(spark, sf), analyzer="char")
+    """Character n-grams of all titles, counted per community."""
+    terms = features.title_terms(_clean(spark, sf), analyzer="char")
+    return terms.groupBy("subreddit", "feature").agg(
+        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")
+    )
+
+
+def _train_of(posts):
+    return cut_lineage(labels.stratified_split(posts).filter("not is_test").drop("is_test"))
 
 
 def _train(spark, sf):
-    return cut_lineage(
-        labels.stratified_split(_clean(spark, sf)).filter("not is_test").drop("is_test")
-    )
+    return _train_of(_stored_clean(spark, sf))
 
 
 @query
@@ -440,15 +451,15 @@ def vocabulary(spark, sf):
 
 @query
 def tfidf(spark, sf):
-    posts = _clean(spark, sf)
-    vocab = cut_lineage(features.vocabulary(_train(spark, sf)))
+    posts = _stored_clean(spark, sf)
+    vocab = cut_lineage(features.vocabulary(_train_of(posts)))
     return rounded(features.tfidf(posts, vocab))
 
 
 @query
 def scaled_structural(spark, sf):
-    posts = _clean(spark, sf)
-    space = features.structural_space(_train(spark, sf))
+    posts = _stored_clean(spark, sf)
+    space = features.structural_space(_train_of(posts))
     return rounded(features.scaled_structural(posts, space))
 
 
@@ -456,8 +467,9 @@ def scaled_structural(spark, sf):
 def assembled_features(spark, sf):
     """Non-zero features per kind and title, with their sum: the assembled row, summarised."""
     keys = ["subreddit", "id"]
-    space = features.fit_space(_train(spark, sf))
-    cells = features.long_features(features.featurize(_clean(spark, sf), space, keys), keys)
+    posts = _stored_clean(spark, sf)
+    space = features.fit_space(_train_of(posts))
+    cells = features.long_features(features.featurize(posts, space, keys), keys)
     return rounded(
         cells.groupBy(*keys, "kind").agg(
             F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total")
@@ -486,11 +498,12 @@ def embedding_lookup(spark, sf):
 @query
 def embedding_features(spark, sf):
     """(subreddit, id, kind, cells, sum) of the [embedding, structure] rows."""
-    train = _train(spark, sf)
+    clean = _stored_clean(spark, sf)
+    train = _train_of(clean)
     space = features.embedding_space(train, EMBEDDING_SIZE).unionByName(
         features.structural_space(train)
     )
-    posts = features.attach_vectors(_clean(spark, sf), fixtures.post_vectors(spark, sf))
+    posts = features.attach_vectors(clean, fixtures.post_vectors(spark, sf))
     keys = ["subreddit", "id"]
     wide = features.featurize(posts, space, keys, analyzer=None, embedding="embedding")
     cells = features.long_features(wide, keys)

@@ -12,9 +12,10 @@ from titlegauge.session import cut_lineage
 def labelled_posts(raw: DataFrame, share: float = 0.2, seed: int = 0) -> DataFrame:
     """Clean posts with ``is_test`` and the era-aware ``label``.
 
-    The split is written once: labels, vocabularies and models all read it.
+    Clean posts and their split are written once: finding the split reads the posts several
+    times (few columns), and labels, vocabularies and models all read the split.
     """
-    split = cut_lineage(stratified_split(clean_posts(raw), share, seed))
+    split = cut_lineage(stratified_split(cut_lineage(clean_posts(raw)), share, seed))
     return era_percentile(split)
 
 

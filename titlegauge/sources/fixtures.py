@@ -16,9 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores.
+
+    A small file is one row group, hence one task. A table with more splits than twice the
+    cores is left alone, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per line of every document; its numbers come from one row of orders."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     orders = table(spark, sf_dir, "orders")
     verdicts = table(spark, sf_dir, "labels")
     lines = documents.select(
