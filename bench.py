@@ -12,10 +12,10 @@ from titlegauge.plans.catalog import all_queries
 from titlegauge.session import local_session
 
 HEADLINE = [
-    "clean_posts", "latest_per_community", "two_level_quota", "dedupe_posts", "community_profile",
-    "era_percentile", "structural_features", "vocabulary", "tfidf", "fixed_model", "eval_table",
-    "norm_urls", "repost_pairs", "ab_pairs", "dual_label_pairs", "time_matched_noise",
-    "pair_accuracy", "score_titles", "rank_drafts", "explain", "ranked_report", "ridge_evaluation",
+    "clean_posts", "latest_per_community", "community_profile", "era_percentile",
+    "structural_features", "vocabulary", "tfidf", "norm_urls", "repost_pairs", "ab_pairs",
+    "dual_label_pairs", "time_matched_noise", "pair_accuracy", "score_titles", "explain",
+    "ranked_report",
 ]
 
 

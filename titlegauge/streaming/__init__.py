@@ -1,0 +1 @@
+"""Nothing in scope is a stream; landed files are ingested in batches (plans/ingest.py)."""
