@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlegauge.llm import source_mix
+from titlegauge.llm import decontaminate, near_dup, source_mix
 from titlegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,23 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_source_mix,)}
+    return {f.__name__: f for f in (op7_source_mix, op8_near_duplicates, op10_decontamination)}
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op7_source_mix": source_mix.ORACLE}
+    return {
+        "op7_source_mix": source_mix.ORACLE,
+        "op8_near_duplicates": near_dup.ORACLE,
+        "op10_decontamination": decontaminate.ORACLE,
+    }
