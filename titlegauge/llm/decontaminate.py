@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titlegauge.llm.common import id_and_text, map_steps, record_batch, text_steps, written
-from titlegauge.llm.textwords import WHITE_SPACE_OR_PUNCTUATION, distinct, find_words, shingles
+from titlegauge.llm.textwords import WHITE_SPACE_OR_PUNCTUATION, distinct, find_words, row_sums, shingles
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -40,16 +40,17 @@ BROADCAST_SHINGLES = 2_000_000
 
 
 def _item_sets(items: DataFrame, words: int) -> DataFrame:
-    """(item_id, text_key, length, n, hash): every shingle of every item, with its length in words."""
+    """(item_id, variant, length, n, hash): every shingle of every item, with its length in words."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = find_words(batch.column("text"), WHITE_SPACE_OR_PUNCTUATION)
         rows, hashes = distinct(*shingles(found.row, found.first, found.hashes(), words))
         size = np.bincount(rows, minlength=batch.num_rows)
+        # Items that share an id but not the text stay apart.
         ids = batch.column("doc_id").take(pa.array(rows))
         return record_batch(
             item_id=ids,
-            variant=np.add.reduceat(hashes, np.searchsorted(rows, rows)).view(np.int64) if len(rows) else hashes.view(np.int64),
+            variant=row_sums(rows, hashes, batch.num_rows)[rows].view(np.int64),
             length=np.minimum(found.counts, words)[rows].astype(np.int32),
             n=size[rows].astype(np.int64),
             hash=hashes.view(np.int64),

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from titlegauge.llm.common import id_and_text, map_steps, record_batch, rows_of_bytes, written
 from titlegauge.llm.components import components
-from titlegauge.llm.textwords import distinct, find_words, mixed, shingles
+from titlegauge.llm.textwords import distinct, find_words, mixed, row_sums, shingles
 
 
 @dataclass(frozen=True)
@@ -128,13 +128,6 @@ def _sets(column: pa.Array, plan: NearDupPlan) -> tuple[np.ndarray, np.ndarray]:
     return distinct(*shingles(words.row, words.first, words.hashes(), plan.words))
 
 
-def _per_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=sums[1:])
-    first = np.searchsorted(rows, np.arange(n + 1))
-    return sums[first[1:]] - sums[first[:-1]]
-
-
 def shingle_sets(docs: DataFrame, plan: NearDupPlan) -> DataFrame:
     """doc_id, n (set size), h1 and h2 (the set's name), signature."""
 
@@ -142,8 +135,8 @@ def shingle_sets(docs: DataFrame, plan: NearDupPlan) -> DataFrame:
         n_rows = batch.num_rows
         rows, hashes = _sets(batch.column("text"), plan)
         size = np.bincount(rows, minlength=n_rows)
-        h1 = _per_row(rows, mixed(hashes + np.uint64(1)), n_rows)
-        h2 = _per_row(rows, mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), n_rows)
+        h1 = row_sums(rows, mixed(hashes + np.uint64(1)), n_rows)
+        h2 = row_sums(rows, mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), n_rows)
         return record_batch(
             doc_id=batch.column("doc_id"), n=size, h1=h1.view(np.int64), h2=h2.view(np.int64),
             signature=rows_of_bytes(signatures(rows, hashes, n_rows, plan.hashes)),
@@ -182,7 +175,7 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, plan: NearDupPlan) -> DataF
         rows, hashes = _sets(batch.column("text"), plan)
         first = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         members = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        h1 = _per_row(rows, mixed(hashes + np.uint64(1)), batch.num_rows)
+        h1 = row_sums(rows, mixed(hashes + np.uint64(1)), batch.num_rows)
         return record_batch(
             doc_id=batch.column("doc_id"), h1=h1.view(np.int64), members=pa.array(members, pa.binary())
         )

@@ -157,3 +157,11 @@ def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
     return rows[new], hashes[new]
+
+
+def row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum modulo 2**64 of the values of each of ``n`` rows; ``rows`` is sorted."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    first = np.searchsorted(rows, np.arange(n + 1))
+    return sums[first[1:]] - sums[first[:-1]]
