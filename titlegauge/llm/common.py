@@ -41,12 +41,14 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def text_steps(batches: Iterable[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the ``text`` of each has at most ``limit`` bytes or is one row."""
+def text_steps(
+    batches: Iterable[pa.RecordBatch], limit: int = STEP_BYTES, column: str = "text"
+) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of each have at most ``limit`` bytes or are one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         total = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < batch.num_rows:
