@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,25 @@ from titlegauge.session import cut_lineage
 STEP_BYTES = 4 << 20
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, besides their own path.
+
+    A cluster that does not share that folder gets the package by ``--py-files`` as usual.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, which survives a lost executor."""
+    let_workers_import(df.sparkSession)
     return cut_lineage(df)
 
 
@@ -36,6 +51,7 @@ def crc_remainder(doc_id: Column, n: int) -> Column:
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns under fixed names, so extra columns of the input never clash."""
+    let_workers_import(docs.sparkSession)
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")
     )

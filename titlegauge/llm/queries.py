@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlegauge.llm import decontaminate, near_dup, pii, source_mix, toxicity
+from titlegauge.llm import decontaminate, fertility, near_dup, pii, source_mix, toxicity
 from titlegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_by_fertility(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data, op3_toxicity, op7_source_mix, op8_near_duplicates, op10_decontamination)}
+    return {f.__name__: f for f in (op2_personal_data, op3_toxicity, op6_fertility, op7_source_mix, op8_near_duplicates, op10_decontamination)}
 
 
 def all_oracles() -> dict[str, str]:

@@ -93,10 +93,10 @@ class Words:
         return mixed(value + (end - start).astype(np.uint64) * _SALT)
 
 
-def find_words(column: pa.Array, separators: np.ndarray = WHITE_SPACE) -> Words:
-    """Words of each row, A-Z in lower case."""
-    raw, bounds = utf8(column)
-    text = _LOWER[raw]
+def find_words(column: pa.Array, separators: np.ndarray = WHITE_SPACE, lower: bool = True) -> Words:
+    """Words of each row, A-Z in lower case if ``lower``."""
+    text, bounds = utf8(column)
+    text = _LOWER[text] if lower else text
     inside = ~separators[text]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -150,6 +150,12 @@ def shingles(
     return rows, hashes
 
 
+def shingle_starts(row: np.ndarray, k: int) -> np.ndarray:
+    """The first word of every run of ``k`` words within a row, as ``shingles`` lists them."""
+    n = len(row)
+    return np.flatnonzero(row[: n - k + 1] == row[k - 1 :]) if n >= k else np.zeros(0, np.int64)
+
+
 def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each (row, hash) once, by row, then hash."""
     order = np.lexsort((hashes, rows))
