@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlegauge.llm import decontaminate, fertility, near_dup, pii, source_mix, toxicity
+from titlegauge.llm import decontaminate, fertility, mixing_lm, near_dup, pii, source_mix, toxicity
 from titlegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.contract_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract_spans(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_personal_data, op3_toxicity, op6_fertility, op7_source_mix, op8_near_duplicates, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op6_fertility, op7_source_mix, op8_near_duplicates, op10_decontamination)}
 
 
 def all_oracles() -> dict[str, str]:
