@@ -236,7 +236,10 @@ def count_corpus(training: DataFrame) -> DataFrame:
                 yield row(is_gram)
 
     counted = training.select("text").mapInArrow(run, "is_gram boolean, key long, n long")
-    return counted.groupBy("is_gram", "key").agg(F.sum("n").alias("n"))
+    # In random order: the weights learn from the rows as they come.
+    return counted.groupBy("is_gram", "key").agg(F.sum("n").alias("n")).sortWithinPartitions(
+        F.xxhash64("key", F.lit(1))
+    )
 
 
 def _gram_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
