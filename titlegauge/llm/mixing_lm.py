@@ -17,8 +17,8 @@ Training, on all training texts:
    averaged by the text they saw;
 4. the refining table is counted with the averaged weights.
 
-The counters have a fixed number of slots (62 MB for all tasks, whatever the corpus), which bounds what
-is broadcast. Scoring handles each distinct gram of a batch once.
+The counters' slots grow with the distinct grams up to 62 MB in all, which bounds what is broadcast;
+beyond that more contexts share a slot, and no count is dropped. Scoring handles each distinct gram of a batch once.
 
 The token baseline needs the counts of all words: words of at least a power of two occurrences, at
 most ``HOT_WORDS``, are sent to every task; the others are joined, so no frequent word is a hot key.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,10 @@ from titlegauge.llm.common import crc_remainder, id_and_text, record_batch, text
 from titlegauge.llm.textwords import byte_class, find_words, mixed, utf8
 
 ORDERS = 6
-TABLE_BITS = (21, 16, 20, 22, 22, 22)
-OFFSETS = np.cumsum([0, *[1 << b for b in TABLE_BITS]])
-N_SLOTS = int(OFFSETS[-1])
-SLOT_BLOCK = 1 << 14
+#: Slots of each predictor per distinct gram of the corpus, and at most (in bits; 4 bytes a slot).
+SLOTS_PER_GRAM = (1.0, 0.0, 0.1, 0.5, 1.5, 4.0)
+MOST_BITS = (21, 16, 20, 22, 22, 22)
+SLOT_BLOCK = 1 << 12
 START, END = 2, 3
 #: Names the end token among word hashes.
 END_WORD = np.int64(0x0E0D)
@@ -69,7 +70,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, gram) of every byte and end symbol: five bytes of context and the symbol, 48 bits."""
     text, bounds = utf8(column)
     n_rows = len(bounds) - 1
-    padded = np.full(len(text) + (ORDERS) * n_rows, START, np.uint8)
+    padded = np.full(len(text) + ORDERS * n_rows, START, np.uint8)
     row = np.repeat(np.arange(n_rows), np.diff(bounds))
     place = np.arange(len(text)) + ORDERS * row + ORDERS - 1
     padded[place] = _LOWER[text]
@@ -100,18 +101,33 @@ def contexts(gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def context_slots(gram: np.ndarray, context: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of each predictor, the bits so far as a number 1..255) for one bit of the grams' symbols."""
-    symbol = (gram & np.uint64(0xFF)).astype(np.int64)
-    node = (1 << bit) | (symbol >> (8 - bit))
-    out = np.empty((ORDERS, len(gram)), np.int64)
-    out[1] = OFFSETS[1] + context[1].astype(np.int64) * 256 + node
-    spread = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in (0, *range(2, ORDERS)):
-        h = context[k] ^ spread
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[k] = OFFSETS[k] + (h >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
-    return out, node
+@dataclass(frozen=True)
+class Slots:
+    """Where the counters of each predictor lie; the second predictor's are not hashed."""
+
+    bits: tuple[int, ...]
+
+    @classmethod
+    def for_grams(cls, n: int) -> Slots:
+        wanted = [max(12, ceil(log2(max(1.0, n * share)))) for share in SLOTS_PER_GRAM]
+        return cls(tuple(16 if k == 1 else min(w, MOST_BITS[k]) for k, w in enumerate(wanted)))
+
+    @property
+    def offsets(self) -> list[int]:
+        return np.cumsum([0, *[1 << b for b in self.bits]]).tolist()
+
+    def of(self, gram: np.ndarray, context: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of each predictor, the bits so far as 1..255) for one bit of the grams' symbols."""
+        symbol = (gram & np.uint64(0xFF)).astype(np.int64)
+        node = (1 << bit) | (symbol >> (8 - bit))
+        out, offsets = np.empty((ORDERS, len(gram)), np.int64), self.offsets
+        out[1] = offsets[1] + context[1].astype(np.int64) * 256 + node
+        spread = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k in (0, *range(2, ORDERS)):
+            h = context[k] ^ spread
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out[k] = offsets[k] + (h >> np.uint64(64 - self.bits[k])).astype(np.int64)
+        return out, node
 
 
 def bit_of(gram: np.ndarray, bit: int) -> np.ndarray:
@@ -122,13 +138,14 @@ def bit_of(gram: np.ndarray, bit: int) -> np.ndarray:
 class Mixer:
     """Counters, weights per gate, and the refining table (probabilities by bits so far and log-odds)."""
 
+    slots: Slots
     counters: np.ndarray
     weights: list[np.ndarray]
     refined: np.ndarray | None = None
 
     def inputs(self, gram: np.ndarray, context: np.ndarray, bit: int, without_self: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(log-odds of the predictors and a constant, gate numbers, bits so far)."""
-        slots, node = context_slots(gram, context, bit)
+        slots, node = self.slots.of(gram, context, bit)
         both = self.counters[slots]
         zeros, ones = (both & np.uint32(0xFFFF)).astype(np.float32), (both >> np.uint32(16)).astype(np.float32)
         if without_self:
@@ -253,7 +270,7 @@ def _gram_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tupl
             yield gram[part], count[part]
 
 
-def slot_counters(grams_table: DataFrame) -> np.ndarray:
+def slot_counters(grams_table: DataFrame, layout: Slots) -> np.ndarray:
     """The predictors' counters: for each slot the 0s in the low and the 1s in the high 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +278,7 @@ def slot_counters(grams_table: DataFrame) -> np.ndarray:
             slots, zeros, ones = [], [], []
             context = contexts(gram)
             for bit in range(8):
-                place, _ = context_slots(gram, context, bit)
+                place, _ = layout.of(gram, context, bit)
                 one = np.broadcast_to(bit_of(gram, bit), place.shape).ravel()
                 weight = np.broadcast_to(count, place.shape).ravel()
                 place = place.ravel()
@@ -295,18 +312,18 @@ def slot_counters(grams_table: DataFrame) -> np.ndarray:
         .groupBy("block")
         .applyInArrow(pack, "block long, packed binary")
     )
-    counters = np.zeros(-(-N_SLOTS // SLOT_BLOCK) * SLOT_BLOCK, np.uint32)
-    for row in written(packed).toLocalIterator():  # N_SLOTS * 4 bytes in all
+    counters = np.zeros(layout.offsets[-1], np.uint32)  # at most the sum of 2 ** MOST_BITS
+    for row in written(packed).toLocalIterator():
         begin = row["block"] * SLOT_BLOCK
         counters[begin : begin + SLOT_BLOCK] = np.frombuffer(row["packed"], np.uint32)
     return counters
 
 
-def learn_weights(grams_table: DataFrame, counters) -> list[np.ndarray]:
+def learn_weights(grams_table: DataFrame, layout: Slots, counters) -> list[np.ndarray]:
     """Weights from one online pass in each task, averaged by the symbols the tasks saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, symbols, step = Mixer(counters.value, _first_weights()), 0, 0
+        mixer, symbols, step = Mixer(layout, counters.value, _first_weights()), 0, 0
         for gram, count in _gram_batches(batches, LEARN_BATCH):
             mixer.learn(gram, count, rate=0.05 / (1 + step / 100))
             symbols, step = symbols + int(count.sum()), step + 1
@@ -326,11 +343,11 @@ def learn_weights(grams_table: DataFrame, counters) -> list[np.ndarray]:
     return weights
 
 
-def learn_refinement(grams_table: DataFrame, counters, weights: list[np.ndarray]) -> np.ndarray:
+def learn_refinement(grams_table: DataFrame, layout: Slots, counters, weights: list[np.ndarray]) -> np.ndarray:
     """How often the next bit was 1, by bits so far and mixed log-odds (shared between two steps)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(counters.value, weights)
+        mixer = Mixer(layout, counters.value, weights)
         totals = np.zeros((2, 256 * REFINE_STEPS))
         for gram, count in _gram_batches(batches, 100_000):
             context = contexts(gram)
@@ -368,7 +385,7 @@ def _hot_words(words: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return least, keys[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def _score_texts(docs: DataFrame, mixer, hot) -> DataFrame:
+def _score_texts(docs: DataFrame, model, hot) -> DataFrame:
     """Per row: score, n_tokens, and what the hot words give; the other words with their times."""
 
     def rest_words(words, which, keys):
@@ -382,7 +399,7 @@ def _score_texts(docs: DataFrame, mixer, hot) -> DataFrame:
         return cut, key[first], times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (hot_keys, hot_counts) = mixer.value, hot.value
+        mixer, (hot_keys, hot_counts) = model(), hot.value
         end_key = np.array([END_WORD], np.int64).view(np.uint64)[0]
         for batch in text_steps(batches, STEP_BYTES):
             column, n_rows = batch.column("text"), batch.num_rows
@@ -395,7 +412,7 @@ def _score_texts(docs: DataFrame, mixer, hot) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
                 cost = np.empty(len(first))
                 for a in range(0, len(first), 100_000):
-                    cost[a : a + 100_000] = model.log2_probability(name[first[a : a + 100_000]])
+                    cost[a : a + 100_000] = mixer.log2_probability(name[first[a : a + 100_000]])
                 each = np.repeat(cost, np.diff(np.append(first, len(both))))
                 some = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=each)
                 sums[begin : begin + len(some)] += some
@@ -434,13 +451,17 @@ def score_language(docs: DataFrame, training=None, id_col: str = "doc_id", text_
     n, v = total["n"] or 0, total["v"]
     grams_table = counts.filter("is_gram").select("key", "n")
     context = docs.sparkSession.sparkContext
-    counters = context.broadcast(slot_counters(grams_table))
-    weights = learn_weights(grams_table, counters)
-    refined = learn_refinement(grams_table, counters, weights)
-    mixer = context.broadcast(Mixer(counters.value, weights, refined))
+    layout = Slots.for_grams(grams_table.count())
+    counters = context.broadcast(slot_counters(grams_table, layout))
+    weights = learn_weights(grams_table, layout, counters)
+    refined = learn_refinement(grams_table, layout, counters, weights)
     least, hot_keys, hot_counts = _hot_words(words)
     hot = context.broadcast((hot_keys, hot_counts))
-    scored = written(_score_texts(docs, mixer, hot).withColumn("row", F.monotonically_increasing_id()))
+
+    def model() -> Mixer:
+        return Mixer(layout, counters.value, weights, refined)
+
+    scored = written(_score_texts(docs, model, hot).withColumn("row", F.monotonically_increasing_id()))
     rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select(
         "row", F.col("w.rest").alias("key"), F.col("w.times").alias("times")
     )
