@@ -51,9 +51,9 @@ START, END = 2, 3
 END_WORD = np.int64(0x0E0D)
 HOT_WORDS = 1 << 18
 #: Text bytes of one scoring step; more text means fewer distinct grams per byte.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 #: Distinct keys that a counting task holds before it hands them on.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 GATES = (ORDERS * 4 * 8, 256)
 LOGIT_LIMIT = 8.0
 REFINE_STEPS = 33
@@ -413,9 +413,12 @@ def _score_texts(docs: DataFrame, model, hot) -> DataFrame:
                 cost = np.empty(len(first))
                 for a in range(0, len(first), 100_000):
                     cost[a : a + 100_000] = mixer.log2_probability(name[first[a : a + 100_000]])
+                del name
                 each = np.repeat(cost, np.diff(np.append(first, len(both))))
                 some = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=each)
                 sums[begin : begin + len(some)] += some
+                del both, each
+            del row, gram
             words = find_words(column)
             keys = words.hashes()
             at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))

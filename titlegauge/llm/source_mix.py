@@ -185,6 +185,30 @@ def mix_sources(
     source_col: str = "source",
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    return _mixed(docs, plan, id_col, text_col, source_col).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken")
+    )
+
+
+def take_mix(
+    docs: DataFrame,
+    plan: MixPlan = MixPlan(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The documents of the mix with ``copies``, how many times it takes each; ids are unique.
+
+    Rows without an id cannot be told apart and are taken once.
+    """
+    mix = _mixed(docs.filter(docs[id_col].isNotNull()), plan, id_col, text_col, source_col)
+    times = mix.filter("times > 0").select(F.col("doc_id").alias("mix_id"), F.col("times").cast("int").alias("copies"))
+    taken = docs.join(times, docs[id_col].cast("long") == F.col("mix_id")).drop("mix_id")
+    return taken.unionByName(docs.filter(docs[id_col].isNull()).withColumn("copies", F.lit(1)))
+
+
+def _mixed(docs: DataFrame, plan: MixPlan, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, size, source_size, target, times (how often the mix takes the document)."""
     sized = written(
         docs.select(
             docs[id_col].cast("long").alias("doc_id"),
@@ -210,9 +234,7 @@ def mix_sources(
                 _finish(i).alias("finish"), F.col("key"), F.col("doc_id"), F.col("size"), F.lit(i).alias("time")
             )
             times = times + F.when(own <= cut, 1).otherwise(0)
-    return served.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken")
-    )
+    return served.select("doc_id", "size", "source_size", "target", times.alias("times"))
 
 
 ORACLE = r"""
