@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlegauge.llm import decontaminate, fertility, mixing_lm, near_dup, pii, secrets, source_mix, toxicity
+from titlegauge.llm import decontaminate, fertility, mixing_lm, near_dup, pii, repeats, secrets, source_mix, toxicity
 from titlegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.contract_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -47,12 +51,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op9_repeated_passages, op10_decontamination)}
 
 
 def all_oracles() -> dict[str, str]:
     return {
         "op7_source_mix": source_mix.ORACLE,
         "op8_near_duplicates": near_dup.ORACLE,
+        "op9_repeated_passages": repeats.ORACLE,
         "op10_decontamination": decontaminate.ORACLE,
     }

@@ -68,6 +68,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def running_sums(text: np.ndarray) -> np.ndarray:
+    """Sums from which ``range_hashes`` gives the hash of any byte range."""
+    power, _ = _power_tables(len(text))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], out=sums[1:])
+    return sums
+
+
+def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, back = _power_tables(len(sums) - 1)
+    return mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * _SALT)
+
+
 @dataclass
 class Words:
     """``row`` of each word, its byte range in the buffer, and the rows' word ranges."""
@@ -88,9 +101,7 @@ class Words:
         """Hashes of byte ranges, of the words by default."""
         start = self.start if start is None else start
         end = self.end if end is None else end
-        _, back = _power_tables(len(self.text))
-        value = (self.sums[end] - self.sums[start]) * back[start]
-        return mixed(value + (end - start).astype(np.uint64) * _SALT)
+        return range_hashes(self.sums, start, end)
 
 
 def find_words(column: pa.Array, separators: np.ndarray = WHITE_SPACE, lower: bool = True) -> Words:
@@ -109,10 +120,7 @@ def find_words(column: pa.Array, separators: np.ndarray = WHITE_SPACE, lower: bo
     end = np.flatnonzero(closes) + 1
     first = np.searchsorted(start, bounds)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    power, _ = _power_tables(len(text))
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], out=sums[1:])
-    return Words(text, bounds, row, start, end, first, sums)
+    return Words(text, bounds, row, start, end, first, running_sums(text))
 
 
 def _slot_factors(k: int) -> np.ndarray:
