@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlegauge.llm import decontaminate, fertility, mixing_lm, near_dup, pii, repeats, secrets, source_mix, toxicity
+from titlegauge.llm import decontaminate, fertility, licenses, mixing_lm, near_dup, pii, repeats, secrets, source_mix, toxicity
 from titlegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.contract_spans(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op9_repeated_passages, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op4_licenses, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op9_repeated_passages, op10_decontamination)}
 
 
 def all_oracles() -> dict[str, str]:
