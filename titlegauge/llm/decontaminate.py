@@ -44,14 +44,18 @@ def _item_sets(items: DataFrame, words: int) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = find_words(batch.column("text"), WHITE_SPACE_OR_PUNCTUATION)
-        rows, hashes = distinct(*shingles(found.row, found.first, found.hashes(), words))
+        # An item's shingles have `words` words, or all of its fewer words.
+        own_length, word_hash = np.minimum(found.counts, words), found.hashes()
+        parts = [shingles(found.row, found.first, word_hash, k, short=False) for k in range(1, words + 1)]
+        parts = [(r[own_length[r] == k], h[own_length[r] == k]) for k, (r, h) in enumerate(parts, 1)]
+        rows, hashes = distinct(*map(np.concatenate, zip(*parts, strict=True)))
         size = np.bincount(rows, minlength=batch.num_rows)
         # Items that share an id but not the text stay apart.
         ids = batch.column("doc_id").take(pa.array(rows))
         return record_batch(
             item_id=ids,
             variant=row_sums(rows, hashes, batch.num_rows)[rows].view(np.int64),
-            length=np.minimum(found.counts, words)[rows].astype(np.int32),
+            length=own_length[rows].astype(np.int32),
             n=size[rows].astype(np.int64),
             hash=hashes.view(np.int64),
         )

@@ -8,8 +8,9 @@ that share so long a prefix must meet in one suffix array, and no array can hold
    offsets. Windows in a row with one anchor form a segment; a text has about one per 85 bytes.
 2. Only segments whose anchor occurs again can hold a repeat. Equal segments are collapsed and
    counted first: all windows of a segment that occurs twice are repeats. A hot passage ends here.
-3. What is left are segments about the ends of repeats. Per anchor their texts make one small text,
-   whose suffix array is built; neighbours in it that share ``LENGTH`` bytes are repeats.
+3. What is left are segments about the ends of repeats. Per anchor the ones that can share a window
+   make one small text, whose suffix array is built; neighbours in it that share ``LENGTH`` bytes are
+   repeats.
 4. An anchor with more than ``LANE_SEGMENTS`` different segments is cut further: its windows are
    dealt by their own bytes (128 bits), equal ones collapsed and counted.
 
@@ -94,6 +95,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _shape(found: dict[str, np.ndarray]) -> np.ndarray:
+    """Window starts of a segment, and 256 times the anchor's place in it; both are below 256."""
+    return (found["at"] - found["first"]) * 256 + found["last"] - found["first"] + 1
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = segments(batch.column("text"))
@@ -101,18 +107,18 @@ def _anchors(docs: DataFrame) -> DataFrame:
         return record_batch(
             k1=batch.column("k1").take(row), k2=batch.column("k2").take(row),
             anchor=found["anchor"].view(np.int64), bytes=found["bytes"].view(np.int64),
-            first=found["first"], width=(found["last"] - found["first"] + 1).astype(np.int32),
+            first=found["first"], shape=_shape(found).astype(np.int32),
         )
 
     return map_steps(
-        docs.select(*KEY, "text"), step, "k1 long, k2 long, anchor long, bytes long, first long, width int"
+        docs.select(*KEY, "text"), step, "k1 long, k2 long, anchor long, bytes long, first long, shape int"
     )
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` segments with their bytes cut out of the texts."""
     lists = wanted.groupBy(*KEY).agg(
-        F.collect_list(F.struct("first", "width", "anchor", "copies", "different")).alias("cuts")
+        F.collect_list(F.struct("first", "shape", "anchor", "copies", "different")).alias("cuts")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,18 +127,19 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             cuts = batch.column("cuts")
             flat = cuts.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(cuts.offsets.to_numpy()))
-            first, width = flat.field("first").to_numpy(), flat.field("width").to_numpy()
+            first, shape = flat.field("first").to_numpy(), flat.field("shape").to_numpy()
+            width = shape % 256
             begin = bounds[row] + first
             pieces = [text[a : a + n].tobytes() for a, n in zip(begin, width + LENGTH - 1, strict=True)]
             yield record_batch(
                 k1=batch.column("k1").take(pa.array(row)), k2=batch.column("k2").take(pa.array(row)),
-                first=flat.field("first"), width=flat.field("width"), anchor=flat.field("anchor"),
+                first=flat.field("first"), width=width, at=shape // 256, anchor=flat.field("anchor"),
                 copies=flat.field("copies"), different=flat.field("different"), piece=pa.array(pieces, pa.binary()),
             )
 
     joined = docs.select(*KEY, "text").join(lists, KEY)
     return joined.mapInArrow(
-        run, "k1 long, k2 long, first long, width int, anchor long, copies long, different long, piece binary"
+        run, "k1 long, k2 long, first long, width int, at int, anchor long, copies long, different long, piece binary"
     )
 
 
@@ -169,6 +176,27 @@ def repeated_windows(pieces: list[list[bytes]], copies: list[list[int]], length:
     return out
 
 
+def _partners(pieces: list[bytes], at: list[int]) -> list[int]:
+    """Numbers of the pieces of an anchor that can share a window with another one.
+
+    All windows of a piece hold its core, the bytes between the start of its last window and the end
+    of its first. A shared window holds both cores, in the same place about the anchor.
+    """
+    cores = [(len(p) - LENGTH, LENGTH) for p in pieces]
+    kept = set()
+    for i, piece in enumerate(pieces):
+        for j in range(i + 1, len(pieces)):
+            move = at[j] - at[i]
+            if _holds(pieces[j], piece, cores[i], move) and _holds(piece, pieces[j], cores[j], -move):
+                kept |= {i, j}
+    return sorted(kept)
+
+
+def _holds(other: bytes, piece: bytes, core: tuple[int, int], move: int) -> bool:
+    low, high = core[0] + move, core[1] + move
+    return low >= 0 and high <= len(other) and other[low:high] == piece[core[0] : core[1]]
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     change = np.diff(np.r_[0, flags.astype(np.int8), 0])
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1) - 1
@@ -183,18 +211,21 @@ def _from_suffix_arrays(open_pieces: DataFrame) -> DataFrame:
         rows = rows.sort_by([("anchor", "ascending"), ("k1", "ascending"), ("k2", "ascending"), ("first", "ascending")])
         anchor = rows.column("anchor").to_numpy()
         cut = np.append(np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor))
-        pieces, copies = rows.column("piece").to_pylist(), rows.column("copies").to_pylist()
-        lanes = list(zip(cut[:-1], cut[1:], strict=True))
-        found = repeated_windows([pieces[a:b] for a, b in lanes], [copies[a:b] for a, b in lanes])
+        pieces, copies, place = (rows.column(c).to_pylist() for c in ("piece", "copies", "at"))
+        lanes = [
+            [a + i for i in _partners(pieces[a:b], place[a:b])] for a, b in zip(cut[:-1], cut[1:], strict=True)
+        ]
+        lanes = [lane for lane in lanes if lane]
+        found = repeated_windows([[pieces[i] for i in n] for n in lanes], [[copies[i] for i in n] for n in lanes])
         which, begin, end = [], [], []
         first = rows.column("first").to_numpy()
-        for (a, _), flags in zip(lanes, found, strict=True):
-            for i, own in enumerate(flags):
-                if copies[a + i] == 1 and own.any():
+        for lane, flags in zip(lanes, found, strict=True):
+            for i, own in zip(lane, flags, strict=True):
+                if copies[i] == 1 and own.any():
                     low, high = _runs(own)
-                    which += [a + i] * len(low)
-                    begin += (first[a + i] + low).tolist()
-                    end += (first[a + i] + high).tolist()
+                    which += [i] * len(low)
+                    begin += (first[i] + low).tolist()
+                    end += (first[i] + high).tolist()
         at = pa.array(which, pa.int64())
         return pa.table(
             {
@@ -241,10 +272,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     anchors = written(_anchors(docs))
     again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     members = written(anchors.join(again, "anchor"))
-    one = F.min(F.struct("k1", "k2", "first", "width")).alias("one")
+    one = F.min(F.struct("k1", "k2", "first", "shape")).alias("one")
     kinds = written(members.groupBy("anchor", "bytes").agg(F.count("*").alias("copies"), one))
     whole = members.join(kinds.filter("copies > 1").select("anchor", "bytes"), ["anchor", "bytes"]).select(
-        *KEY, "first", (F.col("first") + F.col("width") - 1).alias("last")
+        *KEY, "first", (F.col("first") + F.col("shape") % 256 - 1).alias("last")
     )
     mixed_anchors = (
         kinds.groupBy("anchor")
