@@ -10,6 +10,8 @@ import re
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 WORDS = r"[\p{L}\p{N}_]{2,}"
+STRIPPED_LINE = f"regexp_replace(line, '^{SPACES}|{SPACES}$', '', 'g')"
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WANTED = "('src0', 'src3', 'src7', 'src11', 'src19')"
 CLEAN = "id, title, subreddit, score, num_comments, year, created_utc"
 STRUCTURAL = [
@@ -132,6 +134,33 @@ def model_sql(vocab: str, terms: str, labelled: str, scaler: str) -> str:
       SELECT subreddit, 'i', '(intercept)', 0.0::DOUBLE, 1.0::DOUBLE, m FROM means"""
 
 
+def ridge_sql(structure: str, scaler: str, labelled: str, alpha: float) -> str:
+    """(subreddit, kind, feature, coef): normal equations of standardised structure, solved by
+    eliminating one column after the other; centred features leave the mean label as intercept."""
+    n = len(STRUCTURAL)
+    numbered = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(STRUCTURAL, 1))
+    return f"""
+      WITH RECURSIVE z AS (
+        SELECT subreddit, id, CASE feature {numbered} END AS f, (raw - center) * factor AS v
+        FROM ({unpivot_sql(structure, 'subreddit, id')}) JOIN {scaler} USING (subreddit, feature)),
+      products AS (
+        SELECT a.subreddit, a.f AS i, b.f AS j, sum(a.v * b.v) + any_value(CASE WHEN a.f = b.f THEN {alpha} ELSE 0 END) AS s
+        FROM z a JOIN z b ON a.subreddit = b.subreddit AND a.id = b.id GROUP BY a.subreddit, a.f, b.f
+        UNION ALL
+        SELECT z.subreddit, f, {n + 1}, sum(v * label) FROM z JOIN {labelled} l ON z.subreddit = l.subreddit AND z.id = l.id GROUP BY z.subreddit, f),
+      equations AS (SELECT subreddit, i, list(s ORDER BY j) AS r FROM products GROUP BY subreddit, i),
+      elimination AS (
+        SELECT subreddit, 0 AS k, list(r ORDER BY i) AS m FROM equations GROUP BY subreddit
+        UNION ALL
+        SELECT subreddit, k + 1, [CASE WHEN i = k + 1 THEN [x / m[k + 1][k + 1] FOR x IN m[k + 1]]
+          ELSE [m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j] FOR j IN range(1, {n + 2})] END FOR i IN range(1, {n + 1})]
+        FROM elimination WHERE k < {n})
+      SELECT subreddit, 's' AS kind, s.feature, m[CASE s.feature {numbered} END][{n + 1}] AS coef
+      FROM elimination JOIN {scaler} s USING (subreddit) WHERE k = {n}
+      UNION ALL
+      SELECT subreddit, 'i', '(intercept)', avg(label) FROM {labelled} GROUP BY subreddit"""
+
+
 def cells_sql(terms: str, structure: str, model: str, keys: str) -> str:
     """(keys, subreddit, kind, feature, raw, value, coef) of every feature of every title."""
     by = f"{keys}, subreddit"
@@ -251,21 +280,25 @@ _CTES = {
       LEFT JOIN ({spearman_sql('predicted', 'n_words', 'label', 'rho_naive')}) USING (subreddit)
       LEFT JOIN ({spearman_sql('predicted', 'prediction', 'label', 'rho_model')}) USING (subreddit)""",
     # drafts
-    "drafts": """
-      SELECT request_id, position + line_no AS position, subreddit, trim(line) AS title FROM (
-        SELECT conv_id AS request_id, 'src' || (conv_id % 20) AS subreddit, turn * 1000000 AS position,
+    "drafts": f"""
+      SELECT request_id, position + line_no AS position, subreddit, {STRIPPED_LINE} AS title FROM (
+        SELECT conv_id AS request_id, 'src' || (conv_id % 21) AS subreddit, turn * 1000000 AS position,
                generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
-        FROM (SELECT *, string_split(text, chr(10)) AS parts FROM conversations))
-      WHERE trim(line) <> ''""",
+        FROM (SELECT *, string_split_regex(text, '{LINE_END}') AS parts FROM conversations))
+      WHERE {STRIPPED_LINE} <> ''""",
     "draft_terms": terms_sql("drafts", "request_id, position, subreddit"),
     "draft_structure": structural_sql("drafts", "request_id, position, subreddit"),
     "draft_cells": cells_sql("draft_terms", "draft_structure", "model", "request_id, position"),
     "scored": f"""
-      SELECT request_id, position, subreddit, title, {BAND} AS band, {verdict_sql(BAND)} AS verdict
-      FROM ({predictions_sql('draft_cells', 'request_id, position')}) JOIN drafts USING (request_id, position)""",
+      SELECT request_id, position, subreddit, title, CASE WHEN prediction IS NOT NULL THEN {BAND} END AS band,
+             CASE WHEN prediction IS NOT NULL THEN {verdict_sql(BAND)} END AS verdict,
+             CASE WHEN prediction IS NULL THEN 'no model for ' || subreddit END AS error
+      FROM drafts LEFT JOIN ({predictions_sql('draft_cells', 'request_id, position')}) USING (request_id, position)""",
     "ranked": """
-      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY band DESC, position) AS rank
-      FROM scored QUALIFY count(*) OVER (PARTITION BY request_id) >= 2""",
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY band DESC NULLS LAST, position) AS rank,
+             CASE WHEN band IS NULL THEN 'no model' WHEN count(*) OVER (PARTITION BY request_id) < 2 THEN 'too few drafts'
+                  ELSE 'ranked' END AS status
+      FROM scored""",
     "reasons": """
       SELECT request_id, position, direction, label, contribution,
              row_number() OVER (PARTITION BY request_id, position, direction ORDER BY abs(contribution) DESC, label) AS k
@@ -336,8 +369,8 @@ _CTES = {
       SELECT l_suppkey AS clickability_test_id, l_linestatus AS eyecatcher_id, p_name AS headline, sum(l_quantity) AS impressions,
              sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END) AS clicks
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
-    "rates": """
-      SELECT clickability_test_id, eyecatcher_id, impressions, trim(headline) AS headline, clicks / impressions AS ctr
+    "rates": f"""
+      SELECT clickability_test_id, eyecatcher_id, impressions, {STRIPPED_LINE.replace('line,', 'headline,')} AS headline, clicks / impressions AS ctr
       FROM variants WHERE impressions >= 100""",
     "ab": """
       SELECT title_win, title_lose, ctr_win, ctr_lose, CAST(clickability_test_id AS VARCHAR) AS group_id, 'ab_test' AS source FROM (
@@ -429,10 +462,14 @@ def all_oracles() -> dict[str, str]:
         f"(SELECT * FROM ({scan.format(t=chosen)}) WHERE subreddit IN {WANTED})", "zero", ", month"
     )
     q50, q90, q10 = (f"quantile_cont({{c}}, {p})" for p in (0.5, 0.9, 0.1))
-    margin = "CASE WHEN ctr_lose = 0 THEN 1e300 ELSE ctr_win / nullif(ctr_lose, 0) END"
+    margin = "CASE WHEN ctr_lose = 0 THEN 'inf'::DOUBLE ELSE ctr_win / nullif(ctr_lose, 0) END"
 
-    def finite(value: str) -> str:
-        return f"CASE WHEN {value} > 1e299 THEN 'inf'::DOUBLE ELSE round({value}, 6) END"
+    def linear_quantile(values: str, p: float) -> str:
+        """Between neighbours of a sorted list; infinite ones stay infinite."""
+        at = f"((len({values}) - 1) * {p}::DOUBLE)"
+        low, high = f"{values}[floor({at})::INT + 1]", f"{values}[ceil({at})::INT + 1]"
+        inside = f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({at} - floor({at})) END"
+        return f"(SELECT CASE WHEN isinf(q) THEN q ELSE round(q, 6) END FROM (SELECT {inside} AS q))"
 
     cv = "CASE WHEN avg({x}) <> 0 THEN stddev_pop({x}) / avg({x}) ELSE 0 END"
     char_words = f"SELECT subreddit, id, unnest(string_split({flat('lower(title)')}, ' ')) AS w FROM posts"
@@ -489,8 +526,9 @@ def all_oracles() -> dict[str, str]:
         "parquet_round_trip": build("SELECT * FROM posts"),
         "rated_links": build("SELECT * REPLACE (score::DOUBLE AS score, num_comments::DOUBLE AS num_comments) FROM links"),
         "posting_times": build("SELECT id, created_utc, hour, weekend FROM timed"),
-        "draft_lines": build("""SELECT doc_id AS request_id, line_no AS position, source AS subreddit, trim(line) AS title
-          FROM lines WHERE trim(line) <> ''"""),
+        "draft_lines": build(f"""SELECT doc_id AS request_id, line_no AS position, source AS subreddit, {STRIPPED_LINE} AS title FROM (
+          SELECT doc_id, source, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
+          FROM (SELECT doc_id, source, string_split_regex(text, '{LINE_END}') AS parts FROM documents)) WHERE {STRIPPED_LINE} <> ''"""),
         "community_profile": build(f"""SELECT subreddit, count(*) AS n_rows, round({q50.format(c='score')}, 6) AS median_score,
           CAST(floor({q90.format(c='score')}) AS BIGINT) AS p90_score, max(score) AS max_score FROM posts GROUP BY subreddit"""),
         "rows_per_year": build("SELECT year, count(*) AS n_rows FROM posts GROUP BY year"),
@@ -498,8 +536,8 @@ def all_oracles() -> dict[str, str]:
         "table_summary": build("""SELECT count(*) AS n_rows, count(DISTINCT subreddit) AS n_communities, min(year) AS first_year, max(year) AS last_year FROM posts"""),
         "variant_summary": build(f"""SELECT count(*) AS n_rows, count(DISTINCT clickability_test_id) AS n_tests,
           CAST(floor({q50.format(c='impressions')}) AS BIGINT) AS median_impressions, CAST(floor({q10.format(c='impressions')}) AS BIGINT) AS p10_impressions FROM variants"""),
-        "ab_pair_summary": build(f"""SELECT n_pairs, n_groups, {finite('a')} AS median_margin, {finite('b')} AS p90_margin FROM (
-          SELECT count(*) AS n_pairs, count(DISTINCT group_id) AS n_groups, {q50.format(c=margin)} AS a, {q90.format(c=margin)} AS b FROM ab)"""),
+        "ab_pair_summary": build(f"""SELECT n_pairs, n_groups, {linear_quantile('m', 0.5)} AS median_margin, {linear_quantile('m', 0.9)} AS p90_margin FROM (
+          SELECT count(*) AS n_pairs, count(DISTINCT group_id) AS n_groups, list({margin} ORDER BY {margin}) AS m FROM ab)"""),
         "ratio_summary": build(f"""SELECT count(*) AS n_rows, round({q50.format(c='upvote_ratio')}, 6) AS median_ratio,
           round({q10.format(c='upvote_ratio')}, 6) AS p10_ratio FROM links WHERE upvote_ratio IS NOT NULL"""),
         "repost_groups_per_community": build("SELECT sub, count(*) AS n_groups FROM groups GROUP BY sub"),
@@ -539,8 +577,10 @@ def all_oracles() -> dict[str, str]:
         "structural_features": build(f"SELECT id, {_r(*STRUCTURAL)} FROM structure"),
         "title_terms": build("SELECT * FROM terms"),
         "char_terms": build(f"SELECT subreddit, feature, count(*) AS tf, count(DISTINCT id) AS df FROM ({char_grams}) GROUP BY subreddit, feature"),
-        "vocabulary": build(f"SELECT subreddit, feature, tf, df, round(idf, 6) AS idf FROM ({vocabulary_sql('train_terms', 'train', 3, 500)})"),
+        "vocabulary": build(f"SELECT subreddit, feature, tf, df, round(idf, 6) AS idf FROM ({vocabulary_sql('train_terms', 'train', 3, 20000)})"),
         "tfidf": build(f"SELECT subreddit, id, feature, round(weight, 6) AS weight FROM ({weights_sql('terms', 'vocab', 'subreddit, id')})"),
+        "ridge_structural": build(f"SELECT subreddit, kind, feature, round(coef, 4) AS coef FROM ({ridge_sql('train_structure', 'scaler', 'train', 10.0)})"),
+        "ridge_model": build("SELECT subreddit, kind, feature, true AS optimal FROM model"),
         "scaled_structural": build("SELECT subreddit, id, " + ", ".join(
             f"round(max(CASE WHEN feature = '{n}' THEN value END), 6) AS {n}" for n in STRUCTURAL
         ) + f" FROM ({scaled}) GROUP BY subreddit, id"),
@@ -591,7 +631,7 @@ def all_oracles() -> dict[str, str]:
         "explain": build("""SELECT request_id, position, direction, k, label, round(contribution, 6) AS contribution FROM reasons WHERE k <= 5"""),
         "explanation_text": build("SELECT request_id, position, boosted_by, hurt_by FROM reason_text", k=3),
         "confidence": build("SELECT subreddit, round(rho, 6) AS rho, level, note FROM trust"),
-        "ranked_report": build("""SELECT r.request_id, r.position, r.subreddit, r.title, round(r.band, 6) AS band, r.verdict, t.boosted_by, t.hurt_by,
+        "ranked_report": build("""SELECT r.request_id, r.position, r.subreddit, r.title, round(r.band, 6) AS band, r.verdict, r.error, r.status, t.boosted_by, t.hurt_by,
           r.rank, c.level, c.note FROM ranked r JOIN reason_text t USING (request_id, position) LEFT JOIN trust c ON c.subreddit = r.subreddit""", k=5),
     }
     return oracles

@@ -51,14 +51,14 @@ def dense(training, space, community):
 
 @pytest.mark.parametrize("alpha", [0.1, 10.0])
 def test_joint_fit_equals_each_closed_form(training, space, alpha):
-    model = models.fit_ridge(training, space, alphas=(alpha,), max_iter=500, tol=1e-12).toPandas()
+    model = models.fit_ridge(training, space, alphas=(alpha,)).toPandas()
     for community in ("hot", "s0"):
         x, y = dense(training, space, community)
         w, b = ridge(x.to_numpy(), y, alpha)
         mine = model[model.subreddit == community].set_index(["kind", "feature"]).coef
-        assert np.allclose(mine.loc[list(x.columns)].to_numpy(), w, atol=2e-4)
+        assert np.allclose(mine.loc[list(x.columns)].to_numpy(), w, atol=1e-5)
         intercept = mine.loc[("i", features.INTERCEPT)] * models.INTERCEPT_FACTOR
-        assert intercept == pytest.approx(b, abs=2e-4)
+        assert intercept == pytest.approx(b, abs=1e-5)
 
 
 def test_chosen_alpha_is_close_to_leave_one_out(training, space):
@@ -81,12 +81,12 @@ def test_leave_one_out_identity():
 
 
 def test_community_batches_give_the_same_model(monkeypatch, training, space):
-    whole = models.fit_ridge(training, space, alphas=(1.0,), max_iter=500, tol=1e-12).toPandas()
+    whole = models.fit_ridge(training, space, alphas=(1.0,)).toPandas()
     monkeypatch.setattr(models, "MAX_COEFFICIENTS", 60)
-    parts = models.fit_ridge(training, space, alphas=(1.0,), max_iter=500, tol=1e-12).toPandas()
+    parts = models.fit_ridge(training, space, alphas=(1.0,)).toPandas()
     key = ["subreddit", "kind", "feature"]
     both = whole.merge(parts, on=key)
-    assert len(both) == len(whole) and np.allclose(both.coef_x, both.coef_y, atol=2e-4)
+    assert len(both) == len(whole) and np.allclose(both.coef_x, both.coef_y, atol=1e-5)
 
 
 def test_contributions_add_up_to_the_prediction(training, space):

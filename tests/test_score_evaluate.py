@@ -19,16 +19,18 @@ def test_confidence_levels(spark):
 
 def test_draft_lines(spark):
     df = spark.createDataFrame(
-        [(1, "s", 0, " a \n\n b\r\nc"), (2, "s", 0, None)],
+        [(1, "s", 0, " a \n\n b\r\nc\n\t\n\td\u00a0"), (2, "s", 0, None)],
         "request_id long, subreddit string, position long, drafts string",
     )
     got = [(r.position, r.title) for r in score.draft_lines(df).orderBy("position").collect()]
-    assert got == [(0, "a"), (2, "b"), (3, "c")]
+    assert got == [(0, "a"), (2, "b"), (3, "c"), (5, "d")]
 
 
 def scored(spark, bands):
     rows = [(1, i, "s", f"t{i}", float(b), "x") for i, b in enumerate(bands)]
     rows.append((2, 0, "s", "alone", 10.0, "x"))
+    rows.append((3, 0, "no", "unknown", None, None))
+    rows.append((3, 1, "s", "known", 5.0, "x"))
     return spark.createDataFrame(
         rows, "request_id long, position long, subreddit string, title string, band double, verdict string"
     )
@@ -37,10 +39,12 @@ def scored(spark, bands):
 def test_rank_ties_keep_input_order(spark):
     df = scored(spark, [50, 100, 100, 0, 50])
     got = score.rank_drafts(df).orderBy("rank").collect()
-    assert [r.position for r in got] == [1, 2, 0, 4, 3] and {r.request_id for r in got} == {1}
-    assert score.rank_drafts(df, min_drafts=1).count() == 6
+    assert [r.position for r in got if r.request_id == 1] == [1, 2, 0, 4, 3]
+    status = {(r.request_id, r.position): (r.rank, r.status) for r in got if r.request_id > 1}
+    assert status == {(2, 0): (1, "too few drafts"), (3, 0): (2, "no model"), (3, 1): (1, "ranked")}
+    assert {r.status for r in score.rank_drafts(df, min_drafts=1).collect()} == {"ranked", "no model"}
     best = {r.request_id: r.position for r in score.strongest_draft(df).collect()}
-    assert best == {1: 1, 2: 0}
+    assert best == {1: 1, 2: 0, 3: 1}
 
 
 MODEL = "subreddit string, kind string, feature string, center double, factor double, coef double"

@@ -87,7 +87,13 @@ def test_whole_numbers(spark):
         ("12", 12), (" -3 ", -3), ("12.7", None), ("1e3", None), ("", None), (None, None),
         ("99999999999999999999", None),
     ]:
-        assert one(spark, values.whole_number, raw) == expected
+        df = spark.createDataFrame([(raw,)], "x string")
+        assert df.select(values.whole_number(df, "x")).first()[0] == expected
+    for raw, expected in [(12.0, 12), (12.7, 12), (-3.9, -3), (None, None), (float("nan"), None), (1e300, None)]:
+        df = spark.createDataFrame([(raw,)], "x double")
+        assert df.select(values.whole_number(df, "x")).first()[0] == expected
+    df = spark.createDataFrame([(7,)], "x int")
+    assert df.select(values.whole_number(df, "x")).first()[0] == 7
 
 
 def test_hours_and_weekends(spark):

@@ -25,6 +25,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, IRREGULAR_GAP, " "))
 
 
+def strip_spaces(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, rf"^[ {OTHER_SPACE}]+|[ {OTHER_SPACE}]+$", "")
+
+
 def clean_title(text: Column) -> Column:
     """White-space runs become one space; removed or empty titles become null."""
     title = collapse_spaces(text)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Verdict floors on the 0-100 band, margin bucket edges, pairing tolerances.
 VERDICTS = [(75.0, "strong"), (50.0, "above average"), (25.0, "below average")]
@@ -12,9 +13,12 @@ MARGIN_BUCKETS = [(1.0, 2.0, "<2x"), (2.0, 5.0, "2-5x"), (5.0, 20.0, "5-20x"), (
 TIME_MATCH_HOURS = 3
 
 
-def whole_number(text: Column) -> Column:
-    """Signed integer text to bigint; null when the text is anything else."""
-    plain = F.trim(text.cast("string"))
+def whole_number(df: DataFrame, name: str) -> Column:
+    """Column ``name`` as bigint: numbers lose their fraction, text must be a signed integer, and
+    anything else (also a number that is none, or too large) is null."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(name).try_cast("bigint")
+    plain = F.trim(F.col(name).cast("string"))
     return F.when(plain.rlike(r"^[+-]?[0-9]+$"), plain.try_cast("bigint"))
 
 

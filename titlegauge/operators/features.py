@@ -44,23 +44,25 @@ def title_terms(posts: DataFrame, analyzer: str = "word", keep: Sequence[str] =
 
 def vocabulary(
     train: DataFrame, min_df: int = MIN_DF, max_features: int = MAX_FEATURES,
-    analyzer: str = "word",
+    analyzer: str = "word", weight: str | None = None,
 ) -> DataFrame:
     """(subreddit, feature, tf, df, idf): terms in ``min_df`` training titles of the community,
     the ``max_features`` most frequent (ties by term), with smoothed inverse document frequency.
+    A row with a ``weight`` counts as that many titles.
     """
-    terms = title_terms(train, analyzer)
+    times = F.col(weight) if weight else F.lit(1)
+    terms = title_terms(train, analyzer, keep=[weight] if weight else [])
     counted = (
         terms.groupBy("subreddit", "feature")
-        .agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+        .agg(F.sum(F.col("tf") * times).alias("tf"), F.sum(times).alias("df"))
         .filter(F.col("df") >= min_df)
     )
     kept = first_n(
         counted, ["subreddit"], [F.desc("tf"), F.col("feature")], max_features,
         salts=VOCABULARY_SALTS, spread=["feature"],
     )
-    sizes = train.groupBy("subreddit").agg(F.count(F.lit(1)).alias("_n"))
-    idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
+    sizes = train.groupBy("subreddit").agg(F.sum(times).alias("_size"))
+    idf = F.log((1 + F.col("_size")) / (1 + F.col("df"))) + 1
     return lookup_join(kept, sizes, ["subreddit"], spread=["feature"]).select(
         "subreddit", "feature", "tf", "df", idf.alias("idf")
     )
@@ -73,12 +75,24 @@ def text_space(vocab: DataFrame) -> DataFrame:
     )
 
 
-def structural_space(train: DataFrame) -> DataFrame:
-    """Training mean and 1 / population sigma (1 where sigma is 0) of each structural feature."""
-    values = with_structural(train.select("subreddit", "title"))
+def structural_space(train: DataFrame, weight: str | None = None) -> DataFrame:
+    """Training mean and 1 / population sigma (1 where sigma is 0) of each structural feature.
+
+    A row with a ``weight`` counts as that many titles.
+    """
+    values = with_structural(train.select("subreddit", "title", *([weight] if weight else [])))
     moments = []
     for name in STRUCTURAL_NAMES:
-        moments += [F.avg(name).alias(f"m_{name}"), F.stddev_pop(name).alias(f"s_{name}")]
+        if weight:
+            n, x = F.sum(weight), F.col(name)
+            mean = F.sum(x * F.col(weight)) / n
+            square = F.sum(x * x * F.col(weight)) / n
+            sigma = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+            # Rounding leaves a trace of a variance that is none.
+            sigma = F.when(sigma > 1e-7 * F.sqrt(square), sigma).otherwise(0.0)
+        else:
+            mean, sigma = F.avg(name), F.stddev_pop(name)
+        moments += [mean.alias(f"m_{name}"), sigma.alias(f"s_{name}")]
     stats = values.groupBy("subreddit").agg(*moments)
     rows = F.array(
         *[
@@ -116,12 +130,12 @@ def intercept_space(communities: DataFrame, factor: float = 1.0) -> DataFrame:
 
 def fit_space(
     train: DataFrame, min_df: int = MIN_DF, max_features: int = MAX_FEATURES,
-    analyzer: str = "word", intercept_factor: float = 1.0,
+    analyzer: str = "word", intercept_factor: float = 1.0, weight: str | None = None,
 ) -> DataFrame:
     """Text, structural and intercept features of every community, from training rows only."""
-    text = text_space(vocabulary(train, min_df, max_features, analyzer))
+    text = text_space(vocabulary(train, min_df, max_features, analyzer, weight))
     return (
-        text.unionByName(structural_space(train))
+        text.unionByName(structural_space(train, weight))
         .unionByName(intercept_space(train, intercept_factor))
         .select(*SPACE_COLUMNS)
     )

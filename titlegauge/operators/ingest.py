@@ -38,11 +38,11 @@ def clean_posts(
         "id",
         clean_title(F.col("title")).alias("title"),
         "subreddit",
-        whole_number(F.col("score")).alias("score"),
-        F.coalesce(whole_number(F.col("num_comments")), F.lit(0).cast("long")).alias(
+        whole_number(raw, "score").alias("score"),
+        F.coalesce(whole_number(raw, "num_comments"), F.lit(0).cast("long")).alias(
             "num_comments"
         ),
-        whole_number(F.col("created_utc")).alias("created_utc"),
+        whole_number(raw, "created_utc").alias("created_utc"),
         *keep,
     ).filter(F.col("title").isNotNull() & (F.col("score") >= min_score))
     if bad_time == "drop":
@@ -157,7 +157,7 @@ def external_links(raw: DataFrame, key: Column | None = None) -> DataFrame:
             "sub",
             (F.col("_identity") if key is None else key).alias("nurl"),
             clean_title(F.col("title")).alias("title"),
-            whole_number(F.col("score")).alias("score"),
+            whole_number(raw, "score").alias("score"),
             "upvote_ratio",
             "num_comments",
             "id",
@@ -172,7 +172,7 @@ def with_month(rows: DataFrame) -> DataFrame:
 
     Unreadable timestamps share the month '0000-00' and the place 0.
     """
-    seconds = whole_number(F.col("created_utc"))
+    seconds = whole_number(rows, "created_utc")
     return rows.withColumns(
         {
             "month": F.coalesce(utc_month(seconds), F.lit("0000-00")),

@@ -14,6 +14,7 @@ from titlegauge.session import cut_lineage
 
 TEST_SHARE = 0.2
 ECDF_KEYS = ["subreddit", "era", "score"]
+NO_ERA = -(1 << 31)
 
 
 def with_hash_order(df: DataFrame, key: Column, seed: int, out: str = "_hash") -> DataFrame:
@@ -90,10 +91,9 @@ def apply_ecdf(posts: DataFrame, ecdf: DataFrame, era: str = "year") -> DataFram
 
     Labels are worked out once per distinct (community, era, score) and looked up by the posts.
     """
-    asked = (
-        posts.select("subreddit", F.col(era).cast("int").alias("post_era"), "score")
-        .distinct()
-    )
+    # Posts without an era share a stand-in for it, so that they can be looked up.
+    placed = posts.withColumn("_era", F.coalesce(F.col(era).cast("int"), F.lit(NO_ERA)))
+    asked = placed.select("subreddit", F.col("_era").alias("post_era"), "score").distinct()
     trained = ecdf.select("subreddit", "era").distinct().withColumn("known", F.lit(True))
     eras = trained.filter(F.col("era").isNotNull()).withColumnRenamed("era", "post_era")
     points = asked.join(eras, ["subreddit", "post_era"], "left").withColumn(
@@ -121,9 +121,9 @@ def apply_ecdf(posts: DataFrame, ecdf: DataFrame, era: str = "year") -> DataFram
             & same_era
             & (F.col("p.score") == F.col("q.score")),
         )
-        .select("p.subreddit", F.col("p.post_era").alias(era), "p.score", "q.label")
+        .select("p.subreddit", F.col("p.post_era").alias("_era"), "p.score", "q.label")
     )
-    return lookup_join(posts, labelled, ["subreddit", era, "score"], spread=["id"])
+    return lookup_join(placed, labelled, ["subreddit", "_era", "score"], spread=["id"]).drop("_era")
 
 
 def era_percentile(posts: DataFrame, era: str = "year", test: str = "is_test") -> DataFrame:

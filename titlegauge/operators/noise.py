@@ -12,12 +12,6 @@ from titlegauge.operators.profile import one_row
 from titlegauge.operators.ranking import exact_quantiles, interpolated
 
 
-def same_content(links: DataFrame) -> DataFrame:
-    """Rated links of groups with at least two distinct titles."""
-    rated = rated_links(links)
-    return rated.join(repost_groups(rated).select(*GROUP), GROUP, "left_semi")
-
-
 def _variation(value: Column) -> Column:
     mean = F.avg(value)
     return F.when(mean != 0, F.stddev_pop(value) / F.nullif(mean, F.lit(0.0))).otherwise(0.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from titlegauge.functions.values import (
     is_weekend, margin_bucket, number_or_zero, seeded_order, smoothed_ratio, time_matched, utc_hour,
 )
+from titlegauge.functions.text import strip_spaces
 from titlegauge.operators.joins import pairs_within
 from titlegauge.operators.ranking import (
     exact_quantiles, first_n, global_index, interpolated, upper_median,
@@ -118,7 +119,7 @@ def ab_click_rates(variants: DataFrame, min_impressions: float = MIN_IMPRESSIONS
     complete = variants.dropna(subset=["headline", "impressions", "clicks", "eyecatcher_id"])
     return complete.filter(F.col("impressions") >= min_impressions).select(
         "clickability_test_id", "eyecatcher_id", "impressions",
-        F.trim("headline").alias("headline"),
+        strip_spaces(F.col("headline")).alias("headline"),
         (F.col("clicks") / F.col("impressions")).alias("ctr"),
     )
 
@@ -267,7 +268,3 @@ def viability(
 def with_margin(pairs: DataFrame) -> DataFrame:
     ratio = (F.col("score_win") + 1) / (F.col("score_lose") + 1)
     return pairs.withColumn("margin", margin_bucket(ratio))
-
-
-def median_ratio(groups: DataFrame, value: str, weight: str | None = None) -> DataFrame:
-    return exact_quantiles(groups, [], value, {"median": interpolated(0.5)}, weight)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from titlegauge.functions.values import seeded_order
 from titlegauge.operators.ranking import exact_quantiles, interpolated
 
-# Stands for an unbounded margin (the losing side has no clicks) while ranking.
-UNBOUNDED = 1e300
-
 
 def one_row(*frames: DataFrame) -> DataFrame:
     """Single-row summaries side by side, without a cross join."""
@@ -80,16 +77,11 @@ def ab_pair_summary(pairs: DataFrame) -> DataFrame:
     counts = pairs.agg(
         F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("group_id").alias("n_groups")
     )
-    margin = F.when(F.col("ctr_lose") == 0, F.lit(UNBOUNDED)).otherwise(
+    margin = F.when(F.col("ctr_lose") == 0, F.lit(float("inf"))).otherwise(
         F.col("ctr_win") / F.nullif(F.col("ctr_lose"), F.lit(0.0))
     )
     names = {"median_margin": interpolated(0.5), "p90_margin": interpolated(0.9)}
-    spread = exact_quantiles(pairs.withColumn("margin", margin), [], "margin", names)
-    finite = {
-        name: F.when(F.col(name) > UNBOUNDED / 10, F.lit(float("inf"))).otherwise(F.col(name))
-        for name in names
-    }
-    return one_row(counts, spread.withColumns(finite))
+    return one_row(counts, exact_quantiles(pairs.withColumn("margin", margin), [], "margin", names))
 
 
 def ratio_summary(links: DataFrame) -> DataFrame:

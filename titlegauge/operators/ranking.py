@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from titlegauge.operators.joins import lookup_join
 
 BUCKETS_PER_OCTAVE = 4096
+# Above the bucket of every finite number; infinity has it to itself.
+TOP_BUCKET = 1 << 40
 INDEX_BUCKETS = 4096
 
 
@@ -26,7 +28,9 @@ def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     row count is.
     """
     number = value.cast("double")
-    return F.floor(F.signum(number) * F.log2(1 + F.abs(number)) * per_octave).cast("long")
+    finite = F.floor(F.signum(number) * F.log2(1 + F.abs(number)) * per_octave)
+    top = F.lit(TOP_BUCKET)
+    return F.when(F.abs(number) == float("inf"), F.signum(number) * top).otherwise(finite).cast("long")
 
 
 def first_n(
@@ -146,7 +150,8 @@ def exact_quantiles(
 
         low, high = value_at(F.floor(at)), value_at(F.ceil(at))
         fraction = F.max(at - F.floor(at))
-        aggregates.append((low + (high - low) * fraction).alias(name))
+        between = F.when((fraction == 0) | (low == high), low).otherwise(low + (high - low) * fraction)
+        aggregates.append(between.alias(name))
     return candidates.groupBy(*keys).agg(*aggregates)
 
 

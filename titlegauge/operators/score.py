@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titlegauge.functions.text import strip_spaces
 from titlegauge.functions.values import verdict
 from titlegauge.operators.features import featurize
 from titlegauge.operators.ranking import ordinal_rank
@@ -38,15 +39,18 @@ NOTE_LOW = (
     "so treat the score as a rough guess."
 )
 NOTHING_NOTABLE = "(nothing notable)"
+RANKED, NO_MODEL, TOO_FEW = "ranked", "no model", "too few drafts"
 SMALLEST_CONTRIBUTION = 1e-9
+# A pair of carriage return and line feed ends one line; so do the separators of text files.
+LINE_ENDS = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def draft_lines(requests: DataFrame) -> DataFrame:
     """One row per non-empty trimmed line of ``drafts``; ``position`` grows with the line."""
-    lines = F.posexplode(F.split(F.coalesce("drafts", F.lit("")), r"\R"))
+    lines = F.posexplode(F.split(F.coalesce("drafts", F.lit("")), LINE_ENDS))
     return (
         requests.select("request_id", "subreddit", "position", lines.alias("_line", "_text"))
-        .withColumn("title", F.trim("_text"))
+        .withColumn("title", strip_spaces(F.col("_text")))
         .filter(F.col("title") != "")
         .select(
             "request_id", (F.col("position") + F.col("_line")).alias("position"),
@@ -75,25 +79,34 @@ def band(prediction: Column) -> Column:
 def score_titles(
     posts: DataFrame, model: DataFrame, keys: Sequence[str], analyzer: str = "word"
 ) -> DataFrame:
-    """0-100 band and verdict per title. Titles of communities without a model do not appear."""
+    """0-100 band and verdict per title. A title of a community without a model has neither, and an
+    ``error`` that says so."""
     scored = predict(posts, model, keys, analyzer).withColumn("band", band(F.col("prediction")))
-    return scored.withColumn("verdict", verdict(F.col("band")))
+    scored = scored.withColumns(
+        {"verdict": verdict(F.col("band")), "error": F.lit(None).cast("string")}
+    )
+    known = model.select("subreddit").distinct()
+    unscored = {
+        f.name: F.lit(None).cast(f.dataType) for f in scored.schema if f.name not in (*keys, "error")
+    }
+    missing = posts.select(*keys).join(known, "subreddit", "left_anti").select(*keys)
+    error = F.concat(F.lit("no model for "), F.col("subreddit"))
+    return scored.unionByName(missing.withColumns({**unscored, "error": error}))
 
 
 def rank_drafts(scored: DataFrame, min_drafts: int = 2) -> DataFrame:
-    """Order the drafts of each request by band, best first, ties in input order.
+    """Order the drafts of each request by band, best first, ties in input order, unscored ones last.
 
-    Requests with fewer than ``min_drafts`` drafts are left out.
+    ``status`` tells apart what is not a ranking: a draft without a model, or a request with fewer
+    than ``min_drafts`` drafts.
     """
-    prepared = scored.withColumn("_low", -F.col("band"))
+    prepared = scored.withColumn("_low", F.coalesce(-F.col("band"), F.lit(1.0)))
     ranked = ordinal_rank(prepared, ["request_id"], "_low", "position", "rank").drop("_low")
-    if min_drafts <= 1:
-        return ranked
-    enough = (
-        scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_drafts).select("request_id")
+    sizes = scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+    status = (
+        F.when(F.col("band").isNull(), NO_MODEL).when(F.col("_n") < min_drafts, TOO_FEW).otherwise(RANKED)
     )
-    return ranked.join(enough, "request_id", "left_semi")
+    return ranked.join(sizes, "request_id").withColumn("status", status).drop("_n")
 
 
 def strongest_draft(scored: DataFrame) -> DataFrame:
@@ -130,7 +143,8 @@ def explain(predicted: DataFrame, k: int = 5) -> DataFrame:
             feature_label(f["kind"], f["feature"], f["raw"]).alias("label"),
         ),
     )
-    staged = predicted.withColumn("_all", contributions)
+    nothing = F.array().cast("array<struct<c:double,label:string>>")
+    staged = predicted.withColumn("_all", F.coalesce(contributions, nothing))
 
     def top(sign: int) -> Column:
         mine = F.filter("_all", lambda x: x["c"] * sign > SMALLEST_CONTRIBUTION)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from titlegauge.functions.text import STRUCTURAL_NAMES, with_structural
 from titlegauge.functions.urls import norm_url
 from titlegauge.functions.values import verdict
+from titlegauge.operators.models import GRADIENT_LIMIT
 from titlegauge.operators import evaluate, features, ingest, labels, noise, pairs, profile, score
 from titlegauge.plans import pair_study, training
 from titlegauge.plans.drafts import DRAFT_KEYS, draft_report
@@ -25,6 +26,7 @@ LATEST_N, MONTHLY_N, STRIDE, SCAN_ROWS = 100, 200, 3, 60
 SAMPLE_N = 5
 WANTED = ["src0", "src3", "src7", "src11", "src19"]
 MIN_LINK_POSTS = 70
+RIDGE_ALPHA = 10.0
 EMBEDDING_SIZE = 64
 
 _QUERIES: dict[str, Query] = {}
@@ -446,7 +448,7 @@ def _train(spark, sf):
 
 @query
 def vocabulary(spark, sf):
-    return rounded(features.vocabulary(_train(spark, sf), max_features=500))
+    return rounded(features.vocabulary(_train(spark, sf)))
 
 
 @query
@@ -627,12 +629,26 @@ def order_symmetric_accuracy(spark, sf):
     return rounded(evaluate.order_symmetric_accuracy(fixtures.pair_logits(spark, sf)))
 
 
+@query
+def ridge_structural(spark, sf):
+    """Coefficients of ridge models on structure alone, at a fixed penalty."""
+    train, _ = split_sides(cut_lineage(_labelled(spark, sf)))
+    space = features.structural_space(train).unionByName(
+        features.intercept_space(train, training.INTERCEPT_FACTOR)
+    )
+    model = training.fit_ridge(train, space, alphas=(RIDGE_ALPHA,), analyzer=None)
+    return rounded(model.select("subreddit", "kind", "feature", "coef"), 4)
+
+
 @query
 def ridge_model(spark, sf):
-    """Coefficients of the per-community ridge models, all fitted together."""
+    """The features of the per-community ridge models, and whether each is at its optimum: the
+    gradient of the penalised squared error vanishes in it."""
     train, _ = split_sides(cut_lineage(_labelled(spark, sf)))
     space = features.fit_space(train, intercept_factor=training.INTERCEPT_FACTOR)
-    return training.fit_ridge(train, space)
+    model = training.fit_ridge(train, space)
+    at_optimum = (F.col("gradient") <= GRADIENT_LIMIT).alias("optimal")
+    return model.select("subreddit", "kind", "feature", at_optimum)
 
 
 @query
@@ -643,7 +659,7 @@ def ridge_evaluation(spark, sf):
 @query
 def word_char_evaluation(spark, sf):
     labelled = cut_lineage(_labelled(spark, sf))
-    return training.train_and_evaluate(labelled, alphas=(10.0,), analyzer="word_char").evaluation
+    return training.train_and_evaluate(labelled, analyzer="word_char").evaluation
 
 
 @query

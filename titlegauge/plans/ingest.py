@@ -34,9 +34,12 @@ def ingest_recent(
 
 def ingest_historical(
     raw: DataFrame, communities: Sequence[str], out: str, per_community: int = 8000,
-    stride: int = 3, rows_per_month: int | None = 150_000, min_score: int = 1,
+    stride: int = 3, rows_per_month: int | None = None, min_score: int = 1,
 ) -> dict[str, DataFrame]:
-    """Quota sample over strided months to ``out``, with summary tables."""
+    """Quota sample over strided months to ``out``, with summary tables.
+
+    ``rows_per_month`` bounds the scan of each month, where that is wanted.
+    """
     kept = historical_sample(
         with_month(raw), communities, stride, per_community, rows_per_month, min_score
     )

@@ -34,7 +34,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("titlegauge")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -10,6 +10,8 @@ from titlegauge.operators.score import draft_lines
 
 LINES_PER_DOC = 1_000_000
 AB_MIN_IMPRESSIONS = 100
+# One more than there are communities, so some drafts have no model.
+DRAFT_COMMUNITIES = 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +106,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every turn is a draft; a conversation is one request."""
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("request_id"),
-        F.concat(F.lit("src"), F.col("conv_id") % 20).alias("subreddit"),
+        F.concat(F.lit("src"), F.col("conv_id") % DRAFT_COMMUNITIES).alias("subreddit"),
         (F.col("turn") * LINES_PER_DOC).alias("position"),
         F.col("text").alias("drafts"),
     )
