@@ -230,7 +230,7 @@ _CTES = {
       SELECT doc_id, source, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
       FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)""",
     "raw_posts": """
-      SELECT l.doc_id * 1000000 + l.line_no AS id,
+      SELECT printf('%x_%x', l.doc_id, l.line_no) AS id,
         CASE WHEN b.toxic = 1 THEN '[removed]' WHEN b.quality = 0 THEN '[deleted]' ELSE l.line END AS title,
         l.source AS subreddit,
         CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' THEN 'n/a'
@@ -238,7 +238,7 @@ _CTES = {
         CASE WHEN o.o_orderstatus = 'P' THEN 'x' ELSE CAST(o.o_custkey AS VARCHAR) END AS num_comments,
         CASE WHEN o.o_orderstatus = 'P' AND o.o_orderpriority = '5-LOW' THEN 'unknown'
              ELSE CAST(CAST(epoch(o.o_orderdate) AS BIGINT) AS VARCHAR) END AS created_utc
-      FROM lines l JOIN orders o ON o.o_orderkey = l.doc_id * 7 + l.line_no % 7
+      FROM lines l JOIN orders o ON o.o_orderkey = (l.doc_id * 15 + l.line_no) % (SELECT count(*) FROM orders)
       LEFT JOIN labels b ON b.doc_id = l.doc_id""",
     "posts": clean_sql("raw_posts", "drop"),
     "raw_months": f"""
@@ -326,11 +326,12 @@ _CTES = {
       FROM evaluation""",
     # links and pairs
     "raw_links": f"""
-      SELECT p.page_id AS id, regexp_extract({HOST}, '([^.]+)$', 1) AS sub, p.url,
-        regexp_extract(p.html, '<title>([^<]*)</title>', 1) AS title, CAST(floor(e.value) AS BIGINT) AS score,
+      SELECT 'l' || printf('%x', e.event_id) AS id, regexp_extract({HOST}, '([^.]+)$', 1) AS sub, p.url,
+        CASE WHEN e.event_id % 3 = 0 THEN regexp_extract(p.html, '<title>([^<]*)</title>', 1) ELSE split_part(d.text, chr(10), 1) END AS title, CAST(floor(e.value) AS BIGINT) AS score,
         CAST(regexp_extract(e.props, '([0-9]+)', 1) AS DOUBLE) / 100 AS upvote_ratio, e.user_id AS num_comments,
         CAST(floor(epoch(e.ts)) AS BIGINT) AS created_utc, e.event_type = 'signup' AS is_self
-      FROM pages p JOIN events e ON e.event_id = p.page_id""",
+      FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)
+      JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)""",
     "url_parts": f"""
       SELECT DISTINCT url, {HOST} AS host, regexp_replace(regexp_extract(trim(url), '{URL}', 2), '/+$', '') AS path,
              string_split(regexp_extract(trim(url), '{URL}', 3), '&') AS q FROM pages""",
@@ -349,9 +350,7 @@ _CTES = {
       FROM raw_links r JOIN nurls n USING (url)
       WHERE NOT r.is_self AND n.nurl IS NOT NULL AND {flat('r.title')} NOT IN ('[deleted]', '[removed]', '')""",
     "links": """
-      SELECT f.* REPLACE (split_part(f.nurl, '/', 1) || '/' ||
-                          regexp_extract(r.url, '^[^:]+://[^/?#]*/([^/?#]*)', 1) AS nurl)
-      FROM full_links f JOIN raw_links r USING (id)""",
+      SELECT * FROM full_links""",
     "groups": """
       SELECT sub, nurl, count(*) AS n_posts, count(DISTINCT title) AS n_titles, min(score) AS min_score, max(score) AS max_score,
              (max(score) + 1) / (min(score) + 1)::DOUBLE AS ratio
@@ -391,7 +390,7 @@ _CTES = {
              CASE WHEN pair_index % 2 = 0 THEN title_lose ELSE title_win END AS title_b, (pair_index % 2 = 0)::INTEGER AS y
       FROM (SELECT *, row_number() OVER (ORDER BY h, subreddit, nurl, title_win, score_win, title_lose, score_lose) - 1 AS pair_index
             FROM (SELECT *, {hash_order("concat_ws(chr(31), subreddit, nurl, title_win, CAST(score_win AS VARCHAR), title_lose, CAST(score_lose AS VARCHAR))")} AS h FROM reposts))""",
-    "modelled": "SELECT sub AS subreddit FROM links GROUP BY sub HAVING count(*) >= 70",
+    "modelled": "SELECT sub AS subreddit FROM links GROUP BY sub HAVING count(*) >= 2000",
     # link models
     "link_posts": """
       SELECT id, title, sub AS subreddit, score,
@@ -413,7 +412,7 @@ _CTES = {
       JOIN title_bands w ON w.subreddit = r.subreddit AND w.title = r.title_win
       JOIN title_bands l ON l.subreddit = r.subreddit AND l.title = r.title_lose""",
     "vectors": """
-      SELECT p.id, e.embedding FROM raw_posts p JOIN embeddings e ON e.vec_id = CAST(floor(p.id / 1000000) AS BIGINT)""",
+      SELECT p.id, e.embedding FROM raw_posts p JOIN embeddings e ON printf('%x', e.vec_id) = split_part(p.id, '_', 1)""",
 }
 
 
@@ -563,7 +562,7 @@ def all_oracles() -> dict[str, str]:
           SELECT {cv.format(x='(score + 1)')} AS s, {cv.format(x='(upvote_ratio + 0.01)')} AS u, {cv.format(x='(num_comments + 1)')} AS c
           FROM links GROUP BY sub, nurl HAVING count(DISTINCT title) >= 2)"""),
         "winner_agreement": build("""SELECT count(*) AS n_groups, round(avg((s = u)::INT), 6) AS agreement FROM (
-          SELECT arg_max(title, (score, id)) AS s, arg_max(title, (upvote_ratio, -id)) AS u FROM links GROUP BY sub, nurl HAVING count(DISTINCT title) >= 2)"""),
+          SELECT arg_max(title, (score, id)) AS s, arg_min(title, (-upvote_ratio, id)) AS u FROM links GROUP BY sub, nurl HAVING count(DISTINCT title) >= 2)"""),
         "time_matched_noise": build("""SELECT count(*) AS n_all, round(median(sratio), 6) AS median_all,
           count(*) FILTER (time_matched) AS n_matched, round(median(sratio) FILTER (time_matched), 6) AS median_matched FROM dual"""),
         "stratified_split": build("SELECT id, subreddit, year, is_test FROM split"),

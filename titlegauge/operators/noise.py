@@ -52,7 +52,7 @@ def winner_agreement(links: DataFrame) -> DataFrame:
         .groupBy(*GROUP)
         .agg(
             F.max_by("title", F.struct("score", "id")).alias("by_score"),
-            F.max_by("title", F.struct("upvote_ratio", -F.col("id"))).alias("by_ratio"),
+            F.min_by("title", F.struct(-F.col("upvote_ratio"), F.col("id"))).alias("by_ratio"),
             F.countDistinct("title").alias("n_titles"),
         )
         .filter(F.col("n_titles") >= 2)

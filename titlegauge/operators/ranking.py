@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titlegauge.operators.joins import lookup_join
 
@@ -19,6 +20,8 @@ BUCKETS_PER_OCTAVE = 4096
 # Above the bucket of every finite number; infinity has it to itself.
 TOP_BUCKET = 1 << 40
 INDEX_BUCKETS = 4096
+# Leading bytes of text that make its bucket.
+TEXT_BYTES = 3
 
 
 def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
@@ -33,6 +36,18 @@ def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     return F.when(F.abs(number) == float("inf"), F.signum(number) * top).otherwise(finite).cast("long")
 
 
+def text_bucket(value: Column, n_bytes: int = TEXT_BYTES) -> Column:
+    """The same for text: its first bytes as a number. Text is ordered by its bytes."""
+    head = F.hex(F.substring(F.encode(value, "utf-8"), 1, n_bytes))
+    return F.conv(F.rpad(head, 2 * n_bytes, "0"), 16, 10).cast("long")
+
+
+def bucket_of(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return text_bucket(F.col(name))
+    return order_bucket(F.col(name))
+
+
 def first_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 1,
     spread: Sequence[str] = ("id",), rank: str | None = None,
@@ -92,7 +107,7 @@ def _rows_below(keys: list[str], value: str) -> Column:
 def cumulative_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add ``below`` (rows of the group with a smaller value) and ``total`` to value counts."""
     keys = list(keys)
-    bucketed = counts.withColumn("_bucket", order_bucket(F.col(value)))
+    bucketed = counts.withColumn("_bucket", bucket_of(counts, value))
     totals = _bucket_totals(bucketed, keys).drop("_cell")
     return (
         bucketed.join(totals, [*keys, "_bucket"])
@@ -172,7 +187,7 @@ def mark_lowest(
     """Flag the ``quota(group size)`` rows of each group that are lowest by (value, tie).
 
     Finds the boundary value, then the boundary ``tie`` among the rows sharing it, and compares
-    every row with that boundary. ``tie`` must be numeric and unique in a group.
+    every row with that boundary. ``tie`` is a number or text, unique in a group.
     """
     keys = list(keys)
     ranked = cumulative_counts(value_counts(df, keys, value), keys, value)
@@ -217,7 +232,7 @@ def ordinal_rank(
     Rows move once, to (group, value, tie bucket); the two offsets come from counts.
     """
     keys = list(keys)
-    staged = df.withColumn("_tie_bucket", order_bucket(F.col(tie)))
+    staged = df.withColumn("_tie_bucket", bucket_of(df, tie))
     cells = staged.groupBy(*keys, value, "_tie_bucket").agg(F.count(F.lit(1)).alias("_cell"))
     before = (
         Window.partitionBy(*keys, value)

@@ -25,7 +25,7 @@ BEFORE_EPOCH = 946_684_800  # 2000-01-01
 LATEST_N, MONTHLY_N, STRIDE, SCAN_ROWS = 100, 200, 3, 60
 SAMPLE_N = 5
 WANTED = ["src0", "src3", "src7", "src11", "src19"]
-MIN_LINK_POSTS = 70
+MIN_LINK_POSTS = 2_000
 RIDGE_ALPHA = 10.0
 EMBEDDING_SIZE = 64
 
@@ -69,7 +69,7 @@ def _labelled(spark, sf):
 
 
 def _links(spark, sf):
-    return ingest.external_links(fixtures.raw_links(spark, sf), fixtures.section_key())
+    return ingest.external_links(fixtures.raw_links(spark, sf))
 
 
 def _ab_pairs(spark, sf):

@@ -35,7 +35,7 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = table(spark, sf_dir, "labels")
     lines = documents.select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    ).withColumn("o_orderkey", F.col("doc_id") * 7 + F.col("line_no") % 7)
+    ).withColumn("o_orderkey", F.pmod(F.col("doc_id") * 15 + F.col("line_no"), F.lit(orders.count())))
     title = (
         F.when(F.col("toxic") == 1, F.lit("[removed]"))
         .when(F.col("quality") == 0, F.lit("[deleted]"))
@@ -49,7 +49,7 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(orders, "o_orderkey")
         .join(verdicts, "doc_id", "left")
         .select(
-            (F.col("doc_id") * LINES_PER_DOC + F.col("line_no")).alias("id"),
+            F.concat_ws("_", _hex("doc_id"), _hex("line_no")).alias("id"),
             title.alias("title"),
             F.col("source").alias("subreddit"),
             F.when(unscored, F.lit("n/a"))
@@ -63,16 +63,38 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hex(name: str) -> Column:
+    return F.lower(F.hex(F.col(name).cast("long")))
+
+
 def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One link post per page; its numbers come from the event of the same number."""
+    """One link post per event, to the page of its number modulo the pages.
+
+    Every third post has the page's title, the others the first line of a document, so a page is
+    posted under several titles.
+    """
     pages = table(spark, sf_dir, "pages")
-    events = table(spark, sf_dir, "events")
+    documents = table(spark, sf_dir, "documents")
+    events = table(spark, sf_dir, "events").withColumns(
+        {
+            "page_no": F.pmod("event_id", F.lit(pages.count())),
+            "doc_no": F.pmod("event_id", F.lit(documents.count())),
+        }
+    )
     host = url_host(F.col("url"))
-    return pages.join(events, pages.page_id == events.event_id).select(
-        F.col("page_id").alias("id"),
+    linked = pages.select(
+        "page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("page_title")
+    )
+    first_lines = documents.select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    own = F.col("event_id") % 3 == 0
+    posts = events.join(linked, F.col("page_no") == F.col("page_id")).join(
+        first_lines, F.col("doc_no") == F.col("doc_id")
+    )
+    return posts.select(
+        F.concat(F.lit("l"), _hex("event_id")).alias("id"),
         F.regexp_extract(host, r"([^.]+)$", 1).alias("sub"),
         "url",
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.when(own, F.col("page_title")).otherwise(F.col("line")).alias("title"),
         F.floor("value").cast("string").alias("score"),
         (F.regexp_extract("props", "([0-9]+)", 1).cast("double") / 100).alias("upvote_ratio"),
         F.col("user_id").alias("num_comments"),
@@ -81,12 +103,6 @@ def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def section_key() -> Column:
-    """Host and first path segment: the coarse content key used for pair mining."""
-    segment = F.regexp_extract("url", r"^[^:]+://[^/?#]*/([^/?#]*)", 1)
-    return F.concat(url_host(F.col("url")), F.lit("/"), segment)
-
-
 def ab_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
@@ -116,9 +132,8 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, embedding) of each post whose document has a precomputed vector."""
     embeddings = table(spark, sf_dir, "embeddings")
-    ids = raw_posts(spark, sf_dir).select("id").withColumn(
-        "vec_id", F.floor(F.col("id") / LINES_PER_DOC).cast("long")
-    )
+    number = F.conv(F.substring_index("id", "_", 1), 16, 10).cast("long")
+    ids = raw_posts(spark, sf_dir).select("id", number.alias("vec_id"))
     return ids.join(embeddings.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
 
 
