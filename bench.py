@@ -15,7 +15,8 @@ HEADLINE = [
     "clean_posts", "latest_per_community", "community_profile", "era_percentile",
     "structural_features", "vocabulary", "tfidf", "norm_urls", "repost_pairs", "ab_pairs",
     "dual_label_pairs", "time_matched_noise", "pair_accuracy", "score_titles", "explain",
-    "ranked_report",
+    "ranked_report", "two_level_quota", "dedupe_posts", "fixed_model", "eval_table", "rank_drafts",
+    "ridge_structural",
 ]
 
 

@@ -592,7 +592,7 @@ def all_oracles() -> dict[str, str]:
           count(*) = count(embedding) AS complete FROM posts LEFT JOIN vectors USING (id) GROUP BY subreddit"""),
         "embedding_features": build(f"""SELECT subreddit, id, kind, count(*) AS n_cells, round(sum(value), 6) AS total FROM (
           SELECT p.subreddit, p.id, 'e' AS kind, unnest(v.embedding)::DOUBLE AS value FROM posts p JOIN vectors v USING (id)
-          UNION ALL SELECT s.subreddit, s.id, 's', s.value FROM ({scaled}) s JOIN vectors v USING (id)) GROUP BY subreddit, id, kind"""),
+          UNION ALL SELECT s.subreddit, s.id, 's', s.value FROM ({scaled}) s) GROUP BY subreddit, id, kind"""),
         "fixed_model": build(f"SELECT subreddit, kind, feature, {_r('center', 'factor', 'coef')} FROM model"),
         "fixed_predictions": build("SELECT subreddit, id, round(prediction, 6) AS prediction FROM predicted"),
         "spearman_naive": build(f"""SELECT subreddit, round(rho_naive, 6) AS rho_naive FROM (

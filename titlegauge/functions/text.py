@@ -115,19 +115,16 @@ def with_term_counts(
 
     Counting happens inside the row (sort, then run lengths), so no token is shuffled. Each step
     is its own projection because the later ones read the earlier array many times.
-    ``analyzer``: word = words and bigrams, char = word-boundary character n-grams,
-    word_char = both.
+    ``analyzer``: word = words and bigrams, char = word-boundary character n-grams.
     """
-    parts = []
-    staged = df
-    if analyzer in ("word", "word_char"):
-        staged = staged.withColumn("_words", words(F.col(text)))
-        parts += [F.col("_words"), bigrams(F.col("_words"))]
-    if analyzer in ("char", "word_char"):
-        parts.append(word_boundary_grams(F.col(text)))
-    if not parts:
+    if analyzer == "word":
+        staged = df.withColumn("_words", words(F.col(text)))
+        terms = F.concat(F.col("_words"), bigrams(F.col("_words")))
+    elif analyzer == "char":
+        staged, terms = df, word_boundary_grams(F.col(text))
+    else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
-    staged = staged.withColumn("_sorted", F.array_sort(F.concat(*parts)))
+    staged = staged.withColumn("_sorted", F.array_sort(terms))
     size = F.size("_sorted")
     run_starts = F.filter(
         F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),

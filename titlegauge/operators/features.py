@@ -4,6 +4,7 @@ A *feature space* is one table, a row per community and feature:
 
     subreddit, kind, feature, center, factor
       kind 't'  text term        value = (1 + ln tf) * factor (= idf), unit length per title
+      kind 'c'  character gram   the same, with a vocabulary and a length of its own
       kind 's'  structural       value = (raw - center) * factor (= 1 / sigma)
       kind 'e'  embedding cell   value = raw
       kind 'i'  intercept        value = factor
@@ -13,7 +14,7 @@ so every kind is weighted, joined and scored by the same expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ from titlegauge.operators.ranking import first_n
 MIN_DF, MAX_FEATURES = 3, 20_000
 PAIR_MIN_DF, PAIR_MAX_FEATURES = 2, 3_000
 VOCABULARY_SALTS = 64
+# The text kinds of each analyzer, and what counts their terms.
+TEXT_KINDS = {
+    "word": {"t": "word"}, "char": {"t": "char"}, "word_char": {"t": "word", "c": "char"},
+}
 INTERCEPT = "(intercept)"
 SPACE_KEYS = ["subreddit", "kind", "feature"]
 SPACE_COLUMNS = [*SPACE_KEYS, "center", "factor"]
@@ -68,9 +73,9 @@ def vocabulary(
     )
 
 
-def text_space(vocab: DataFrame) -> DataFrame:
+def text_space(vocab: DataFrame, kind: str = "t") -> DataFrame:
     return vocab.select(
-        "subreddit", F.lit("t").alias("kind"), "feature",
+        "subreddit", F.lit(kind).alias("kind"), "feature",
         F.lit(0.0).alias("center"), F.col("idf").alias("factor"),
     )
 
@@ -133,9 +138,12 @@ def fit_space(
     analyzer: str = "word", intercept_factor: float = 1.0, weight: str | None = None,
 ) -> DataFrame:
     """Text, structural and intercept features of every community, from training rows only."""
-    text = text_space(vocabulary(train, min_df, max_features, analyzer, weight))
+    space = structural_space(train, weight)
+    for kind, counter in TEXT_KINDS[analyzer].items():
+        terms = vocabulary(train, min_df, max_features, counter, weight)
+        space = space.unionByName(text_space(terms, kind))
     return (
-        text.unionByName(structural_space(train, weight))
+        space
         .unionByName(intercept_space(train, intercept_factor))
         .select(*SPACE_COLUMNS)
     )
@@ -148,6 +156,10 @@ def _cell(kind: str, feature: Column, x: Column, raw: Column) -> Column:
     )
 
 
+def _term_cell(kind: str) -> Callable[[Column], Column]:
+    return lambda t: _cell(kind, t["feature"], 1 + F.log(t["tf"].cast("double")), t["tf"])
+
+
 def raw_features(
     posts: DataFrame, keys: Sequence[str], analyzer: str | None = "word",
     embedding: str | None = None,
@@ -155,27 +167,23 @@ def raw_features(
     """(keys, kind, feature, x, raw): every raw feature of every title, one pass over the rows."""
     # Columns first: inside the generator the expressions would be evaluated one by one, twice.
     staged = with_structural(posts)
-    if analyzer:
-        staged = with_term_counts(staged, "title", analyzer)
+    text_kinds = TEXT_KINDS[analyzer] if analyzer else {}
+    for kind, counter in text_kinds.items():
+        staged = with_term_counts(staged, "title", counter, out=f"_terms_{kind}")
     structure = F.array(
         *[_cell("s", F.lit(name), F.col(name), F.col(name)) for name in STRUCTURAL_NAMES],
         _cell("i", F.lit(INTERCEPT), F.lit(1.0), F.lit(1.0)),
     )
     parts = [structure]
-    if analyzer:
-        parts.append(
-            F.transform(
-                "terms",
-                lambda t: _cell("t", t["feature"], 1 + F.log(t["tf"].cast("double")), t["tf"]),
-            )
-        )
+    for kind in text_kinds:
+        parts.append(F.transform(f"_terms_{kind}", _term_cell(kind)))
     if embedding:
-        parts.append(
-            F.transform(
-                embedding,
-                lambda x, i: _cell("e", F.concat(F.lit("e"), i.cast("string")), x, x),
-            )
+        cells = F.transform(
+            embedding,
+            lambda x, i: _cell("e", F.concat(F.lit("e"), i.cast("string")), x, x),
         )
+        # A title without a vector keeps its other features.
+        parts.append(F.coalesce(cells, F.slice(structure, 1, 0)))
     # Never empty; explode_outer keeps the optimizer from filtering on a second evaluation.
     cells = F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0])
     return staged.select(*keys, cells.alias("_c")).select(*keys, "_c.*")
@@ -199,21 +207,28 @@ def featurize(
     # Sorted cells: equal titles then give bit-equal sums in every run.
     cells = F.array_sort(F.collect_list(F.struct("kind", "feature", "value", "raw", *extra)))
     gathered = weighted.groupBy(*keys).agg(cells.alias("_cells"))
-    square = F.aggregate(
-        "_cells",
-        F.lit(0.0),
-        lambda acc, c: acc + F.when(c["kind"] == "t", c["value"] * c["value"]).otherwise(0.0),
-    )
-    gathered = gathered.withColumn("_norm", F.sqrt(square))
+    gathered = gathered.withColumns({f"_norm_{kind}": _length(kind) for kind in ("t", "c")})
     unit = F.transform(
         "_cells",
         lambda c: c.withField(
-            "value", F.when(c["kind"] == "t", c["value"] / F.col("_norm")).otherwise(c["value"])
+            "value",
+            F.when(c["kind"] == "t", c["value"] / F.col("_norm_t"))
+            .when(c["kind"] == "c", c["value"] / F.col("_norm_c"))
+            .otherwise(c["value"]),
         ),
     )
     return gathered.select(*keys, unit.alias("features"))
 
 
+def _length(kind: str) -> Column:
+    square = F.aggregate(
+        "_cells",
+        F.lit(0.0),
+        lambda acc, c: acc + F.when(c["kind"] == kind, c["value"] * c["value"]).otherwise(0.0),
+    )
+    return F.sqrt(square)
+
+
 def long_features(featurized: DataFrame, keys: Sequence[str]) -> DataFrame:
     return featurized.select(*keys, F.explode_outer("features").alias("_f")).select(*keys, "_f.*")
 
@@ -283,8 +298,9 @@ def with_feature_index(space: DataFrame) -> DataFrame:
 
 
 def attach_vectors(posts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Posts with their precomputed vector; posts without one are left out."""
-    return posts.join(vectors.select("id", "embedding"), "id")
+    """Every post with its precomputed vector; ``covered`` says whether there is one."""
+    joined = posts.join(vectors.select("id", "embedding"), "id", "left")
+    return joined.withColumn("covered", F.col("embedding").isNotNull())
 
 
 def vector_coverage(posts: DataFrame, vectors: DataFrame) -> DataFrame:

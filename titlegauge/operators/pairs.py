@@ -208,6 +208,24 @@ def dual_label_pairs(links: DataFrame) -> DataFrame:
     return pairs_within(folded, GROUP, signature, ordered, sides)
 
 
+def dual_viability(
+    links: DataFrame, min_groups: int = MIN_GROUPS, min_rows: int = MIN_ROWS
+) -> DataFrame:
+    """``viability`` of the dual-label pairs per community, from counts: posts of one title make no
+    pair with each other, all others do."""
+    titles = rated_links(links).groupBy(*GROUP, "title").agg(F.count(F.lit(1)).alias("n"))
+    groups = titles.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n_titles"), F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("n")).alias("squares"),
+    )
+    counted = groups.filter("n_titles > 1").groupBy("sub").agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        F.sum(F.expr("(n * n - squares) div 2")).alias("n_pairs"),
+    )
+    viable = (F.col("n_groups") >= min_groups) & (F.col("n_pairs") >= min_rows)
+    return counted.withColumn("viable", viable)
+
+
 def balanced_pairs(pairs: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
     """Alternate the presentation order: even rows show the winner first (y = 1), odd rows the
     loser (y = 0), over a reproducible total order of the pairs."""

@@ -120,7 +120,7 @@ def strongest_draft(scored: DataFrame) -> DataFrame:
 
 def feature_label(kind: Column, feature: Column, raw: Column) -> Column:
     """Quoted term, or the wording of a structural feature (binary ones by their raw value)."""
-    chain = F.when(kind == "t", F.concat(F.lit('"'), feature, F.lit('"')))
+    chain = F.when(kind.isin("t", "c"), F.concat(F.lit('"'), feature, F.lit('"')))
     for name, (present, absent) in BINARY_LABELS.items():
         chain = chain.when(
             feature == name, F.when(raw >= 0.5, F.lit(present)).otherwise(F.lit(absent))

@@ -359,7 +359,7 @@ def symmetric_examples(spark, sf):
 
 @query
 def pair_viability(spark, sf):
-    return pairs.viability(pairs.dual_label_pairs(_links(spark, sf)), ["sub"], "nurl", "n_pairs")
+    return pairs.dual_viability(_links(spark, sf))
 
 
 @query
@@ -664,11 +664,14 @@ def word_char_evaluation(spark, sf):
 
 @query
 def embedding_comparison(spark, sf):
-    """Held-out rank correlation of the embedding model next to the closed-form text model."""
-    labelled, model = _fixed(spark, sf)
+    """Held-out rank correlation of the embedding ridge next to the text ridge, on the same posts."""
+    labelled = cut_lineage(_labelled(spark, sf))
+    train, _ = split_sides(labelled)
+    space = features.fit_space(train, intercept_factor=training.INTERCEPT_FACTOR)
+    model = training.fit_ridge(train, space)
     vectors = cut_lineage(fixtures.post_vectors(spark, sf))
-    covered = cut_lineage(features.attach_vectors(labelled, vectors))
-    _, rows = training.train_embedding(labelled, vectors, EMBEDDING_SIZE)
+    covered = cut_lineage(features.attach_vectors(labelled, vectors).filter("covered"))
+    _, rows = training.train_embedding(labelled, vectors, EMBEDDING_SIZE, strict=False)
     text = training.evaluate_model(covered, model)
     return evaluate.compare_metrics(
         cut_lineage(text), cut_lineage(rows), "rho_model", "rho_text", "rho_embedding"

@@ -76,10 +76,17 @@ def train_and_evaluate(
 
 def train_embedding(
     labelled: DataFrame, vectors: DataFrame, size: int, alphas: Sequence[float] = ALPHAS,
-    folds: int = FOLDS,
+    folds: int = FOLDS, strict: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Ridge on [embedding, structure]; returns the model and its evaluation rows."""
-    rows = cut_lineage(attach_vectors(labelled, vectors))
+    """Ridge on [embedding, structure]; returns the model and its evaluation rows.
+
+    The vectors must cover the posts; with ``strict`` off, the covered posts are used.
+    """
+    attached = cut_lineage(attach_vectors(labelled, vectors))
+    missing = attached.filter("not covered").count()
+    if missing and strict:
+        raise LookupError(f"{missing} posts have no vector")
+    rows = attached.filter("covered").drop("covered")
     train, _ = split_sides(rows)
     space = (
         embedding_space(train, size)
