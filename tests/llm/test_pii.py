@@ -105,3 +105,27 @@ def test_windows_cover_the_context_of_every_trigger():
         covered[start : start + pii.WINDOW] = True
     for t in triggers:
         assert covered[max(0, t - pii.CONTEXT) : t + pii.CONTEXT + 1].all()
+
+
+def test_training_takes_every_kind_however_many_texts_have_none(spark):
+    texts = {i: f"plain words and number {i} only" for i in range(4_000)}
+    texts |= {9_000 + i: f"see 10.4.7.{i} there" for i in range(3)}
+    rows = pii._training_windows(documents(spark, texts).select("doc_id", "text"))
+    assert sorted(r["doc_id"] for r in rows if r["kinds"]) == [9_000, 9_001, 9_002]
+    assert sum(not r["kinds"] for r in rows) == pii.QUOTA
+
+
+def test_masking_trains_on_a_sample_of_documents(spark, monkeypatch):
+    # The match lies at one of a few offsets, as in a large table; a sample by offset has only one of them.
+    texts = {i: " " * (16 * (i % 4)) + f"call +1 (242) 555-{i:04d} now" for i in range(6_000)}
+    seen = []
+    monkeypatch.setattr(pii, "train_tagger", lambda docs: seen.extend(pii._training_windows(docs)))
+    pii.mask_personal_data(documents(spark, texts)).count()
+    assert {r["at"] for r in seen} == {0, 16, 32, 48} and len({r["doc_id"] for r in seen}) == pii.QUOTA
+
+
+def test_masking_sample_without_ids_does_not_depend_on_the_order_of_rows(spark):
+    texts = [f"call +1 (242) 555-{i:04d} now" for i in range(1_000)]
+    rows = [[(None, t) for t in order] for order in (texts, texts[::-1])]
+    one, two = ([r["text"] for r in pii._training_windows(spark.createDataFrame(r, "doc_id long, text string"))] for r in rows)
+    assert one == two and len(one) == pii.QUOTA

@@ -1,8 +1,9 @@
 """Personal data: pattern matches, and spans that a character BiLSTM-CRF adds to them.
 
-The tagger learns from labelled spans: windows of text about the pattern matches of at most
-``TRAIN_WINDOWS`` places (smallest md5 of id and place), with digits redrawn and some matches rewritten
-(another separator, no country prefix), so that it learns the forms and not the values.
+The tagger learns from labelled spans: windows of text about ``QUOTA`` pattern matches of each kind and
+``QUOTA`` places of texts without a match, drawn from the whole table (smallest md5 of id, text and
+place), with digits redrawn and some matches rewritten (another separator, no country prefix), so that
+it learns the forms and not the values.
 
 Whole texts are covered: every window of the text that holds a digit or an @ is tagged. A span
 without either is none of the four kinds and would be dropped, so other windows cannot add one.
@@ -13,12 +14,13 @@ Pattern matches always stay; an added span overlaps none of them, reaches ``CONF
 kind's own test (digits, checksum, parts).
 
 Cases: null or empty text has no spans; very long texts are tagged window by window; repeated rows
-give repeated results; extra columns are not read; where nothing can be learned, only pattern matches
-are returned; an empty table gives an empty result.
+give repeated results; extra columns are not read; where no text has a match, nothing can be learned and no span is
+returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titlegauge.llm.char_tagger import PAD, CharTagger, char_classes
-from titlegauge.llm.common import id_and_text, map_steps, record_batch, text_steps, texts
+from titlegauge.llm.common import id_and_text, map_steps, record_batch, text_steps, texts, written
 from titlegauge.llm.pii_spans import (
     CARD_DIGITS,
     KINDS,
@@ -46,6 +48,8 @@ STRIDE = 48
 #: Characters on each side of a digit or @ that are tagged with it.
 CONTEXT = 40
 TRAIN_WINDOWS = 1_200
+#: Training places of each kind, and of texts without a match.
+QUOTA = TRAIN_WINDOWS // (len(KINDS) + 1)
 CONFIDENCE = 0.9
 TAG_BATCH = 2_048
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,confidence:double>>"
@@ -95,31 +99,42 @@ def _variant(rng: np.random.Generator, match: str, kind: str) -> str:
 
 
 def _training_windows(docs: DataFrame) -> list:
-    """(text, spans) about pattern matches, and about digits outside them; a bounded number."""
+    """(text, spans) about ``QUOTA`` matches of each kind, and about as many digits of texts without a match."""
+
+    def places_of(doc_id: int | None, text: str) -> Iterator[tuple]:
+        """(kind, or none, and its order, id, hash of the text, place, text about it, spans in that)."""
+        spans = base_spans(text)
+        places = {(kind, a - a % 16) for a, _, kind in spans}
+        if not spans:
+            digit = next((i for i, c in enumerate(text) if "0" <= c <= "9" or c == "@"), None)
+            places = {("none", digit)} if digit is not None else set()
+        name = hashlib.md5(text.encode()).hexdigest() if places else ""
+        for kind, at in places:
+            begin, end = max(0, at - WINDOW), at + 2 * WINDOW
+            near = [(a - begin, min(b, end) - begin, k) for a, b, k in spans if begin <= a < end]
+            order = hashlib.md5(f"{'' if doc_id is None else doc_id}:{name}:{at}".encode()).hexdigest()
+            yield kind, order, doc_id, name, at, text[begin:end], near
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {"doc_id": [], "at": [], "text": [], "starts": [], "ends": [], "kinds": []}
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-            spans = base_spans(text)
-            places = {s[0] - s[0] % 16 for s in spans}
-            if not spans:
-                digit = next((i for i, c in enumerate(text) if "0" <= c <= "9" or c == "@"), None)
-                places = {digit} if digit is not None else set()
-            for at in places:
-                begin = max(0, at - WINDOW)
-                near = [s for s in spans if s[0] >= begin and s[1] <= at + 2 * WINDOW]
-                for key, value in (
-                    ("doc_id", doc_id), ("at", at), ("text", text[begin : at + 2 * WINDOW]),
-                    ("starts", [s[0] - begin for s in near]), ("ends", [s[1] - begin for s in near]),
-                    ("kinds", [s[2] for s in near]),
-                ):
-                    out[key].append(value)
-        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        return record_batch(**{k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
-
-    schema = "doc_id long, at long, text string, starts array<int>, ends array<int>, kinds array<string>"
-    order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("at").cast("string")))
-    return map_steps(docs, step, schema).orderBy(order, "doc_id", "at").limit(TRAIN_WINDOWS).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {kind: [] for kind in (*KINDS, "none")}
+        for batch in text_steps(batches):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+                for kind, *place in places_of(doc_id, text):
+                    held[kind].append(place)
+            # Of a task, no more than the quota can be among the smallest of all.
+            held = {kind: sorted(h, key=lambda p: (p[0], p[2], p[3]))[:QUOTA] for kind, h in held.items()}
+        rows = [(kind, *place[:-1], *([s[i] for s in place[-1]] for i in range(3))) for kind, h in held.items() for place in h]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        names = ["kind", "order", "doc_id", "name", "at", "text", "starts", "ends", "kinds"]
+        yield record_batch(**{n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
+
+    schema = "kind string, order string, doc_id long, name string, at long, text string, starts array<int>, ends array<int>, kinds array<string>"
+    places = written(docs.select("doc_id", "text").mapInArrow(run, schema))
+    out = []
+    for kind in (*KINDS, "none"):
+        # Rows that tie on all of these are copies of one row.
+        out += places.filter(F.col("kind") == kind).orderBy("order", "doc_id", "name", "at").limit(QUOTA).collect()
+    return out
 
 
 def train_tagger(docs: DataFrame, copies: int = 3) -> CharTagger | None:
@@ -282,10 +297,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return map_steps(docs, step, f"doc_id long, spans {SPANS}")
 
 
-def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def mask_personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; other columns unchanged."""
-    plain = docs.select(F.lit(0).cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    tagger = _tagger_for(plain)
+    tagger = _tagger_for(id_and_text(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_steps(batches, column=text_col):
