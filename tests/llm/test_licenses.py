@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 import pyarrow as pa
 
-from tests.llm.cases import documents, no_documents, odd_documents, odd_rows
+from tests.llm.cases import documents, no_documents, odd_documents, odd_rows, prose
 from titlegauge.llm import licenses as m
 
 
@@ -71,3 +71,52 @@ def test_full_notice_over_wrapped_lines(spark):
 def test_odd_rows_and_empty_table(spark):
     assert m.summary(odd_documents(spark)).count() == len(odd_rows())
     assert m.summary(no_documents(spark)).count() == 0
+
+
+def _found(text):
+    column = pa.array([text], pa.string())
+    index = m.TemplateIndex(m.TEMPLATES, m.THRESHOLD)
+    found, _ = m.all_matches(index, column)
+    raw = text.encode()
+    return [(index.names[t], raw[a:b].decode()) for t, a, b in zip(found.template, found.start, found.end, strict=True)]
+
+
+def test_notice_inside_a_line():
+    text = "This dataset was collected by the project team and is licensed under CC BY 4.0. Ask them for more."
+    assert _found(text) == [("CC-BY-4.0", "licensed under CC BY 4.0")]
+
+
+def test_long_notice_in_a_text_without_line_breaks():
+    notice = m.TEMPLATES["MIT"][3]
+    got = _found("é some words before it " + notice + " and " + prose(1, 300) + " Released under the MIT License.")
+    assert [n for n, _ in got] == ["MIT", "MIT"] and notice.startswith(got[0][1]) and len(got[0][1]) > len(notice) - 3
+
+
+def test_comment_header_without_blank_lines():
+    notice = m.TEMPLATES["Apache-2.0"][1]
+    text = "# Copyright of the people who wrote this long header of many words in it\n#\n# " + notice.replace(" of ", " of\n# ") + "\n#\n# and here " + prose(2, 300)
+    assert any(n == "Apache-2.0" and len(t) >= len(notice) - 3 for n, t in _found(text))
+
+
+def test_identifier_of_an_unlisted_licence_is_no_window():
+    assert _found("some code SPDX-License-Identifier: Foo and more words here") == []
+
+
+def _brute_windows(text):
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    pairs = list(zip(words, words[1:], strict=False))
+    out = 0
+    for a in range(len(pairs)):
+        for b in range(a + 1, len(pairs) + 1):
+            own = set(pairs[a:b])
+            for _, t in TEMPLATES:
+                if len(t) >= m.LEAST_PART or own >= t:
+                    out = max(out, 2 * len(own & t) / (len(own) + len(t)))
+    return out if out >= m.THRESHOLD else None
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["licensed", "under", "the", "mit", "license", "cc", "by", "4", "0", "released", "x"]), max_size=14).map(" ".join))
+def test_best_window_equals_brute_force(text):
+    got = m.TemplateIndex(m.TEMPLATES, m.THRESHOLD).windows(pa.array([text], pa.string())).dice
+    assert (max(got) if len(got) else None) == _brute_windows(text)

@@ -1,6 +1,7 @@
 """Licence scans: normalised passages against licence templates by Dice coefficient over word bigrams.
 
-Passages of a text are its lines, its paragraphs (lines between blank ones) and the whole text. Words
+Passages of a text are its lines, its paragraphs (lines between blank ones, and lines between ones
+without a word, as in comment headers) and the whole text. Words
 are runs without white space and ASCII punctuation, A-Z in lower case; bigrams are two words in a row.
 A passage matches a template when
 2 * |common| / (|passage| + |template|) >= ``THRESHOLD`` over their sets of bigrams.
@@ -9,6 +10,10 @@ The coefficient can reach t only if the larger set is at most (2 - t) / t times
 passage meets only templates within those sizes. Of these, the ones that share a bigram are found
 through an inverted index of the templates' bigrams, and the common ones are counted exactly.
 
+Windows find what lies inside a passage: of all runs of words that begin and end with a bigram of a
+template, those of the best coefficient that do not overlap (``TemplateIndex.windows``), where no
+passage that overlaps fits as well.
+
 The templates are fixed, so the index that every task gets has a fixed size; texts are read once,
 and nothing is shuffled.
 
@@ -19,6 +24,7 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +39,13 @@ from titlegauge.llm.textwords import (
     byte_class,
     distinct,
     find_words,
+    shingle_starts,
     shingles,
 )
 
 THRESHOLD = 0.8
+#: Templates of fewer bigrams must be whole in a window: without one of them the name may be missing.
+LEAST_PART = 4
 LINE_BREAK = byte_class(b"\n")
 
 # Public licence texts and the notices that name a licence.
@@ -141,6 +150,13 @@ def passages(column: pa.Array) -> Passages:
         first = np.flatnonzero(edge)
         last = np.append(first[1:], len(row))[: len(first)] - 1
         levels.append((row[first], start[first], end[last]))
+    # Paragraphs once more, where lines of punctuation alone end them too.
+    worded = np.append(0, np.cumsum(~WHITE_SPACE_OR_PUNCTUATION[lines.text]))
+    some = worded[lines.end] > worded[lines.start]
+    row, start, end = lines.row[some], lines.start[some], lines.end[some]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] - end[:-1] > 1)][: len(row)])
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    levels.append((row[first], start[first], end[last]))
     row, start, end = (np.concatenate(parts) for parts in zip(*levels, strict=True))
     # A paragraph of one line and a text of one paragraph are the same passage.
     _, once = np.unique(start * (len(lines.text) + 1) + end, return_index=True)
@@ -197,6 +213,115 @@ class TemplateIndex:
         return found, np.array(numbers, np.int64), np.array(templates, np.int64), np.array(scores), words.text
 
 
+    def windows(self, column: pa.Array) -> Matches:
+        """The best windows of each row that do not overlap."""
+        words = find_words(column, WHITE_SPACE_OR_PUNCTUATION)
+        _, hashes = shingles(words.row, words.first, words.hashes(), 2, short=False)
+        place = shingle_starts(words.row, 2)
+        low, high = np.searchsorted(self.keys, hashes), np.searchsorted(self.keys, hashes, side="right")
+        held = high - low
+        at = np.repeat(np.arange(len(hashes)), held)
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(held) - held, held)
+        template = self.holders[low[at] + inner]
+        # A window within reach of a template holds at least ``least`` of its bigrams.
+        least = np.where(self.sizes < LEAST_PART, self.sizes, self.least)
+        pair = words.row[place][at].astype(np.int64) * len(self.names) + template
+        order = np.lexsort((at, pair))
+        pair, at = pair[order], at[order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+        after = np.append(first[1:], len(pair))[: len(first)]
+        rows: dict[int, list] = {}
+        for a, b in zip(first, after, strict=True):
+            row, name = divmod(int(pair[a]), len(self.names))
+            if self.sizes[name] and b - a >= least[name] and len(np.unique(hashes[at[a:b]])) >= least[name]:
+                rows.setdefault(row, []).append((name, at[a:b]))
+        bounds = np.searchsorted(words.row[place], np.arange(len(column) + 1))
+        out: list[tuple] = []
+        for row, found in rows.items():
+            begin, end = bounds[row], bounds[row + 1]
+            names = hashes[begin:end]
+            before, behind = _neighbours(names)
+            best = [c for name, hits in found for c in self._best_ends(name, hits - begin, before, behind, int(least[name]))]
+            taken: list[tuple[int, int]] = []
+            # The best coefficient, then the longer template, then by place.
+            for dice, name, a, b in sorted(best, key=lambda c: (-c[0], -self.sizes[c[1]], c[2], c[1])):
+                i = bisect(taken, (a, b))
+                # A bigram is two words, so windows of neighbouring bigrams share one.
+                if (i and taken[i - 1][1] >= a - 1) or (i < len(taken) and taken[i][0] <= b + 1):
+                    continue
+                taken.insert(i, (a, b))
+                out.append((row, words.start[place[begin + a]], words.end[place[begin + b] + 1], name, dice))
+        return Matches.of(out)
+
+    def _best_ends(self, name: int, hits: np.ndarray, before: np.ndarray, behind: np.ndarray, least: int):
+        """(dice, template, first bigram, last bigram): the best window from each bigram of the template.
+
+        A window that holds its first bigram again is no better without it, so it ends before that.
+        """
+        size, most = int(self.sizes[name]), int(self.most[name])
+        own = np.zeros(len(before), bool)
+        own[hits] = True
+        for i in range(len(hits) - least + 1):
+            start = int(hits[i])
+            limit = int(behind[start])
+            if hits[i + least - 1] >= limit:
+                continue
+            reach = 4 * most
+            while True:
+                stop = min(limit, start + reach)
+                new = before[start:stop] < start
+                distinct_ones = np.cumsum(new)
+                if stop == limit or distinct_ones[-1] > most:
+                    break
+                reach *= 2
+            common = np.cumsum(new & own[start:stop])
+            fits = (distinct_ones <= most) & (common >= least)
+            dice = np.where(fits, 2 * common / (distinct_ones + size), 0)
+            best = int(dice.argmax())
+            if dice[best] >= self.threshold:
+                yield float(dice[best]), name, start, start + best
+
+
+def _neighbours(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each name occurs last before its place (-1: nowhere), and next (the length: nowhere)."""
+    order = np.argsort(names, kind="stable")
+    same = names[order[1:]] == names[order[:-1]]
+    before, behind = np.full(len(names), -1, np.int64), np.full(len(names), len(names), np.int64)
+    before[order[1:][same]] = order[:-1][same]
+    behind[order[:-1][same]] = order[1:][same]
+    return before, behind
+
+
+@dataclass
+class Matches:
+    """Rows, byte ranges in the buffer, templates and coefficients."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    template: np.ndarray
+    dice: np.ndarray
+
+    @classmethod
+    def of(cls, found: list[tuple]) -> Matches:
+        parts = zip(*found, strict=True) if found else [[]] * 5
+        return cls(*(np.array(x, t) for x, t in zip(parts, [np.int64] * 4 + [np.float64], strict=True)))
+
+
+def all_matches(index: TemplateIndex, column: pa.Array) -> tuple[Matches, np.ndarray]:
+    """Matching passages, and windows that fit better than every passage they overlap, by row and place."""
+    found, number, template, score, text = index.matches(column)
+    kept = list(zip(found.row[number], found.start[number], found.end[number], template, score, strict=True))
+    of_row: dict[int, list] = {}
+    for m in kept:
+        of_row.setdefault(int(m[0]), []).append(m)
+    more = index.windows(column)
+    for w in zip(more.row, more.start, more.end, more.template, more.dice, strict=True):
+        if not any(m[1] < w[2] and w[1] < m[2] and m[4] >= w[4] for m in of_row.get(int(w[0]), [])):
+            kept.append(w)
+    return Matches.of(sorted(kept, key=lambda m: m[:3])), text
+
+
 def find_licenses(
     docs: DataFrame,
     templates: dict[str, list[str]] = TEMPLATES,
@@ -209,11 +334,9 @@ def find_licenses(
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates, threshold))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, number, template, score, text = index.value.matches(batch.column("text"))
+        found, text = all_matches(index.value, batch.column("text"))
         points = np.append(0, np.cumsum((text & 0xC0) != 0x80))
-        row, start, end = found.row[number], found.start[number], found.end[number]
-        order = np.lexsort((end, start, row))
-        row, start, end, template, score = (x[order] for x in (row, start, end, template, score))
+        row, start, end, template, score = found.row, found.start, found.end, found.template, found.dice
         lines = find_words(batch.column("text"), LINE_BREAK)
         begin = points[lines.bounds[row]]
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
