@@ -120,3 +120,22 @@ def _brute_windows(text):
 def test_best_window_equals_brute_force(text):
     got = m.TemplateIndex(m.TEMPLATES, m.THRESHOLD).windows(pa.array([text], pa.string())).dice
     assert (max(got) if len(got) else None) == _brute_windows(text)
+
+
+def _best(spark, text):
+    return m.summary(documents(spark, {1: text})).first().license
+
+
+def test_program_notices_of_the_gnu_family_name_their_own_licence(spark):
+    notice = next(t for t in m.TEMPLATES["GPL-3.0"] if t.startswith("This program is free"))
+    kin = {"GPL-3.0": "GNU General", "LGPL-3.0": "GNU Lesser General", "AGPL-3.0": "GNU Affero General"}
+    for name, words in kin.items():
+        assert _best(spark, notice.replace("GNU General", words)) == name
+
+
+def test_whole_bsd_texts_with_a_copyright_line(spark):
+    for name in ("BSD-3-Clause", "BSD-2-Clause"):
+        text = max(m.TEMPLATES[name], key=len)
+        for mark in ("1. ", "2. ", "3. ", "THIS SOFTWARE IS"):
+            text = text.replace(" " + mark, "\n\n" + mark)
+        assert _best(spark, "Copyright (c) 2020, The people of the project\nAll rights reserved.\n\n" + text) == name
