@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -68,3 +69,14 @@ def test_odd_rows_and_empty_table(spark):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in m.contract_digest(odd_documents(spark)).collect())
     assert got == sorted(_brute([r[1] for r in odd_rows()]))
     assert m.contract_digest(no_documents(spark)).count() == 0
+
+
+def test_texts_without_id_whose_checksums_agree_are_two_texts(spark):
+    passage, other = prose(71, 60), prose(72, 80)
+    tail = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    sums = {zlib.crc32(f"{passage} {tail(i)}".encode()): tail(i) for i in range(200_000)}
+    i, j = next((sums[c], tail(j)) for j in range(400_000) if (c := zlib.crc32(f"{other} {tail(j)}".encode())) in sums)
+    rows = [(None, f"{passage} {i}"), (None, f"{other} {j}"), (None, f"{passage} and more")]
+    got = m.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {bytes(r.kept).decode(): r.n_removed for r in got}
+    assert removed[f"{other} {j}"] == 0 and sorted(removed.values())[0] == 0 and sorted(removed.values())[1] >= len(passage)
