@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlegauge.llm import decontaminate, fertility, fill_middle, licenses, mixing_lm, near_dup, pii, repeats, secrets, source_mix, toxicity
+from titlegauge.llm import conversation_repair, decontaminate, fertility, fill_middle, licenses, mixing_lm, near_dup, pii, repeats, secrets, source_mix, toxicity
 from titlegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.contract_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.contract_reports(table(spark, sf_dir, "conversations"))
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op4_licenses, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op9_repeated_passages, op10_decontamination, op11_fill_middle)}
+    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op4_licenses, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op9_repeated_passages, op10_decontamination, op11_fill_middle, op12_conversation_repair)}
 
 
 def all_oracles() -> dict[str, str]:
@@ -69,4 +73,5 @@ def all_oracles() -> dict[str, str]:
         "op9_repeated_passages": repeats.ORACLE,
         "op10_decontamination": decontaminate.ORACLE,
         "op11_fill_middle": fill_middle.ORACLE,
+        "op12_conversation_repair": conversation_repair.ORACLE,
     }
