@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titlegauge.llm import conversation_repair, decontaminate, fertility, fill_middle, licenses, mixing_lm, near_dup, pii, repeats, secrets, source_mix, toxicity
+from titlegauge.llm import conversation_repair, decontaminate, fertility, fill_middle, hash_search, licenses, mixing_lm, near_dup, pii, repeats, secrets, source_mix, toxicity
 from titlegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +62,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.contract_reports(table(spark, sf_dir, "conversations"))
 
 
+def op13_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_search.contract_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op4_licenses, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op9_repeated_passages, op10_decontamination, op11_fill_middle, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_mixing_lm, op2_personal_data, op3_toxicity, op4_licenses, op5_secrets, op6_fertility, op7_source_mix, op8_near_duplicates, op9_repeated_passages, op10_decontamination, op11_fill_middle, op12_conversation_repair, op13_hash_search)}
 
 
 def all_oracles() -> dict[str, str]:
