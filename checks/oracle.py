@@ -18,6 +18,7 @@ STRUCTURAL = [
     "n_words", "n_chars", "avg_word_len", "has_number",
     "has_question", "has_exclaim", "caps_ratio", "starts_wh",
 ]
+ALPHAS = (0.1, 1.0, 10.0, 100.0)
 COEFS = {
     "n_words": 0.01, "n_chars": -0.01, "avg_word_len": 0.02, "has_number": 0.03,
     "has_question": -0.02, "has_exclaim": 0.015, "caps_ratio": -0.03, "starts_wh": 0.025,
@@ -134,31 +135,65 @@ def model_sql(vocab: str, terms: str, labelled: str, scaler: str) -> str:
       SELECT subreddit, 'i', '(intercept)', 0.0::DOUBLE, 1.0::DOUBLE, m FROM means"""
 
 
-def ridge_sql(structure: str, scaler: str, labelled: str, alpha: float) -> str:
-    """(subreddit, kind, feature, coef): normal equations of standardised structure, solved by
-    eliminating one column after the other; centred features leave the mean label as intercept."""
-    n = len(STRUCTURAL)
-    numbered = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(STRUCTURAL, 1))
+def ridge_sql(values: str, labelled: str, alphas: tuple[float, ...], folds: int = 0) -> str:
+    """Sub-queries for ridge models by elimination. ``values``: (subreddit, id, feature, v).
+
+    ``solved`` has a row per community, system (a fold is left out; the last has all rows) and penalty:
+    the centred matrix with the penalty on its diagonal is swept next to a unit matrix and the right
+    side, so ``m`` ends with the inverse and the coefficients.
+    """
+    grid = ", ".join(str(a) for a in alphas)
+    fold = f"{hash_order('CAST(id AS VARCHAR)', 1)} % {folds}" if folds else "-1"
     return f"""
-      WITH RECURSIVE z AS (
-        SELECT subreddit, id, CASE feature {numbered} END AS f, (raw - center) * factor AS v
-        FROM ({unpivot_sql(structure, 'subreddit, id')}) JOIN {scaler} USING (subreddit, feature)),
-      products AS (
-        SELECT a.subreddit, a.f AS i, b.f AS j, sum(a.v * b.v) + any_value(CASE WHEN a.f = b.f THEN {alpha} ELSE 0 END) AS s
-        FROM z a JOIN z b ON a.subreddit = b.subreddit AND a.id = b.id GROUP BY a.subreddit, a.f, b.f
-        UNION ALL
-        SELECT z.subreddit, f, {n + 1}, sum(v * label) FROM z JOIN {labelled} l ON z.subreddit = l.subreddit AND z.id = l.id GROUP BY z.subreddit, f),
-      equations AS (SELECT subreddit, i, list(s ORDER BY j) AS r FROM products GROUP BY subreddit, i),
-      elimination AS (
-        SELECT subreddit, 0 AS k, list(r ORDER BY i) AS m FROM equations GROUP BY subreddit
+      numbered AS (SELECT subreddit, feature, row_number() OVER (PARTITION BY subreddit ORDER BY feature) AS f, count(*) OVER (PARTITION BY subreddit) AS w
+        FROM (SELECT DISTINCT subreddit, feature FROM {values})),
+      labels_ AS (SELECT subreddit, id, label, {fold} AS fold FROM {labelled}),
+      systems AS (SELECT unnest(range({folds + 1})) AS sys),
+      part AS (SELECT l.*, s.sys FROM labels_ l JOIN systems s ON s.sys = {folds} OR l.fold <> s.sys),
+      size_ AS (SELECT subreddit, sys, count(*) AS n, avg(label) AS ym FROM part GROUP BY subreddit, sys),
+      cell AS (SELECT p.subreddit, p.sys, p.id, n.f, v.v, p.label FROM part p JOIN {values} v USING (subreddit, id) JOIN numbered n USING (subreddit, feature)),
+      means_ AS (SELECT s.subreddit, s.sys, x.f, coalesce(sum(c.v), 0) / any_value(s.n) AS mv, coalesce(sum(c.v * c.label), 0) - coalesce(sum(c.v), 0) * any_value(s.ym) AS rhs
+        FROM size_ s JOIN numbered x USING (subreddit) LEFT JOIN cell c ON c.subreddit = s.subreddit AND c.sys = s.sys AND c.f = x.f GROUP BY s.subreddit, s.sys, x.f),
+      both_ AS (SELECT a.subreddit, a.sys, a.f AS i, b.f AS j, sum(a.v * b.v) AS s FROM cell a JOIN cell b USING (subreddit, sys, id) GROUP BY a.subreddit, a.sys, a.f, b.f),
+      product AS (SELECT a.subreddit, a.sys, a.f AS i, b.f AS j, coalesce(s, 0) - z.n * a.mv * b.mv AS s, a.rhs, z.n, z.ym
+        FROM means_ a JOIN means_ b USING (subreddit, sys) JOIN size_ z USING (subreddit, sys) LEFT JOIN both_ q ON q.subreddit = a.subreddit AND q.sys = a.sys AND q.i = a.f AND q.j = b.f),
+      line AS (SELECT subreddit, sys, alpha, i, any_value(n) AS n, any_value(ym) AS ym,
+          list_concat(list_concat(list(s + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j), list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END ORDER BY j)), [any_value(rhs)]) AS r
+        FROM product JOIN (SELECT unnest([{grid}]::DOUBLE[]) AS alpha) ON true GROUP BY subreddit, sys, alpha, i),
+      sweep AS (
+        SELECT subreddit, sys, alpha, any_value(n) AS n, any_value(ym) AS ym, count(*) AS w, 0 AS k, list(r ORDER BY i) AS m FROM line GROUP BY subreddit, sys, alpha
         UNION ALL
-        SELECT subreddit, k + 1, [CASE WHEN i = k + 1 THEN [x / m[k + 1][k + 1] FOR x IN m[k + 1]]
-          ELSE [m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j] FOR j IN range(1, {n + 2})] END FOR i IN range(1, {n + 1})]
-        FROM elimination WHERE k < {n})
-      SELECT subreddit, 's' AS kind, s.feature, m[CASE s.feature {numbered} END][{n + 1}] AS coef
-      FROM elimination JOIN {scaler} s USING (subreddit) WHERE k = {n}
-      UNION ALL
-      SELECT subreddit, 'i', '(intercept)', avg(label) FROM {labelled} GROUP BY subreddit"""
+        SELECT subreddit, sys, alpha, n, ym, w, k + 1, [CASE WHEN i = k + 1 THEN [x / m[k + 1][k + 1] FOR x IN m[k + 1]]
+          ELSE [m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j] FOR j IN range(1, 2 * w + 2)] END FOR i IN range(1, w + 1)]
+        FROM sweep WHERE k < w),
+      solved AS (SELECT * EXCLUDE (k) FROM sweep WHERE k = w),
+      weight_ AS (SELECT s.subreddit, s.sys, s.alpha, s.n, s.ym, x.f, x.feature, a.mv, s.m[x.f][2 * w + 1] AS coef, s.m[x.f][w + 1:2 * w] AS inverse
+        FROM solved s JOIN numbered x USING (subreddit, w) JOIN means_ a ON a.subreddit = s.subreddit AND a.sys = s.sys AND a.f = x.f),
+      base_ AS (SELECT subreddit, sys, alpha, any_value(ym) - sum(mv * coef) AS intercept FROM weight_ GROUP BY subreddit, sys, alpha)"""
+
+
+def fold_choice_sql(values: str, folds: int) -> str:
+    """(subreddit, alpha, error) with the least squared error on the left-out folds."""
+    return f"""
+      SELECT subreddit, min({{'e': error, 'a': alpha}}).a AS alpha, min({{'e': error, 'a': alpha}}).e AS error FROM (
+        SELECT subreddit, alpha, sum((label - p) * (label - p)) AS error FROM (
+          SELECT l.subreddit, l.id, w.alpha, any_value(l.label) AS label, any_value(b.intercept) + sum(v.v * w.coef) AS p
+          FROM labels_ l JOIN {values} v USING (subreddit, id) JOIN weight_ w ON w.subreddit = l.subreddit AND w.sys = l.fold AND w.feature = v.feature
+          JOIN base_ b ON b.subreddit = w.subreddit AND b.sys = w.sys AND b.alpha = w.alpha
+          WHERE l.fold < {folds} GROUP BY l.subreddit, l.id, w.alpha) GROUP BY subreddit, alpha) GROUP BY subreddit"""
+
+
+def left_out_choice_sql(values: str, folds: int) -> str:
+    """(subreddit, alpha, error) with the least squared error of rows left out one by one."""
+    return f"""
+      SELECT subreddit, min({{'e': error, 'a': alpha}}).a AS alpha, min({{'e': error, 'a': alpha}}).e AS error FROM (
+        SELECT subreddit, alpha, sum(pow((label - p) / (1 - h), 2)) AS error FROM (
+          SELECT l.subreddit, l.id, w.alpha, any_value(l.label) AS label, any_value(w.ym) + sum((v.v - w.mv) * w.coef) AS p,
+            1.0 / any_value(w.n) + list_dot_product(list(v.v - w.mv ORDER BY w.f), list(list_dot_product(w.inverse, z.x) ORDER BY w.f)) AS h
+          FROM labels_ l JOIN {values} v USING (subreddit, id) JOIN weight_ w ON w.subreddit = l.subreddit AND w.sys = {folds} AND w.feature = v.feature
+          JOIN (SELECT v.subreddit, v.id, list(v.v - a.mv ORDER BY a.f) AS x FROM {values} v JOIN numbered x USING (subreddit, feature)
+                JOIN means_ a ON a.subreddit = v.subreddit AND a.sys = {folds} AND a.f = x.f GROUP BY v.subreddit, v.id) z ON z.subreddit = l.subreddit AND z.id = l.id
+          GROUP BY l.subreddit, l.id, w.alpha) GROUP BY subreddit, alpha) GROUP BY subreddit"""
 
 
 def cells_sql(terms: str, structure: str, model: str, keys: str) -> str:
@@ -500,6 +535,17 @@ def all_oracles() -> dict[str, str]:
         f"avg({c})" for c in ("n_train", "n_test", "rho_naive", "rho_model", "top10_model", "top10_random")
     )
 
+    structure_values = f"""SELECT subreddit, id, feature, (raw - center) * factor AS v
+      FROM ({unpivot_sql('train_structure', 'subreddit, id')}) JOIN scaler USING (subreddit, feature)"""
+    few_values = f"""SELECT subreddit, id, 's:' || feature AS feature, v FROM ({structure_values})
+      UNION ALL SELECT subreddit, id, 't:' || feature, weight FROM ({weights_sql('train_terms', f"({vocabulary_sql('train_terms', 'train', 3, 12)})", 'subreddit, id')})"""
+
+    def fitted(labelled: str, values: str, alphas: tuple[float, ...], folds: int, select: str, more: str = "") -> str:
+        """``select`` over ridge models of ``values``, the features of ``labelled``."""
+        start = build(f"SELECT 0 AS cut_here, {labelled} {values} {more} {select}").split("SELECT 0 AS cut_here")[0].rstrip()
+        extra = "," + more if more else ""
+        return f"{start.replace('WITH', 'WITH RECURSIVE', 1)}, values_ AS ({values}), {ridge_sql('values_', labelled, alphas, folds)}{extra} {select}"
+
     oracles = {
         "clean_posts": build("SELECT * FROM posts"),
         "clean_posts_historical": build(f"SELECT * FROM ({clean_sql('raw_posts', 'zero')})"),
@@ -578,7 +624,25 @@ def all_oracles() -> dict[str, str]:
         "char_terms": build(f"SELECT subreddit, feature, count(*) AS tf, count(DISTINCT id) AS df FROM ({char_grams}) GROUP BY subreddit, feature"),
         "vocabulary": build(f"SELECT subreddit, feature, tf, df, round(idf, 6) AS idf FROM ({vocabulary_sql('train_terms', 'train', 3, 20000)})"),
         "tfidf": build(f"SELECT subreddit, id, feature, round(weight, 6) AS weight FROM ({weights_sql('terms', 'vocab', 'subreddit, id')})"),
-        "ridge_structural": build(f"SELECT subreddit, kind, feature, round(coef, 4) AS coef FROM ({ridge_sql('train_structure', 'scaler', 'train', 10.0)})"),
+        "ridge_structural": fitted("train", structure_values, (10.0,), 0, "SELECT subreddit, 's' AS kind, feature, round(coef, 4) AS coef FROM weight_"
+          " UNION ALL SELECT subreddit, 'i', '(intercept)', round(intercept, 4) FROM base_"),
+        "ridge_few_terms": fitted("train", few_values, (10.0,), 0, "SELECT subreddit, feature[1] AS kind, feature[3:] AS feature, round(coef, 4) AS coef FROM weight_"
+          " UNION ALL SELECT subreddit, 'i', '(intercept)', round(intercept, 4) FROM base_"),
+        "loo_alpha": fitted("train", structure_values, ALPHAS, 3, f"""SELECT subreddit, o.alpha AS loo_alpha, round(o.error, 4) AS loo_error, f.alpha AS fold_alpha, round(f.error, 4) AS fold_error,
+          o.alpha = f.alpha AS same FROM ({left_out_choice_sql('values_', 3)}) o JOIN ({fold_choice_sql('values_', 3)}) f USING (subreddit)"""),
+        "ridge_structural_evaluation": fitted("train", structure_values, ALPHAS, 3, f"""SELECT subreddit, {_r('n_train', 'n_test', 'rho_naive', 'rho_model', 'top10_model', 'top10_random')}, alpha FROM (
+          SELECT * FROM trained_rows UNION ALL SELECT 'MEAN', {mean}, avg(alpha) FROM trained_rows)""", f"""
+          chosen AS ({fold_choice_sql('values_', 3)}),
+          test_values AS (SELECT subreddit, id, feature, (raw - center) * factor AS v FROM ({unpivot_sql('test_structure', 'subreddit, id')}) JOIN scaler USING (subreddit, feature)),
+          guesses AS (SELECT v.subreddit, v.id, any_value(c.alpha) AS alpha, round(any_value(b.intercept) + sum(v.v * w.coef), 7) AS prediction
+            FROM test_values v JOIN chosen c USING (subreddit) JOIN weight_ w ON w.subreddit = v.subreddit AND w.feature = v.feature AND w.alpha = c.alpha AND w.sys = 3
+            JOIN base_ b ON b.subreddit = v.subreddit AND b.alpha = c.alpha AND b.sys = 3 GROUP BY v.subreddit, v.id),
+          judged_rows AS (SELECT g.*, t.label, s.n_words FROM guesses g JOIN test t USING (subreddit, id) JOIN structure s USING (subreddit, id)),
+          trained_rows AS (SELECT subreddit, n_train::DOUBLE AS n_train, n_test::DOUBLE AS n_test, rho_naive, rho_model, top10_model, top10_random, alpha
+            FROM (SELECT subreddit, count(*) AS n_train FROM train GROUP BY subreddit) JOIN ({top_decile_sql('judged_rows')}) USING (subreddit)
+            JOIN (SELECT subreddit, alpha FROM chosen) USING (subreddit)
+            LEFT JOIN ({spearman_sql('judged_rows', 'n_words', 'label', 'rho_naive')}) USING (subreddit)
+            LEFT JOIN ({spearman_sql('judged_rows', 'prediction', 'label', 'rho_model')}) USING (subreddit))"""),
         "ridge_model": build("SELECT subreddit, kind, feature, true AS optimal FROM model"),
         "scaled_structural": build("SELECT subreddit, id, " + ", ".join(
             f"round(max(CASE WHEN feature = '{n}' THEN value END), 6) AS {n}" for n in STRUCTURAL

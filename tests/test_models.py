@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from titlegauge.operators import features, models, score
+from titlegauge.operators import ridge as ridge_fit
 from titlegauge.session import cut_lineage
 from tests.test_labels import make_posts
 
@@ -69,6 +70,28 @@ def test_chosen_alpha_is_close_to_leave_one_out(training, space):
     assert errors[chosen["hot"]] <= 1.05 * min(errors.values())
 
 
+def test_left_out_errors_over_chunks(monkeypatch, training):
+    """The exact leave-one-out choice equals the hat matrix of each community, whatever the chunks."""
+    monkeypatch.setattr(ridge_fit, "CHUNK_ROWS", 50)
+    space = features.fit_space(training, analyzer=None, intercept_factor=models.INTERCEPT_FACTOR)
+    indexed = cut_lineage(ridge_fit.with_local_index(space))
+    rows, sizes = ridge_fit.row_chunks(training, indexed, 0, None, None)
+    chosen = {r.subreddit: r for r in ridge_fit.choose_by_leaving_out(rows, sizes, models.ALPHAS).collect()}
+    long = features.long_features(
+        features.featurize(training, space, ["subreddit", "id", "label"], None), ["subreddit", "id", "label"]
+    ).filter("kind <> 'i'").toPandas()
+    for community in ("hot", "s0"):
+        part = long[long.subreddit == community]
+        x = part.pivot_table(index="id", columns="feature", values="value", fill_value=0.0)
+        y = part.drop_duplicates("id").set_index("id").loc[x.index, "label"].to_numpy()
+        errors = {a: len(y) * leave_one_out_error(x.to_numpy(), y, a) for a in models.ALPHAS}
+        assert chosen[community].alpha == min(errors, key=errors.get)
+        assert chosen[community].error == pytest.approx(min(errors.values()), rel=1e-8)
+    monkeypatch.setattr(ridge_fit, "LOO_FEATURES", 3)
+    with pytest.raises(ValueError):
+        ridge_fit.choose_by_leaving_out(rows, sizes, models.ALPHAS)
+
+
 def test_leave_one_out_identity():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(12, 4)), rng.normal(size=12)
@@ -80,13 +103,40 @@ def test_leave_one_out_identity():
     assert leave_one_out_error(x, y, 2.0) == pytest.approx(np.mean(brute))
 
 
-def test_community_batches_give_the_same_model(monkeypatch, training, space):
-    whole = models.fit_ridge(training, space, alphas=(1.0,)).toPandas()
-    monkeypatch.setattr(models, "MAX_COEFFICIENTS", 60)
-    parts = models.fit_ridge(training, space, alphas=(1.0,)).toPandas()
-    key = ["subreddit", "kind", "feature"]
+def test_many_chunks_give_the_same_model(monkeypatch, training, space):
+    """A community of many chunks takes its steps over the cluster, one pass each."""
+    whole = models.fit_ridge(training, space, alphas=(10.0, 100.0), folds=2).toPandas()
+    monkeypatch.setattr(ridge_fit, "CHUNK_ROWS", 100)
+    assert training.groupBy("subreddit").count().filter("count > 100").count() >= 1
+    parts = models.fit_ridge(training, space, alphas=(10.0, 100.0), folds=2).toPandas()
+    key = ["subreddit", "kind", "feature", "alpha"]
     both = whole.merge(parts, on=key)
-    assert len(both) == len(whole) and np.allclose(both.coef_x, both.coef_y, atol=1e-5)
+    assert len(both) == len(whole) and np.allclose(both.coef_x, both.coef_y, atol=1e-6)
+
+
+def test_every_penalty_follows_from_the_steps_of_the_smallest():
+    rng = np.random.default_rng(4)
+    x, y, fold = rng.normal(size=(90, 12)), rng.normal(size=90), rng.integers(0, 3, 90)
+    x[:, 3] *= 30
+    row, idx = np.nonzero(np.ones_like(x))
+    chunk = ridge_fit.Chunk(row, idx, x.ravel(), y, fold)
+    alphas = (100.0, 0.1, 1.0)
+    state = ridge_fit._solved_here(chunk, 12, 4, alphas)
+    for k in range(4):
+        mine = fold != k
+        for a, alpha in enumerate(alphas):
+            w, b = ridge(x[mine], y[mine], alpha)
+            assert np.allclose(state.solution[k, a], w, atol=1e-6)
+            assert state.label_mean[k] - state.mean[k] @ state.solution[k, a] == pytest.approx(b, abs=1e-6)
+
+
+def test_folds_without_rows_and_constant_labels():
+    x = np.array([[1.0, 0.0], [0.0, 2.0], [1.0, 1.0]])
+    row, idx = np.nonzero(np.ones_like(x))
+    for label in (np.zeros(3), np.ones(3)):
+        chunk = ridge_fit.Chunk(row, idx, x.ravel(), label, np.zeros(3, int))
+        state = ridge_fit._solved_here(chunk, 3, 3, (1.0, 2.0))
+        assert np.allclose(state.solution, 0) and np.allclose(state.label_mean[-1], label[0])
 
 
 def test_contributions_add_up_to_the_prediction(training, space):

@@ -135,11 +135,12 @@ def intercept_space(communities: DataFrame, factor: float = 1.0) -> DataFrame:
 
 def fit_space(
     train: DataFrame, min_df: int = MIN_DF, max_features: int = MAX_FEATURES,
-    analyzer: str = "word", intercept_factor: float = 1.0, weight: str | None = None,
+    analyzer: str | None = "word", intercept_factor: float = 1.0, weight: str | None = None,
 ) -> DataFrame:
-    """Text, structural and intercept features of every community, from training rows only."""
+    """Text, structural and intercept features of every community, from training rows only; no text
+    without an ``analyzer``."""
     space = structural_space(train, weight)
-    for kind, counter in TEXT_KINDS[analyzer].items():
+    for kind, counter in (TEXT_KINDS[analyzer] if analyzer else {}).items():
         terms = vocabulary(train, min_df, max_features, counter, weight)
         space = space.unionByName(text_space(terms, kind))
     return (

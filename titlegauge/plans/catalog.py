@@ -11,7 +11,7 @@ from titlegauge.functions.text import STRUCTURAL_NAMES, with_structural
 from titlegauge.functions.urls import norm_url
 from titlegauge.functions.values import verdict
 from titlegauge.operators.models import GRADIENT_LIMIT
-from titlegauge.operators import evaluate, features, ingest, labels, noise, pairs, profile, score
+from titlegauge.operators import evaluate, features, ingest, labels, noise, pairs, profile, ridge, score
 from titlegauge.plans import pair_study, training
 from titlegauge.plans.drafts import DRAFT_KEYS, draft_report
 from titlegauge.plans.posts import labelled_posts, split_sides
@@ -26,7 +26,7 @@ LATEST_N, MONTHLY_N, STRIDE, SCAN_ROWS = 100, 200, 3, 60
 SAMPLE_N = 5
 WANTED = ["src0", "src3", "src7", "src11", "src19"]
 MIN_LINK_POSTS = 2_000
-RIDGE_ALPHA = 10.0
+RIDGE_ALPHA, FEW_TERMS = 10.0, 12
 EMBEDDING_SIZE = 64
 
 _QUERIES: dict[str, Query] = {}
@@ -651,6 +651,30 @@ def ridge_model(spark, sf):
     return model.select("subreddit", "kind", "feature", at_optimum)
 
 
+@query
+def ridge_few_terms(spark, sf):
+    """Coefficients of ridge models on the few most frequent terms and structure."""
+    train, _ = split_sides(cut_lineage(_labelled(spark, sf)))
+    space = features.fit_space(train, max_features=FEW_TERMS, intercept_factor=training.INTERCEPT_FACTOR)
+    model = training.fit_ridge(train, space, alphas=(RIDGE_ALPHA,))
+    return rounded(model.select("subreddit", "kind", "feature", "coef"), 4)
+
+
+@query
+def loo_alpha(spark, sf):
+    """The penalty by leaving out each post and by folds, on structure, and where they differ."""
+    train, _ = split_sides(cut_lineage(_labelled(spark, sf)))
+    space = features.fit_space(train, analyzer=None, intercept_factor=training.INTERCEPT_FACTOR)
+    return rounded(ridge.compare_choices(train, space, training.ALPHAS, training.FOLDS), 4)
+
+
+@query
+def ridge_structural_evaluation(spark, sf):
+    """Trained on structure with the penalty chosen by folds, evaluated on the held-out posts."""
+    labelled = cut_lineage(_labelled(spark, sf))
+    return rounded(training.train_and_evaluate(labelled, analyzer=None).evaluation)
+
+
 @query
 def ridge_evaluation(spark, sf):
     return training.train_and_evaluate(cut_lineage(_labelled(spark, sf))).evaluation

@@ -20,6 +20,8 @@ from titlegauge.operators.score import predict
 from titlegauge.plans.posts import split_sides
 from titlegauge.session import cut_lineage
 
+# Decimals to which the predictions of an iterative fit are compared.
+TRAINED_DIGITS = 7
 # A plain, reproducible model for checks: term weights come from the labels, these are constants.
 FIXED_STRUCTURAL_COEFS = {
     "n_words": 0.01, "n_chars": -0.01, "avg_word_len": 0.02, "has_number": 0.03,
@@ -39,12 +41,14 @@ class Bundle:
 
 def evaluate_model(
     labelled: DataFrame, model: DataFrame, analyzer: str | None = "word",
-    embedding: str | None = None,
+    embedding: str | None = None, digits: int = 9,
 ) -> DataFrame:
-    """Evaluation row per community on the held-out posts."""
+    """Evaluation row per community on the held-out posts; predictions that agree to ``digits``
+    decimals are ties."""
     train, test = split_sides(labelled)
     keys = ["subreddit", "id", "title", "label"]
-    predicted = cut_lineage(predict(test, model, keys, analyzer, embedding).drop("features"))
+    predicted = predict(test, model, keys, analyzer, embedding).drop("features")
+    predicted = cut_lineage(predicted.withColumn("prediction", F.round("prediction", digits)))
     sizes = train.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n_train"))
     return evaluation_rows(predicted, sizes)
 
@@ -58,13 +62,13 @@ def metrics_of(evaluation: DataFrame) -> DataFrame:
 
 def train_and_evaluate(
     labelled: DataFrame, min_df: int = MIN_DF, max_features: int = MAX_FEATURES,
-    alphas: Sequence[float] = ALPHAS, folds: int = FOLDS, analyzer: str = "word",
+    alphas: Sequence[float] = ALPHAS, folds: int = FOLDS, analyzer: str | None = "word",
 ) -> Bundle:
     """Fit spaces and ridge models on the training side, evaluate on the other."""
     train, _ = split_sides(labelled)
     space = fit_space(train, min_df, max_features, analyzer, INTERCEPT_FACTOR)
     model = cut_lineage(fit_ridge(train, space, alphas, folds, analyzer))
-    rows = cut_lineage(evaluate_model(labelled, model, analyzer))
+    rows = cut_lineage(evaluate_model(labelled, model, analyzer, digits=TRAINED_DIGITS))
     alpha = model.select("subreddit", "alpha").distinct()
     return Bundle(
         model=model,
@@ -96,7 +100,9 @@ def train_embedding(
     model = cut_lineage(
         fit_ridge(train, space, alphas, folds, analyzer=None, embedding="embedding")
     )
-    return model, evaluate_model(rows, model, analyzer=None, embedding="embedding")
+    return model, evaluate_model(
+        rows, model, analyzer=None, embedding="embedding", digits=TRAINED_DIGITS
+    )
 
 
 def fixed_model(

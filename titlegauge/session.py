@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,17 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
     return tune(spark)
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, besides their own path.
+
+    A cluster that does not share that folder gets the package by ``--py-files`` as usual.
+    """
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
