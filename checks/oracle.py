@@ -446,6 +446,56 @@ _CTES = {
       FROM (SELECT *, (score_win + 1) / (score_lose + 1)::DOUBLE AS m FROM reposts) r
       JOIN title_bands w ON w.subreddit = r.subreddit AND w.title = r.title_win
       JOIN title_bands l ON l.subreddit = r.subreddit AND l.title = r.title_lose""",
+    # pair preference on structure
+    "pair_sides_of": f"""
+      SELECT nurl, row_number() OVER (ORDER BY {hash_order('nurl')}) <= ceil(0.25 * count(*) OVER ()) AS is_test FROM (SELECT DISTINCT nurl FROM reposts)""",
+    "split_pairs": "SELECT b.*, g.is_test FROM balanced b JOIN pair_sides_of g USING (nurl)",
+    "pref_sides": """
+      SELECT pair_index, 1.0::DOUBLE AS side, 'all' AS subreddit, is_test, y, title_a AS title FROM split_pairs
+      UNION ALL SELECT pair_index, -1.0, 'all', is_test, y, title_b FROM split_pairs""",
+    "pref_structure": structural_sql("pref_sides", "pair_index, side, subreddit, is_test, y"),
+    "pref_scaler": scaler_sql("(SELECT * FROM pref_structure WHERE NOT is_test)"),
+    "pref_rows": f"""
+      SELECT pair_index, is_test, y, list_append(list(d ORDER BY f), 1.0::DOUBLE) AS x FROM (
+        SELECT pair_index, is_test, y, list_position({STRUCTURAL}, feature) AS f, sum((raw - center) * factor * side) AS d
+        FROM ({unpivot_sql('pref_structure', 'pair_index, side, subreddit, is_test, y')}) JOIN pref_scaler USING (subreddit, feature)
+        GROUP BY pair_index, is_test, y, feature) GROUP BY pair_index, is_test, y""",
+    # Newton steps; each solves its equations by elimination, folded over the columns.
+    "newton": f"""
+      SELECT 0 AS step, [0.0::DOUBLE FOR i IN range(9)] AS t
+      UNION ALL
+      SELECT step + 1, [t[i] - list_reduce(list_prepend(m, [[[k::DOUBLE]] FOR k IN range(1, 10)]), lambda a, q:
+          [CASE WHEN r = q[1][1] THEN [v / a[q[1][1]::INT][q[1][1]::INT] FOR v IN a[r]]
+           ELSE [a[r][c] - a[r][q[1][1]::INT] / a[q[1][1]::INT][q[1][1]::INT] * a[q[1][1]::INT][c] FOR c IN range(1, 11)] END FOR r IN range(1, 10)])[i][10] FOR i IN range(1, 10)]
+      FROM (SELECT step, any_value(t) AS t, list(r ORDER BY i) AS m FROM (
+        SELECT step, i, any_value(t) AS t, list_append(list(s ORDER BY j), any_value(g)) AS r FROM (
+          SELECT n.step, i, j, any_value(n.t) AS t, sum(p * (1 - p) * x[i] * x[j]) + any_value(CASE WHEN i = j AND i < 9 THEN 1 ELSE 0 END) AS s,
+            sum((p - y) * x[i]) + any_value(CASE WHEN i < 9 THEN n.t[i] ELSE 0 END) AS g
+          FROM newton n CROSS JOIN (SELECT unnest(range(1, 10)) AS i) CROSS JOIN (SELECT unnest(range(1, 10)) AS j)
+          JOIN (SELECT x, y, 0 AS one FROM pref_rows WHERE NOT is_test) d ON true
+          CROSS JOIN LATERAL (SELECT 1 / (1 + exp(-list_dot_product(d.x, n.t))) AS p)
+          WHERE n.step < 12 GROUP BY n.step, i, j) GROUP BY step, i) GROUP BY step)""",
+    "held_posts": """
+      SELECT id, title, sub AS subreddit, score,
+        count(*) OVER (PARTITION BY sub ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (count(*) OVER (PARTITION BY sub))::DOUBLE AS label
+      FROM links WHERE nurl NOT IN (SELECT nurl FROM split_pairs WHERE is_test)""",
+    "held_terms": terms_sql("held_posts", "subreddit, id"),
+    "held_vocab": vocabulary_sql("held_terms", "held_posts", 3, 20000),
+    "held_structure": structural_sql("held_posts", "subreddit, id"),
+    "held_scaler": scaler_sql("held_structure"),
+    "held_model": model_sql("held_vocab", "held_terms", "held_posts", "held_scaler"),
+    "asked": """
+      SELECT subreddit, title_win AS title FROM split_pairs WHERE is_test UNION SELECT subreddit, title_lose FROM split_pairs WHERE is_test""",
+    "asked_terms": terms_sql("asked", "subreddit, title"),
+    "asked_structure": structural_sql("asked", "subreddit, title"),
+    "asked_cells": cells_sql("asked_terms", "asked_structure", "held_model", "title"),
+    "asked_bands": f"SELECT subreddit, title, {BAND} AS band FROM ({predictions_sql('asked_cells', 'subreddit, title')})",
+    "study": """
+      SELECT CASE WHEN m >= 1 AND m < 2 THEN '<2x' WHEN m >= 2 AND m < 5 THEN '2-5x' WHEN m >= 5 AND m < 20 THEN '5-20x' WHEN m >= 20 AND m < 1e9 THEN '>20x' END AS margin,
+        (w.band > l.band)::INT AS pointwise, ((round(list_dot_product(d.x, f.t), 9) > 0) = (p.y = 1))::INT AS pairwise
+      FROM (SELECT *, (score_win + 1) / (score_lose + 1)::DOUBLE AS m FROM split_pairs WHERE is_test) p
+      JOIN asked_bands w ON w.subreddit = p.subreddit AND w.title = p.title_win JOIN asked_bands l ON l.subreddit = p.subreddit AND l.title = p.title_lose
+      JOIN pref_rows d USING (pair_index) JOIN (SELECT t FROM newton ORDER BY step DESC LIMIT 1) f ON true""",
     "vectors": """
       SELECT p.id, e.embedding FROM raw_posts p JOIN embeddings e ON printf('%x', e.vec_id) = split_part(p.id, '_', 1)""",
 }
@@ -540,6 +590,9 @@ def all_oracles() -> dict[str, str]:
     few_values = f"""SELECT subreddit, id, 's:' || feature AS feature, v FROM ({structure_values})
       UNION ALL SELECT subreddit, id, 't:' || feature, weight FROM ({weights_sql('train_terms', f"({vocabulary_sql('train_terms', 'train', 3, 12)})", 'subreddit, id')})"""
 
+    def recursive(select: str) -> str:
+        return build(select).replace("WITH", "WITH RECURSIVE", 1)
+
     def fitted(labelled: str, values: str, alphas: tuple[float, ...], folds: int, select: str, more: str = "") -> str:
         """``select`` over ridge models of ``values``, the features of ``labelled``."""
         start = build(f"SELECT 0 AS cut_here, {labelled} {values} {more} {select}").split("SELECT 0 AS cut_here")[0].rstrip()
@@ -644,6 +697,11 @@ def all_oracles() -> dict[str, str]:
             LEFT JOIN ({spearman_sql('judged_rows', 'n_words', 'label', 'rho_naive')}) USING (subreddit)
             LEFT JOIN ({spearman_sql('judged_rows', 'prediction', 'label', 'rho_model')}) USING (subreddit))"""),
         "ridge_model": build("SELECT subreddit, kind, feature, true AS optimal FROM model"),
+        "preference_coefficients": recursive(f"""SELECT 's' AS kind, names[i] AS feature, round(t[i], 4) AS coef FROM (
+          SELECT t, {STRUCTURAL} AS names, unnest(range(1, 9)) AS i FROM newton WHERE step = 12) UNION ALL SELECT 'i', '(intercept)', round(t[9], 4) FROM newton WHERE step = 12"""),
+        "preference_structural": recursive("""SELECT coalesce(margin, 'all') AS margin, count(*) AS pairs, round(avg(pointwise), 6) AS pointwise_accuracy,
+          round(avg(pairwise), 6) AS pairwise_accuracy, 0.5::DOUBLE AS chance, round(avg(pairwise) - avg(pointwise), 6) AS delta
+          FROM study GROUP BY ROLLUP (margin) HAVING grouping(margin) = 1 OR margin IS NOT NULL"""),
         "scaled_structural": build("SELECT subreddit, id, " + ", ".join(
             f"round(max(CASE WHEN feature = '{n}' THEN value END), 6) AS {n}" for n in STRUCTURAL
         ) + f" FROM ({scaled}) GROUP BY subreddit, id"),

@@ -1,3 +1,8 @@
+import os
+
+# Threads of the linear algebra library may lock up next to the JVM's.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import sys
 from pathlib import Path
 

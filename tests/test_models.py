@@ -157,10 +157,42 @@ def test_preference_fit_has_zero_gradient(spark):
     rows = [(i, titles[i % 6], titles[(i * 5 + 1) % 6], i % 2) for i in range(60)]
     rows = [r for r in rows if r[1] != r[2]]
     df = spark.createDataFrame(rows, "pair_index long, title_a string, title_b string, y int")
-    fitted, indexed, size = models.fit_preference(df, ["pair_index"])
-    vectors = models.preference_vectors(df, indexed, size, ["pair_index"], None).collect()
-    x = np.array([r.vector.toArray() for r in vectors])
-    y = np.array([r.label for r in vectors])
-    w = fitted.coefficients.toArray()
-    p = 1 / (1 + np.exp(-(x @ w + fitted.intercept)))
-    assert np.abs(x.T @ (p - y) + w).max() < 1e-3 * len(y)
+    model = models.fit_preference(df, ["pair_index"])
+    size = model.count() - 1
+    coef = {r.idx: r.coef for r in model.collect()}
+    w = np.array([coef[i] for i in range(size)])
+    rows = models.preference_rows(df, model.filter("kind <> 'i'").drop("coef"), ["pair_index"], None, "word").collect()
+    x = np.zeros((len(rows), size))
+    for at, r in enumerate(rows):
+        x[at, r.idx] = r.value
+    y = np.array([r.label for r in rows])
+    p = 1 / (1 + np.exp(-(x @ w + coef[-1])))
+    assert np.abs(x.T @ (p - y) + w).max() < 1e-6 and abs((p - y).sum()) < 1e-6
+    judged = {r.pair_index: r.correct for r in models.judge_preference(model, df, ["pair_index"]).collect()}
+    assert judged == {r.pair_index: bool((x[at] @ w + coef[-1] > 0) == r.label) for at, r in enumerate(rows)}
+
+
+def test_newton_steps_over_small_chunks_of_two_models(spark, monkeypatch):
+    from titlegauge.operators import logit
+
+    monkeypatch.setattr(logit, "CHUNK_ROWS", 40)
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for name, m in (("a", 4), ("b", 2)):
+        x = rng.normal(size=(150, m)) * 3
+        y = (x[:, 0] + rng.normal(size=150) > 0).astype(float)
+        weight = rng.integers(1, 4, 150).astype(float)
+        theta = np.zeros(m + 1)
+        for _ in range(60):
+            wide = np.column_stack([x, np.ones(150)])
+            p = 1 / (1 + np.exp(-wide @ theta))
+            ridge_part = np.append(np.ones(m), 0)
+            hessian = (wide * (weight * p * (1 - p))[:, None]).T @ wide + np.diag(ridge_part)
+            theta = theta - np.linalg.solve(hessian, wide.T @ (weight * (p - y)) + ridge_part * theta)
+        want[name] = theta
+        rows += [(name, float(b), float(c), list(range(m)), a.tolist()) for a, b, c in zip(x, y, weight)]
+    df = spark.createDataFrame(rows, "subreddit string, label double, weight double, idx array<int>, value array<double>")
+    sizes = spark.createDataFrame([("a", 4), ("b", 2)], "subreddit string, m int")
+    got = {(r.subreddit, r.idx): r.coef for r in logit.fit(df, sizes).collect()}
+    for name, theta in want.items():
+        assert np.allclose([got[name, i] for i in [*range(len(theta) - 1), -1]], theta, atol=1e-7)

@@ -100,15 +100,17 @@ class Chunk:
     idx: np.ndarray
     value: np.ndarray
     label: np.ndarray
-    fold: np.ndarray
+    fold: np.ndarray | None = None
+    weight: np.ndarray | None = None
 
     @classmethod
     def of(cls, table: pa.Table) -> Chunk:
         idx, value = (table[c].combine_chunks() for c in ("idx", "value"))
         counts = np.diff(idx.offsets.to_numpy())
+        fold, weight = (table[c].to_numpy() if c in table.column_names else None for c in ("fold", "weight"))
         return cls(
             np.repeat(np.arange(table.num_rows), counts), idx.flatten().to_numpy(), value.flatten().to_numpy(),
-            table["label"].to_numpy(), table["fold"].to_numpy(),
+            table["label"].to_numpy(), fold, weight,
         )
 
     def trained(self, systems: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from titlegauge.functions.text import STRUCTURAL_NAMES, with_structural
 from titlegauge.functions.urls import norm_url
 from titlegauge.functions.values import verdict
 from titlegauge.operators.models import GRADIENT_LIMIT
-from titlegauge.operators import evaluate, features, ingest, labels, noise, pairs, profile, ridge, score
+from titlegauge.operators import evaluate, features, ingest, labels, models, noise, pairs, profile, ridge, score
 from titlegauge.plans import pair_study, training
 from titlegauge.plans.drafts import DRAFT_KEYS, draft_report
 from titlegauge.plans.posts import labelled_posts, split_sides
@@ -83,9 +83,13 @@ def _fixed(spark, sf):
     return labelled, cut_lineage(training.fixed_model(train))
 
 
-def _link_model(spark, sf):
-    """Closed-form models of the link communities, from the link titles themselves."""
-    links = _links(spark, sf).select(
+def _link_model(spark, sf, without=None):
+    """Closed-form models of the link communities, from the titles of all links, or of those whose
+    content is not among the keys ``without``."""
+    links = _links(spark, sf)
+    if without is not None:
+        links = links.join(without, "nurl", "left_anti")
+    links = links.select(
         "id", "title", F.col("sub").alias("subreddit"), "score", F.lit(2024).alias("year"),
         F.lit(False).alias("is_test"),
     )
@@ -702,10 +706,30 @@ def embedding_comparison(spark, sf):
     )
 
 
+def _preference_study(spark, sf, analyzer):
+    """Both sides are judged on pairs whose content neither has seen."""
+    split = cut_lineage(pair_study.split_pairs(cut_lineage(pairs.repost_pairs(_links(spark, sf)))))
+    held_out = split.filter("is_test").select("nurl").distinct()
+    return rounded(pair_study.preference_study(split, _link_model(spark, sf, held_out), analyzer))
+
+
 @query
 def preference_study(spark, sf):
-    reposts = cut_lineage(pairs.repost_pairs(_links(spark, sf)))
-    return pair_study.preference_study(reposts, _link_model(spark, sf))
+    return _preference_study(spark, sf, "word")
+
+
+@query
+def preference_structural(spark, sf):
+    """The preference study with a classifier on structure alone."""
+    return _preference_study(spark, sf, None)
+
+
+@query
+def preference_coefficients(spark, sf):
+    """The classifier of the structural study, at its optimum."""
+    split = cut_lineage(pair_study.split_pairs(cut_lineage(pairs.repost_pairs(_links(spark, sf)))))
+    model = models.fit_preference(split.filter("not is_test"), ["pair_index"], analyzer=None)
+    return rounded(model.select("kind", "feature", "coef"), 4)
 
 
 @query
