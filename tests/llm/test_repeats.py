@@ -80,3 +80,37 @@ def test_texts_without_id_whose_checksums_agree_are_two_texts(spark):
     got = m.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     removed = {bytes(r.kept).decode(): r.n_removed for r in got}
     assert removed[f"{other} {j}"] == 0 and sorted(removed.values())[0] == 0 and sorted(removed.values())[1] >= len(passage)
+
+
+def test_an_anchor_of_a_thousand_segments(spark):
+    """A passage among different neighbours a thousand times: crowded lanes at both of its ends."""
+    rng = random.Random(9)
+    passage = prose(90, 60)
+    texts = {i: prose(5_000 + i, 12) + rng.choice([" ", "\n", "é"]) + passage[i % 3 :] + " " + prose(9_000 + i, 12) for i in range(1_000)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in m.contract_digest(documents(spark, texts)).collect()}
+    assert got == dict(zip(texts, _brute(texts.values()), strict=True))
+
+
+def test_ten_thousand_equal_rows_without_id(spark):
+    """Equal rows share one list of ranges, whatever their number."""
+    same = prose(91, 80)
+    docs = spark.createDataFrame([(None, same)] * 10_000 + [(7, prose(92, 60))], "doc_id long, text string")
+    ranges = m.repeated_ranges(m._keyed(docs))
+    assert ranges.count() <= len(same) // 50
+    got = m.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r["count"]) for r in got) == [(0, len(same), 10_000), (7, 0, 1)]
+
+
+def test_parts_cover_every_window_once():
+    rng = np.random.default_rng(1)
+    at, extra = rng.integers(0, 169, 40), rng.integers(0, 60, 40)
+    width = np.minimum(at + 1 + extra, 169)
+    at = np.minimum(at, width - 1)
+    pieces = [rng.integers(0, 256, w + m.LENGTH - 1, dtype=np.uint8).tobytes() for w in width]
+    first = rng.integers(0, 1000, 40)
+    for starts in m.PART_STARTS:
+        parts = m.cut_parts(np.arange(40), first, width, at, pieces, starts)
+        seen = Counter((r, f + i) for r, f, w in zip(parts["row"], parts["first"], parts["width"]) for i in range(w))
+        assert seen == Counter((r, first[r] + i) for r in range(40) for i in range(width[r]))
+        for r, f, w, piece in zip(parts["row"], parts["first"], parts["width"], parts["piece"]):
+            assert piece == pieces[r][f - first[r] : f - first[r] + w + m.LENGTH - 1] and w <= starts

@@ -11,12 +11,14 @@ that share so long a prefix must meet in one suffix array, and no array can hold
 3. What is left are segments about the ends of repeats. Per anchor the ones that can share a window
    make one small text, whose suffix array is built; neighbours in it that share ``LENGTH`` bytes are
    repeats.
-4. An anchor with more than ``LANE_SEGMENTS`` different segments is cut further: its windows are
-   dealt by their own bytes (128 bits), equal ones collapsed and counted.
+4. An anchor with more than ``LANE_SEGMENTS`` different segments is cut by longer anchors: windows that
+   start in the same few places about it share all but a few bytes, and these bytes name smaller lanes.
+   Equal parts are collapsed again, lanes of few parts go to suffix arrays, crowded ones are cut finer.
 
 Cases: null text counts as empty; texts shorter than ``LENGTH`` keep all bytes; repeated rows are
-repeats of each other; rows without an id take part; a very long text is one step; extra columns
-are not read; an empty table gives an empty result.
+repeats of each other, and ties among equal segments do not matter, as all are removed; rows without
+an id take part; a very long text is one step; extra columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -240,33 +242,83 @@ def _from_suffix_arrays(open_pieces: DataFrame) -> DataFrame:
     return dealt.groupBy("batch").applyInArrow(step, "k1 long, k2 long, first long, last long")
 
 
-def _from_windows(hot_pieces: DataFrame) -> DataFrame:
-    """The same for anchors with many different segments: each window by itself."""
+#: Window starts of one part when a crowded lane is cut, level by level; at last each stands alone.
+PART_STARTS = (24, 6, 1)
+CUT = "anchor long, bytes long, k1 long, k2 long, first long, width int, at int, copies long, piece binary"
 
+
+def cut_parts(
+    anchor: np.ndarray, first: np.ndarray, width: np.ndarray, at: np.ndarray, pieces: list[bytes], starts: int
+) -> dict[str, np.ndarray | list[bytes]]:
+    """Pieces cut by where their windows start about the anchor, ``starts`` places a part.
+
+    All windows of a part hold the same LENGTH - starts + 1 bytes in the same place about the anchor:
+    a longer anchor, which names the part's lane. Equal windows are in parts of one lane.
+    """
+    low, high = -at, width - 1 - at  # first and last start of a piece, from its anchor
+    begin_block, end_block = low // starts, high // starts
+    n = end_block - begin_block + 1
+    row = np.repeat(np.arange(len(n)), n)
+    block = begin_block[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.maximum(low[row], block * starts) + at[row]
+    end = np.minimum(high[row], block * starts + starts - 1) + at[row]
+    core = block * starts + starts - 1 + at[row]
+    sizes = width + LENGTH - 1
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    base = (np.cumsum(sizes) - sizes)[row]
+    sums, again = running_sums(text), running_sums(text ^ np.uint8(0x5A))
+    place = mixed((begin - at[row]).astype(np.int64).view(np.uint64))
+    where = mixed(anchor.view(np.uint64)[row] ^ mixed(block.astype(np.int64).view(np.uint64)))
+    return {
+        "row": row, "first": first[row] + begin, "width": end - begin + 1, "at": at[row] - begin,
+        "anchor": mixed(range_hashes(sums, base + core, base + core + LENGTH - starts + 1) ^ where).view(np.int64),
+        "bytes": mixed(range_hashes(again, base + begin, base + end + LENGTH) ^ place).view(np.int64),
+        "piece": [pieces[r][a : b + LENGTH] for r, a, b in zip(row, begin.tolist(), end.tolist(), strict=True)],
+    }
+
+
+def _parts(pieces: DataFrame, starts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 4_096):
-                rows = batch.slice(part, 4_096)
-                width = rows.column("width").to_numpy()
-                text = np.frombuffer(b"".join(rows.column("piece").to_pylist()), np.uint8)
-                begin = np.cumsum(width + LENGTH - 1) - (width + LENGTH - 1)
-                row = np.repeat(np.arange(len(width)), width)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
-                at = begin[row] + offset
-                sums = running_sums(text)
-                again = running_sums(text ^ np.uint8(0x5A))
-                take = pa.array(row)
+            for at in range(0, batch.num_rows, 2_048):
+                rows = batch.slice(at, 2_048)
+                numbers = (rows.column(c).to_numpy().astype(np.int64) for c in ("anchor", "first", "width", "at"))
+                found = cut_parts(*numbers, rows.column("piece").to_pylist(), starts)
+                take = pa.array(found["row"])
                 yield record_batch(
-                    w1=range_hashes(sums, at, at + LENGTH).view(np.int64),
-                    w2=mixed(range_hashes(again, at, at + LENGTH)).view(np.int64),
-                    k1=rows.column("k1").take(take), k2=rows.column("k2").take(take),
-                    first=rows.column("first").to_numpy()[row] + offset, copies=rows.column("copies").take(take),
+                    anchor=found["anchor"], bytes=found["bytes"], k1=rows.column("k1").take(take), k2=rows.column("k2").take(take),
+                    first=found["first"], width=found["width"].astype(np.int32), at=found["at"].astype(np.int32),
+                    copies=rows.column("copies").take(take), piece=pa.array(found["piece"], pa.binary()),
                 )
 
-    windows = hot_pieces.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, first long, copies long")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
-    found = windows.filter("copies = 1").join(twice, ["w1", "w2"])
-    return found.select(*KEY, "first", F.col("first").alias("last"))
+    return pieces.select("anchor", *KEY, "first", "width", "at", "copies", "piece").mapInArrow(run, CUT)
+
+
+def _from_crowded_lanes(pieces: DataFrame) -> DataFrame:
+    """(k1, k2, first, last) for anchors with many different segments.
+
+    Their segments are cut into parts whose lanes are named by longer and longer anchors. Equal parts
+    are counted and collapsed: all their windows are repeats. A part alone in its lane has none. Lanes
+    of few parts go to suffix arrays; crowded ones are cut again, until a part is one window.
+    """
+    found = None
+    for starts in PART_STARTS:
+        parts = written(_parts(pieces, starts))
+        one = F.min(F.struct(*KEY, "first", "width", "at", "piece")).alias("one")
+        kinds = written(parts.groupBy("anchor", "bytes").agg(F.sum("copies").alias("copies"), one))
+        twice = kinds.filter("copies > 1").select("anchor", "bytes")
+        runs = parts.filter("copies = 1").join(twice, ["anchor", "bytes"]).select(
+            *KEY, "first", (F.col("first") + F.col("width") - 1).alias("last")
+        )
+        found = runs if found is None else found.unionByName(runs)
+        if starts > 1:
+            lanes = kinds.groupBy("anchor").agg(F.count("*").alias("different"), F.min("copies").alias("fewest"))
+            lanes = lanes.filter("different > 1 and fewest = 1").select("anchor", "different")
+            open_parts = written(kinds.join(lanes, "anchor").select("anchor", "copies", "different", "one.*"))
+            few = F.col("different") <= LANE_SEGMENTS
+            found = found.unionByName(_from_suffix_arrays(open_parts.filter(few)))
+            pieces = open_parts.filter(~few)
+    return found
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -286,12 +338,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .select("anchor", "different")
     )
     wanted = kinds.join(mixed_anchors, "anchor").select("anchor", "copies", "different", "one.*")
-    pieces = written(_with_bytes(docs, wanted))
+    # Equal rows have equal keys and give the same pieces.
+    pieces = written(_with_bytes(docs, wanted).dropDuplicates([*KEY, "first", "anchor"]))
     few = F.col("different") <= LANE_SEGMENTS
-    return (
-        whole.unionByName(_from_suffix_arrays(pieces.filter(few)))
-        .unionByName(_from_windows(pieces.filter(~few)))
-    )
+    ranges = whole.unionByName(_from_suffix_arrays(pieces.filter(few)))
+    crowded = pieces.filter(~few)
+    if not crowded.isEmpty():
+        ranges = ranges.unionByName(_from_crowded_lanes(crowded))
+    # Rows that share a key are equal: one list of ranges serves them all.
+    return ranges.distinct()
 
 
 def _kept_parts(text: bytes, ranges: list) -> tuple[bytes, int, int]:
