@@ -496,6 +496,61 @@ _CTES = {
       FROM (SELECT *, (score_win + 1) / (score_lose + 1)::DOUBLE AS m FROM split_pairs WHERE is_test) p
       JOIN asked_bands w ON w.subreddit = p.subreddit AND w.title = p.title_win JOIN asked_bands l ON l.subreddit = p.subreddit AND l.title = p.title_lose
       JOIN pref_rows d USING (pair_index) JOIN (SELECT t FROM newton ORDER BY step DESC LIMIT 1) f ON true""",
+    # label study: matched pairs to fit on, all pairs to judge
+    "study_groups": "SELECT sub, nurl, count(*) AS n FROM timed WHERE upvote_ratio IS NOT NULL GROUP BY sub, nurl HAVING count(DISTINCT title) > 1",
+    "study_sides": f"""
+      SELECT nurl, row_number() OVER (ORDER BY {hash_order('nurl')}) <= ceil(0.25 * count(*) OVER ()) AS is_test FROM (SELECT DISTINCT nurl FROM study_groups)""",
+    "study_posts": f"""
+      SELECT t.id, t.sub, t.nurl, t.title, t.score::DOUBLE AS score, t.upvote_ratio, t.hour, t.weekend, g.n, s.is_test, {hash_order('t.id', 2)} AS h
+      FROM timed t JOIN study_groups g USING (sub, nurl) JOIN study_sides s USING (nurl) WHERE t.upvote_ratio IS NOT NULL""",
+    "study_slots": """
+      SELECT *, 'all' AS condition, 0 AS slot FROM study_posts WHERE NOT is_test
+      UNION ALL SELECT *, 'time_matched', hour // 4 + weekend::INT * 24 FROM study_posts WHERE NOT is_test""",
+    "study_next": """
+      SELECT *, row_number() OVER w AS place, lead(id) OVER w AS id2, lead(title) OVER w AS title2, lead(score) OVER w AS score2, lead(upvote_ratio) OVER w AS ratio2
+      FROM study_slots WINDOW w AS (PARTITION BY condition, sub, nurl, slot, h % CAST(ceil(n / 20000.0) AS BIGINT) ORDER BY h, id)""",
+    "study_pairs": """
+      SELECT cell, pair_id, title_a, title_b FROM (
+        SELECT *, row_number() OVER (PARTITION BY cell ORDER BY h, pair_id) AS nth FROM (
+          SELECT condition || '/score' AS cell, h, id || '|' || id2 AS pair_id, CASE WHEN score > score2 THEN title ELSE title2 END AS title_a,
+            CASE WHEN score > score2 THEN title2 ELSE title END AS title_b FROM study_next WHERE place % 2 = 1 AND id2 IS NOT NULL AND score <> score2 AND title <> title2
+          UNION ALL SELECT condition || '/upvote_ratio', h, id || '|' || id2, CASE WHEN upvote_ratio > ratio2 THEN title ELSE title2 END,
+            CASE WHEN upvote_ratio > ratio2 THEN title2 ELSE title END FROM study_next WHERE place % 2 = 1 AND id2 IS NOT NULL AND upvote_ratio <> ratio2 AND title <> title2)) WHERE nth <= 5000""",
+    "fit_titles": """
+      SELECT cell AS subreddit, pair_id, 1.0::DOUBLE AS side, title_a AS title FROM study_pairs UNION ALL SELECT cell, pair_id, -1.0, title_b FROM study_pairs""",
+    "fit_structure": structural_sql("fit_titles", "subreddit, pair_id, side"),
+    "fit_scaler": scaler_sql("fit_structure"),
+    "fit_rows": f"""
+      SELECT subreddit, pair_id, list(d ORDER BY f) AS x FROM (
+        SELECT subreddit, pair_id, list_position({STRUCTURAL}, feature) AS f, sum((raw - center) * factor * side) AS d
+        FROM ({unpivot_sql('fit_structure', 'subreddit, pair_id, side')}) JOIN fit_scaler USING (subreddit, feature)
+        GROUP BY subreddit, pair_id, feature) GROUP BY subreddit, pair_id""",
+    "worth_steps": f"""
+      SELECT subreddit, 0 AS step, [0.0::DOUBLE FOR i IN range(8)] AS t FROM (SELECT DISTINCT subreddit FROM fit_rows)
+      UNION ALL
+      SELECT subreddit, step + 1, [t[i] - list_reduce(list_prepend(m, [[[k::DOUBLE]] FOR k IN range(1, 9)]), lambda a, q:
+          [CASE WHEN r = q[1][1] THEN [v / a[q[1][1]::INT][q[1][1]::INT] FOR v IN a[r]]
+           ELSE [a[r][c] - a[r][q[1][1]::INT] / a[q[1][1]::INT][q[1][1]::INT] * a[q[1][1]::INT][c] FOR c IN range(1, 10)] END FOR r IN range(1, 9)])[i][9] FOR i IN range(1, 9)]
+      FROM (SELECT subreddit, step, any_value(t) AS t, list(r ORDER BY i) AS m FROM (
+        SELECT subreddit, step, i, any_value(t) AS t, list_append(list(s ORDER BY j), any_value(g)) AS r FROM (
+          SELECT n.subreddit, n.step, i, j, any_value(n.t) AS t, sum(p * (1 - p) * x[i] * x[j]) + any_value(CASE WHEN i = j THEN 1 ELSE 0 END) AS s,
+            sum((p - 1) * x[i]) + any_value(n.t[i]) AS g
+          FROM worth_steps n CROSS JOIN (SELECT unnest(range(1, 9)) AS i) CROSS JOIN (SELECT unnest(range(1, 9)) AS j)
+          JOIN fit_rows d ON d.subreddit = n.subreddit
+          CROSS JOIN LATERAL (SELECT 1 / (1 + exp(-list_dot_product(d.x, n.t))) AS p)
+          WHERE n.step < 12 GROUP BY n.subreddit, n.step, i, j) GROUP BY subreddit, step, i) GROUP BY subreddit, step)""",
+    "test_titles": "SELECT DISTINCT title FROM study_posts WHERE is_test",
+    "title_structure": structural_sql("test_titles", "title"),
+    "worths": f"""
+      SELECT s.subreddit AS cell, u.title, round(sum((raw - center) * factor * w.t[list_position({STRUCTURAL}, feature)]), 9) AS x
+      FROM ({unpivot_sql('title_structure', 'title')}) u JOIN fit_scaler s USING (feature) JOIN worth_steps w ON w.subreddit = s.subreddit AND w.step = 12
+      GROUP BY s.subreddit, u.title""",
+    "study_labels": """
+      SELECT *, 'score' AS label, score AS y FROM study_posts UNION ALL SELECT *, 'upvote_ratio', upvote_ratio FROM study_posts""",
+    "judged_pairs": """
+      SELECT c.condition || '/' || a.label AS cell, a.nurl, a.is_test, a.title AS ta, b.title AS tb
+      FROM study_labels a JOIN study_labels b ON a.label = b.label AND a.sub = b.sub AND a.nurl = b.nurl AND a.y > b.y AND a.title <> b.title
+      JOIN (VALUES ('all'), ('time_matched')) c(condition) ON c.condition = 'all' OR (least(abs(a.hour - b.hour), 24 - abs(a.hour - b.hour)) <= 3 AND a.weekend = b.weekend)""",
     "vectors": """
       SELECT p.id, e.embedding FROM raw_posts p JOIN embeddings e ON printf('%x', e.vec_id) = split_part(p.id, '_', 1)""",
 }
@@ -702,6 +757,11 @@ def all_oracles() -> dict[str, str]:
         "preference_structural": recursive("""SELECT coalesce(margin, 'all') AS margin, count(*) AS pairs, round(avg(pointwise), 6) AS pointwise_accuracy,
           round(avg(pairwise), 6) AS pairwise_accuracy, 0.5::DOUBLE AS chance, round(avg(pairwise) - avg(pointwise), 6) AS delta
           FROM study GROUP BY ROLLUP (margin) HAVING grouping(margin) = 1 OR margin IS NOT NULL"""),
+        "matched_pairs": build("SELECT * FROM study_pairs"),
+        "label_study_structural": recursive("""SELECT string_split(cell, '/')[1] AS condition, string_split(cell, '/')[2] AS label,
+          CASE WHEN n_groups >= 5 AND all_pairs >= 60 AND n > 0 THEN round(hits / n, 6) END AS accuracy, n FROM (
+          SELECT p.cell, count(DISTINCT nurl) AS n_groups, count(*) AS all_pairs, count(*) FILTER (is_test) AS n, count(*) FILTER (is_test AND a.x > b.x) AS hits
+          FROM judged_pairs p LEFT JOIN worths a ON a.cell = p.cell AND a.title = p.ta LEFT JOIN worths b ON b.cell = p.cell AND b.title = p.tb GROUP BY p.cell)"""),
         "scaled_structural": build("SELECT subreddit, id, " + ", ".join(
             f"round(max(CASE WHEN feature = '{n}' THEN value END), 6) AS {n}" for n in STRUCTURAL
         ) + f" FROM ({scaled}) GROUP BY subreddit, id"),

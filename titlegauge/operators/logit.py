@@ -11,7 +11,7 @@ The loss of a model is sum(weight * log loss) + |w|^2 / (2 c); the intercept is
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +87,10 @@ class Newton:
     parameters: np.ndarray
     weight: float
     penalty: float
+    intercept: bool = True
     step: np.ndarray | None = None
     loss: float = np.inf
     open: bool = True
-    products: np.ndarray = field(default=None, repr=False)
 
     def advance(self, idx: np.ndarray, sums: np.ndarray) -> None:
         size, w = len(self.parameters), self.parameters[:-1]
@@ -102,6 +102,8 @@ class Newton:
         gradient = np.zeros(size)
         gradient[-2 - idx[idx < TOTALS]] = sums[idx < TOTALS]
         gradient[:-1] += self.penalty * w
+        if not self.intercept:
+            gradient[-1] = 0.0
         if np.abs(gradient).max() <= TOLERANCE * self.weight:
             self.open = False
             return
@@ -111,6 +113,9 @@ class Newton:
         table[np.arange(size - 1), np.arange(size - 1)] += self.penalty
         # Rows of one label only leave the intercept without bend at last.
         table[-1, -1] += 1e-12 * max(1.0, self.weight)
+        if not self.intercept:
+            table[-1, :] = table[:, -1] = 0.0
+            table[-1, -1] = 1.0
         self.step, self.loss = -np.linalg.solve(table, gradient), loss
         self.parameters = self.parameters + self.step
 
@@ -125,7 +130,7 @@ def _row(name: str, chunks: int, state: Newton) -> pa.Table:
     return pa.table({n: pa.array([v], t) for n, v, t in zip(names, values, kinds, strict=True)})
 
 
-def fit(rows: DataFrame, n_features: DataFrame, c: float = 1.0) -> DataFrame:
+def fit(rows: DataFrame, n_features: DataFrame, c: float = 1.0, intercept: bool = True) -> DataFrame:
     """(subreddit, idx, coef) of every model; the intercept has idx -1.
 
     ``rows``: (subreddit, label 0 or 1, weight, idx array, value array), ``subreddit`` naming the model;
@@ -136,7 +141,7 @@ def fit(rows: DataFrame, n_features: DataFrame, c: float = 1.0) -> DataFrame:
     asked = sizes.join(n_features, "subreddit").join(weights, "subreddit")
 
     def begin(key: tuple, size: pa.Table) -> pa.Table:
-        start = Newton(np.zeros(size["m"][0].as_py() + 1), size["weight"][0].as_py(), 1.0 / c)
+        start = Newton(np.zeros(size["m"][0].as_py() + 1), size["weight"][0].as_py(), 1.0 / c, intercept)
         return _row(key[0].as_py(), size["chunks"][0].as_py(), start)
 
     def step(key: tuple, old: pa.Table, sums: pa.Table) -> pa.Table:

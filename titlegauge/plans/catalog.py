@@ -734,7 +734,19 @@ def preference_coefficients(spark, sf):
 
 @query
 def label_study(spark, sf):
-    return pair_study.label_study(pairs.dual_label_pairs(_links(spark, sf)))
+    return rounded(pair_study.label_study(_links(spark, sf)))
+
+
+@query
+def label_study_structural(spark, sf):
+    """The label study with models on structure alone."""
+    return rounded(pair_study.label_study(_links(spark, sf), analyzer=None))
+
+
+@query
+def matched_pairs(spark, sf):
+    """The pairs that the models of the label study are fitted to."""
+    return pair_study.matched_pairs(pair_study.study_posts(_links(spark, sf)))
 
 
 # ---------------------------------------------------------------- scoring surface
