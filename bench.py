@@ -16,7 +16,7 @@ HEADLINE = [
     "structural_features", "vocabulary", "tfidf", "norm_urls", "repost_pairs", "ab_pairs",
     "dual_label_pairs", "time_matched_noise", "pair_accuracy", "score_titles", "explain",
     "ranked_report", "two_level_quota", "dedupe_posts", "fixed_model", "eval_table", "rank_drafts",
-    "ridge_structural",
+    "ridge_structural", "ridge_evaluation",
 ]
 
 

@@ -791,7 +791,16 @@ def all_oracles() -> dict[str, str]:
           JOIN (SELECT subreddit, count(*) AS n_model FROM model GROUP BY subreddit) USING (subreddit)
           JOIN (SELECT subreddit, count(DISTINCT (year, score)) + count(DISTINCT score) AS n_ecdf FROM train GROUP BY subreddit) USING (subreddit)
           WHERE subreddit IN {WANTED}"""),
-        "trained_communities": build("SELECT DISTINCT subreddit FROM posts"),
+        "trained_communities": build("SELECT DISTINCT subreddit FROM train"),
+        "stored_scores": fitted("train", structure_values, ALPHAS, 3, f"""SELECT request_id, position, subreddit, CASE WHEN prediction IS NOT NULL THEN round({BAND}, 4) END AS band,
+          CASE WHEN prediction IS NULL THEN 'no model for ' || subreddit END AS error FROM drafts LEFT JOIN guesses USING (request_id, position)""", f"""
+          chosen AS ({fold_choice_sql('values_', 3)}),
+          guesses AS (SELECT v.request_id, v.position, any_value(b.intercept) + sum((v.raw - s.center) * s.factor * w.coef) AS prediction
+            FROM ({unpivot_sql('draft_structure', 'request_id, position, subreddit')}) v JOIN scaler s USING (subreddit, feature) JOIN chosen c USING (subreddit)
+            JOIN weight_ w ON w.subreddit = v.subreddit AND w.feature = v.feature AND w.alpha = c.alpha AND w.sys = 3
+            JOIN base_ b ON b.subreddit = v.subreddit AND b.alpha = c.alpha AND b.sys = 3 GROUP BY v.request_id, v.position)"""),
+        "retrained_community": fitted("train", structure_values, ALPHAS, 3, f"""SELECT subreddit, count(*) + 1 AS n_features,
+          CASE WHEN subreddit = 'src0' THEN 3.0 ELSE any_value(alpha) END AS alpha FROM ({fold_choice_sql('values_', 3)}) JOIN numbered USING (subreddit) GROUP BY subreddit"""),
         "unknown_communities": build("""SELECT DISTINCT sub AS subreddit, 'no model for ' || sub || '; trained: ' ||
           coalesce((SELECT string_agg(subreddit, ', ' ORDER BY subreddit) FROM modelled), '(none trained yet)') AS error
           FROM links WHERE sub NOT IN (SELECT subreddit FROM modelled)"""),

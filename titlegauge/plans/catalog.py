@@ -26,7 +26,7 @@ LATEST_N, MONTHLY_N, STRIDE, SCAN_ROWS = 100, 200, 3, 60
 SAMPLE_N = 5
 WANTED = ["src0", "src3", "src7", "src11", "src19"]
 MIN_LINK_POSTS = 2_000
-RIDGE_ALPHA, FEW_TERMS = 10.0, 12
+RIDGE_ALPHA, FEW_TERMS, RETRAIN_ALPHA = 10.0, 12, 3.0
 EMBEDDING_SIZE = 64
 
 _QUERIES: dict[str, Query] = {}
@@ -585,9 +585,40 @@ def model_tables(spark, sf):
     )
 
 
+def _stored(spark, sf, analyzer=None):
+    """The posts, a folder of models trained on them, and the tables read back from it."""
+    labelled, folder = cut_lineage(_labelled(spark, sf)), scratch_path(spark, "models")
+    return labelled, folder, training.train_and_store(folder, labelled, analyzer)
+
+
 @query
 def trained_communities(spark, sf):
-    return score.trained_communities(_clean(spark, sf))
+    """The catalogue of a store of trained models."""
+    return score.trained_communities(_stored(spark, sf)[2]["model"])
+
+
+@query
+def stored_scores(spark, sf):
+    """Drafts scored by models on structure that were trained, stored and read back."""
+    model = _stored(spark, sf)[2]["model"]
+    scored = score.score_titles(fixtures.drafts(spark, sf), model, DRAFT_KEYS, analyzer=None)
+    return rounded(scored.select("request_id", "position", "subreddit", "band", "error"), 4)
+
+
+@query
+def retrained_community(spark, sf):
+    """One community is trained anew with another penalty; the others stay as they were stored."""
+    labelled, folder, _ = _stored(spark, sf)
+    mine = labelled.filter(F.col("subreddit") == WANTED[0])
+    model = training.train_and_store(folder, mine, None, alphas=(RETRAIN_ALPHA,))["model"]
+    return model.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n_features"), F.max("alpha").alias("alpha"))
+
+
+@query
+def trained_report(spark, sf):
+    """The flagship: text models trained, stored and read back rank and explain every draft."""
+    stored = _stored(spark, sf, "word")[2]
+    return rounded(draft_report(fixtures.drafts(spark, sf), stored["model"], stored["metrics"]))
 
 
 @query
@@ -799,7 +830,7 @@ def confidence(spark, sf):
 
 @query
 def ranked_report(spark, sf):
-    """The flagship: drafts ranked per request with reasons and confidence."""
+    """Drafts ranked per request with reasons and confidence, by the closed-form model."""
     labelled, model = _fixed(spark, sf)
     metrics = cut_lineage(training.metrics_of(training.evaluate_model(labelled, model)))
     return rounded(draft_report(fixtures.drafts(spark, sf), model, metrics))

@@ -19,6 +19,7 @@ from titlegauge.operators.models import ALPHAS, FOLDS, INTERCEPT_FACTOR, fit_rid
 from titlegauge.operators.score import predict
 from titlegauge.plans.posts import split_sides
 from titlegauge.session import cut_lineage
+from titlegauge.sources.model_store import read_models, write_models
 
 # Decimals to which the predictions of an iterative fit are compared.
 TRAINED_DIGITS = 7
@@ -78,6 +79,18 @@ def train_and_evaluate(
     )
 
 
+def train_and_store(
+    folder: str, labelled: DataFrame, analyzer: str | None = "word", alphas: Sequence[float] = ALPHAS
+) -> dict[str, DataFrame]:
+    """Train the communities of ``labelled``, store them, and read the whole store back.
+
+    Communities that the posts do not hold keep what was stored for them.
+    """
+    bundle = train_and_evaluate(labelled, alphas=alphas, analyzer=analyzer)
+    write_models(folder, bundle.model, bundle.ecdf, bundle.metrics)
+    return read_models(labelled.sparkSession, folder)
+
+
 def train_embedding(
     labelled: DataFrame, vectors: DataFrame, size: int, alphas: Sequence[float] = ALPHAS,
     folds: int = FOLDS, strict: bool = True,
