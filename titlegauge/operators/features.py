@@ -282,22 +282,6 @@ def pair_differences(
     )
 
 
-def with_feature_index(space: DataFrame) -> DataFrame:
-    """Number the features 0..m-1, community by community (bounded by vocabulary limits)."""
-    sizes = space.groupBy("subreddit").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("subreddit").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "subreddit", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy("subreddit").orderBy("kind", "feature")
-    numbered = space.withColumn("_rn", F.row_number().over(inside))
-    return (
-        numbered.join(starts, "subreddit")
-        .withColumn("idx", (F.col("_start") + F.col("_rn") - 1).cast("int"))
-        .drop("_rn", "_start")
-    )
-
-
 def attach_vectors(posts: DataFrame, vectors: DataFrame) -> DataFrame:
     """Every post with its precomputed vector; ``covered`` says whether there is one."""
     joined = posts.join(vectors.select("id", "embedding"), "id", "left")
