@@ -49,9 +49,10 @@ def pairs_within(
 ) -> DataFrame:
     """Pairs (a, b) of rows that share ``keys`` and satisfy ``condition(a, b)``.
 
-    Groups above ``block_rows`` rows are cut into blocks on the ``a`` side, and only those groups
-    repeat their ``b`` side once per block, so no task owns a whole hot group. ``columns`` names
-    the output; the condition is part of the join, so rejected pairs are never materialised.
+    Groups above ``block_rows`` rows are cut into blocks on both sides, and each block of ``a`` meets
+    each block of ``b`` under a key of its own, so the rows of a task fall with the number of blocks
+    and no task owns a whole side of a hot group. ``columns`` names the output; the condition is part
+    of the join, so rejected pairs are never materialised.
     """
     keys = list(keys)
     large = (
@@ -63,10 +64,10 @@ def pairs_within(
     sized = lookup_join(rows, large, keys, how="left", spread=spread).withColumn(
         "_blocks", F.coalesce("_blocks", F.lit(1).cast("long"))
     )
-    left = sized.withColumn("_block", F.pmod(F.xxhash64(*spread), F.col("_blocks"))).alias("a")
-    right = sized.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    ).alias("b")
+    own = F.pmod(F.xxhash64(*spread), F.col("_blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    left = sized.withColumn("_a_block", own).withColumn("_b_block", every).alias("a")
+    right = sized.withColumn("_b_block", own).withColumn("_a_block", every).alias("b")
 
     def a(name: str) -> Column:
         return F.col(f"a.{name}")
@@ -75,6 +76,6 @@ def pairs_within(
         return F.col(f"b.{name}")
 
     same_group = F.lit(True)
-    for key in [*keys, "_block"]:
+    for key in [*keys, "_a_block", "_b_block"]:
         same_group = same_group & (a(key) == b(key))
     return left.join(right, same_group & condition(a, b)).select(*columns(a, b))
