@@ -1,6 +1,6 @@
 import re
 
-import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, no_documents, odd_documents, prose
 from titlegauge.llm import decontaminate as m
@@ -42,26 +42,40 @@ def _case():
     return texts, items
 
 
-@pytest.mark.parametrize("limit", [m.BROADCAST_SHINGLES, 0], ids=["in tasks", "by join"])
-def test_equals_brute_force(spark, limit):
+def test_equals_brute_force(spark):
     texts, items = _case()
-    got = m.contaminated_pairs(documents(spark, texts), spark.createDataFrame(items, ITEMS), broadcast_shingles=limit)
+    got = m.contaminated_pairs(documents(spark, texts), spark.createDataFrame(items, ITEMS))
     rows = got.collect()
     assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in rows} == _brute(texts, items)
     assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
 
 
-@pytest.mark.parametrize("limit", [m.BROADCAST_SHINGLES, 0], ids=["in tasks", "by join"])
-def test_odd_rows_and_empty_tables(spark, limit):
+def test_odd_rows_and_empty_tables(spark):
     items = spark.createDataFrame([(1, prose(1, 20)), (1, prose(1, 20)), (None, prose(5, 20)), (2, None)], ITEMS)
     empty = spark.createDataFrame([], ITEMS)
-    got = {(r.doc_id, r.item_id) for r in m.contaminated_pairs(odd_documents(spark), items, broadcast_shingles=limit).collect()}
+    got = {(r.doc_id, r.item_id) for r in m.contaminated_pairs(odd_documents(spark), items).collect()}
     assert got == {(1, 1), (2, 1), (9, 1), (9, None)}
-    assert m.contaminated_pairs(odd_documents(spark), empty, broadcast_shingles=limit).count() == 0
-    assert m.contaminated_pairs(no_documents(spark), items, broadcast_shingles=limit).count() == 0
+    assert m.contaminated_pairs(odd_documents(spark), empty).count() == 0
+    assert m.contaminated_pairs(no_documents(spark), items).count() == 0
 
 
-def test_a_sketch_always_meets_a_contained_item():
-    for n in range(1, 200):
-        allowed = n - -(-8 * n // 10)
-        assert m._sketch_size(n, 0.8) > allowed
+def test_a_sketch_always_meets_a_contained_item(spark):
+    sizes = spark.range(1, 2_000).select("id", m._sketch_size(F.col("id"), 0.8).alias("size"))
+    for r in sizes.collect():
+        allowed = r.id - -(-8 * r.id // 10)
+        assert allowed < r.size <= r.id
+
+
+def test_a_full_filter_gives_the_same_pairs(spark, monkeypatch):
+    texts, items = _case()
+    monkeypatch.setattr(m, "FILTER_BITS", 64)
+    rows = m.contaminated_pairs(documents(spark, texts), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in rows} == _brute(texts, items)
+
+
+def test_texts_that_share_an_id_are_searched_apart(spark):
+    item = prose(1, 40)
+    halves = [(None, " ".join(item.split()[:22])), (None, " ".join(item.split()[18:])), (3, item), (3, "no " + item)]
+    docs = spark.createDataFrame(halves, "doc_id long, text string")
+    rows = m.contaminated_pairs(docs, spark.createDataFrame([(7, item)], ITEMS)).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in rows] == [(3, 7, 1.0)]

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tests.llm.cases import documents, no_documents, odd_documents, odd_rows
 from titlegauge.llm import pii
 from titlegauge.llm.char_tagger import CharTagger
-from titlegauge.llm.pii_spans import PATTERNS, base_spans, joined, luhn
+from titlegauge.llm.pii_spans import PATTERNS, base_spans, ip_holds, joined, luhn
 
 
 def _plain(text):
@@ -26,6 +26,21 @@ def test_base_spans_equal_the_plain_patterns(text):
     assert base_spans(text) == _plain(text)
 
 
+def test_a_million_digits_take_one_pass():
+    text = "3." + "7" * 1_000_000 + " 10.0.0.1 " + "1" * 500_000 + ".2"
+    assert ip_spans(text) == [(1_000_003, 1_000_011, "ip")]
+
+
+@given(st.text(alphabet="0127.", max_size=40))
+def test_ips_equal_the_plain_pattern(text):
+    plain = [(m.start(), m.end(), "ip") for m in PATTERNS["ip"].finditer(text) if ip_holds(m[0])]
+    assert ip_spans(text) == plain
+
+
+def ip_spans(text):
+    return [s for s in base_spans(text) if s[2] == "ip"]
+
+
 def test_luhn():
     assert luhn("4539148803436467") and not luhn("4539148803436468")
 

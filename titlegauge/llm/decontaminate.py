@@ -11,32 +11,35 @@ sketch member are verified on the item's full set.
 A word is a run of bytes that are neither white space nor ASCII punctuation, A-Z in lower case. An
 item with fewer than ``words`` words is one shingle of its own length.
 
-Scale: documents are read once. Items within ``BROADCAST_SHINGLES`` are sent to every task; beyond
-that, document shingles are joined with item shingles and counted per pair.
+Scale: there is one path, whatever the number of items. Documents are read once; of their shingles only
+those leave the task that a filter of ``FILTER_BITS`` bits lets through (the same size for any items:
+where they are many it passes more, never less). The rest is joins: document shingles meet sketch
+members, the distinct candidate pairs meet the item's full set, and what the document holds of it is
+counted. A shingle that many items share is looked up only where it is a sketch member.
 
 Cases: null or empty texts hold nothing and are in nothing; items without an id are reported
-under null; repeated documents or items give one row per pair of ids; extra columns are not read;
-an empty table on either side gives no rows.
+under null; repeated documents or items give one row per pair of ids; texts that share an id are
+searched apart, and of several pairs of the same ids the one of the largest containment is given (ties:
+the larger item, then more shared shingles); extra columns are not read; an empty table on either side
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from math import floor
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titlegauge.llm.common import id_and_text, map_steps, record_batch, text_steps, written
+from titlegauge.llm.common import id_and_text, map_steps, record_batch, written
 from titlegauge.llm.textwords import WHITE_SPACE_OR_PUNCTUATION, distinct, find_words, row_sums, shingles
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Item shingles that are sent to every task at most (16 bytes each, 32 MB in all).
-BROADCAST_SHINGLES = 2_000_000
+#: Bits of the filter that every task gets (4 MB).
+FILTER_BITS = 1 << 25
+#: A text is told by its id and 64 bits of the text; a null id equals itself inside a struct.
+DOC, ITEM = ("doc_id", "doc_variant"), ("item_id", "variant", "length", "n")
 
 
 def _item_sets(items: DataFrame, words: int) -> DataFrame:
@@ -63,102 +66,53 @@ def _item_sets(items: DataFrame, words: int) -> DataFrame:
     return map_steps(items, step, "item_id long, variant long, length int, n long, hash long").distinct()
 
 
-def _sketch_size(n: int, threshold: float) -> int:
+def _sketch_size(n: Column, threshold: float) -> Column:
     """Minimum hashes of an item of ``n`` shingles: enough for the largest size of its partition."""
-    largest = 1 << (n - 1).bit_length() if n > 1 else 1
-    return min(n, floor((1 - threshold) * largest + 1e-9) + 1)
-
-
-class _Items:
-    """Items by shingle length: sorted sketch members with their items, and full sets."""
-
-    def __init__(self, rows: list, threshold: float):
-        sets: dict[tuple, list[int]] = defaultdict(list)
-        for r in rows:
-            sets[(r["length"], r["item_id"], r["variant"])].append(r["hash"])
-        self.threshold = threshold
-        self.ids: list = []
-        self.sets: list[np.ndarray] = []
-        by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for (length, item_id, _), hashes in sorted(sets.items(), key=repr):
-            members = np.sort(np.array(hashes, np.int64).view(np.uint64))
-            number = len(self.ids)
-            self.ids.append(item_id)
-            self.sets.append(members)
-            sketch = members[: _sketch_size(len(members), threshold)]
-            by_length[length] += [(int(h), number) for h in sketch]
-        self.index = {}
-        for length, pairs in by_length.items():
-            pairs.sort()
-            self.index[length] = (
-                np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
-            )
-
-    def pairs(self, column: pa.Array) -> Iterator[tuple[int, int, int]]:
-        """(row, item number, shared shingles) of the verified pairs of one batch."""
-        found = find_words(column, WHITE_SPACE_OR_PUNCTUATION)
-        word_hash = found.hashes()
-        for length, (keys, numbers) in self.index.items():
-            rows, hashes = shingles(found.row, found.first, word_hash, length, short=False)
-            low = np.searchsorted(keys, hashes, side="left")
-            hit = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == hashes))
-            high = np.searchsorted(keys, hashes[hit], side="right")
-            candidates = set()
-            for at, a, b in zip(hit, low[hit], high, strict=True):
-                candidates.update((int(rows[at]), int(i)) for i in numbers[a:b])
-            held: dict[int, np.ndarray] = {}
-            for row, number in sorted(candidates):
-                if row not in held:
-                    begin, end = np.searchsorted(rows, [row, row + 1])
-                    held[row] = np.unique(hashes[begin:end])
-                items = self.sets[number]
-                shared = int(np.isin(items, held[row], assume_unique=True).sum())
-                if shared >= self.threshold * len(items) - 1e-9:
-                    yield row, number, shared
-
-
-def _search_in_tasks(docs: DataFrame, rows: list, threshold: float) -> DataFrame:
-    shared_items = docs.sparkSession.sparkContext.broadcast(_Items(rows, threshold))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared_items.value
-        for batch in text_steps(batches):
-            pairs = list(items.pairs(batch.column("text")))
-            yield record_batch(
-                doc_id=batch.column("doc_id").take(pa.array([p[0] for p in pairs], pa.int64())),
-                item_id=pa.array([items.ids[p[1]] for p in pairs], pa.int64()),
-                n_item=pa.array([len(items.sets[p[1]]) for p in pairs], pa.int64()),
-                n_shared=pa.array([p[2] for p in pairs], pa.int64()),
-            )
-
-    return docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
-
-
-def _search_by_join(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The same pairs by counting equal shingles in a shuffle join."""
-    lengths = [r["length"] for r in items.select("length").distinct().collect()]  # at most `words`
+    bits = F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+    largest = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+    return F.least(n, F.floor(F.lit(1 - threshold) * largest + 1e-9) + 1)
+
+
+def _sketches(sets: DataFrame, threshold: float) -> DataFrame:
+    """(length, hash, item): the minimum hashes of every item."""
+    place = F.row_number().over(Window.partitionBy("item").orderBy("hash"))
+    least = _sketch_size(F.col("n"), threshold)
+    return sets.withColumn("place", place).filter(F.col("place") <= least).select("length", "hash", "item")
+
+
+def _filter_words(sets: DataFrame) -> np.ndarray:
+    """The filter as 64-bit words: the bit at (hash modulo ``FILTER_BITS``) of every item shingle."""
+    at = F.pmod("hash", F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    words = sets.groupBy((at / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _document_shingles(docs: DataFrame, words: int, passing: np.ndarray) -> DataFrame:
+    """(doc_id, doc_variant, length, hash): distinct shingles of every length that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(passing)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = find_words(batch.column("text"), WHITE_SPACE_OR_PUNCTUATION)
-        word_hash = found.hashes()
-        out = [
-            (k, *distinct(*shingles(found.row, found.first, word_hash, k, short=False))) for k in lengths
-        ]
-        rows = np.concatenate([r for _, r, _ in out])
+        word_hash, bits = found.hashes(), shared.value
+        parts = []
+        for k in range(1, words + 1):
+            rows, hashes = shingles(found.row, found.first, word_hash, k, short=False)
+            at = hashes.view(np.int64) % FILTER_BITS
+            hit = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            rows, hashes = distinct(rows[hit], hashes[hit])
+            parts.append((rows, np.full(len(rows), k, np.int32), hashes.view(np.int64)))
+        rows, length, hashes = map(np.concatenate, zip(*parts, strict=True))
+        taken = pa.array(rows)
         return record_batch(
-            doc_id=batch.column("doc_id").take(pa.array(rows)),
-            length=np.concatenate([np.full(len(r), k, np.int32) for k, r, _ in out]),
-            hash=np.concatenate([h for _, _, h in out]).view(np.int64),
+            doc_id=batch.column("doc_id").take(taken), doc_variant=batch.column("doc_variant").take(taken),
+            length=length, hash=hashes,
         )
 
-    held = map_steps(docs, step, "doc_id long, length int, hash long").distinct()
-    return (
-        held.join(items, ["length", "hash"])
-        .groupBy("doc_id", "item_id", "variant", "n")
-        .agg(F.count("*").alias("n_shared"))
-        .filter(F.col("n_shared") >= threshold * F.col("n") - 1e-9)
-        .select("doc_id", "item_id", F.col("n").alias("n_item"), "n_shared")
-    )
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("doc_variant"))
+    return map_steps(texts, step, "doc_id long, doc_variant long, length int, hash long")
 
 
 def contaminated_pairs(
@@ -166,7 +120,6 @@ def contaminated_pairs(
     items: DataFrame,
     words: int = WORDS,
     threshold: float = THRESHOLD,
-    broadcast_shingles: int = BROADCAST_SHINGLES,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
@@ -174,11 +127,22 @@ def contaminated_pairs(
 ) -> DataFrame:
     """doc_id, item_id, n_item (its shingles), n_shared, containment of each pair at the threshold."""
     docs = id_and_text(docs, id_col, text_col)
-    sets = written(_item_sets(id_and_text(items, item_id_col, item_text_col), words))
-    if sets.count() <= broadcast_shingles:
-        pairs = _search_in_tasks(docs, sets.collect(), threshold)
-    else:
-        pairs = _search_by_join(docs, sets, threshold)
+    sets = written(
+        _item_sets(id_and_text(items, item_id_col, item_text_col), words).select("length", "hash", "n", F.struct(*ITEM).alias("item"))
+    )
+    sketches = written(_sketches(sets, threshold))
+    held = written(
+        _document_shingles(docs, words, _filter_words(sets)).select(F.struct(*DOC).alias("doc"), "length", "hash").distinct()
+    )
+    candidates = held.join(sketches, ["length", "hash"]).select("doc", "item").distinct()
+    pairs = (
+        candidates.join(sets.select("item", "length", "hash"), "item")
+        .join(held, ["doc", "length", "hash"], "left_semi")
+        .groupBy("doc", "item")
+        .agg(F.count("*").alias("n_shared"))
+        .select("doc.doc_id", "item.item_id", F.col("item.n").alias("n_item"), "n_shared")
+        .filter(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
+    )
     best = pairs.groupBy("doc_id", "item_id").agg(
         F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best")
     )

@@ -37,6 +37,8 @@ LINE_BREAK = byte_class(b"\n")
 WIDTH = 5.0
 CORNER = 1.2
 LEAST_GROUP = 40
+#: Rows of bands (a name and six numbers each) that are sent to every task at most.
+BAND_ROWS = 20_000
 #: Smallest spread of each measure that a band assumes.
 LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.01}
 MEASURES = tuple(LEAST_SPREAD)
@@ -190,6 +192,12 @@ def _bands(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     )
 
 
+def _small(bands: DataFrame, most: int = BAND_ROWS) -> DataFrame:
+    """The bands as a written table, sent to every task if its rows are few, else joined by shuffle."""
+    kept = written(bands)
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+
+
 def quality_by_fertility(
     docs: DataFrame,
     vocabulary: str = VOCABULARY,
@@ -206,8 +214,8 @@ def quality_by_fertility(
         .withColumn("size_class", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))))
     )
     sound = rows.filter("not base_failed")
-    fine = _bands(sound, ["group", "size_class"], "fine")
-    coarse = _bands(sound, ["group"], "coarse")
+    fine = _small(_bands(sound, ["group", "size_class"], "fine"))
+    coarse = _small(_bands(sound, ["group"], "coarse"))
     overall = _bands(sound, [], "overall").collect()[0]["overall"]  # one row
     joined = (
         rows.join(fine, (rows["group"] == fine["fine_group"]) & (rows["size_class"] == fine["fine_size_class"]), "left")

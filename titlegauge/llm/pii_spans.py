@@ -17,6 +17,8 @@ IP_PART_AT_MOST = 255
 CARD_DIGITS = range(14, 20)
 PHONE_DIGITS = range(10, 16)
 
+#: Where the ip pattern fails at the first digit of a run, it fails at the others: they are not tried.
+_IP = re.compile(r"(?<![0-9])" + PATTERNS["ip"].pattern)
 _LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
@@ -77,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
                 continue
             spans += [
                 (m.start(), m.end(), kind)
-                for m in PATTERNS[kind].finditer(text)
+                for m in (_IP if kind == "ip" else PATTERNS[kind]).finditer(text)
                 if _holds(kind, m[0])
             ]
     return ordered(spans)
