@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titlegauge.functions.values import smoothed_ratio, time_matched
-from titlegauge.operators.joins import pairs_within
 from titlegauge.operators.pairs import GROUP, rated_links, repost_groups, with_posting_time
 from titlegauge.operators.profile import one_row
 from titlegauge.operators.ranking import exact_quantiles, interpolated
+from titlegauge.operators.ratio_order import PairRatios
+from titlegauge.session import cut_lineage
 
 
 def _variation(value: Column) -> Column:
@@ -61,57 +61,24 @@ def winner_agreement(links: DataFrame) -> DataFrame:
     return winners.agg(F.count(F.lit(1)).alias("n_groups"), F.avg(same).alias("agreement"))
 
 
-def _ratio_counts(cells: DataFrame, keys: list[str], sign: int) -> DataFrame:
-    """(time_matched, sratio, n): how many post pairs of a group have that ratio.
-
-    ``cells`` holds one row per group, score, hour and weekend flag with its number of posts.
-    """
-    cell = ["score", "hour", "weekend"]
-
-    def ordered(a, b):
-        return F.struct(*[a(c) for c in cell]) <= F.struct(*[b(c) for c in cell])
-
-    def sides(a, b):
-        same = F.lit(True)
-        for name in cell:
-            same = same & (a(name) == b(name))
-        inside = a("n") * (a("n") - 1) / 2
-        return [
-            time_matched(a("hour"), a("weekend"), b("hour"), b("weekend")).alias("time_matched"),
-            smoothed_ratio(a("score"), b("score")).alias("sratio"),
-            F.when(same, inside).otherwise(a("n") * b("n")).cast("long").alias("pairs"),
-        ]
-
-    counted = pairs_within(cells, keys, cell, ordered, sides)
-    return counted.groupBy("time_matched", "sratio").agg((F.sum("pairs") * sign).alias("pairs"))
-
-
 def time_matched_noise(links: DataFrame) -> DataFrame:
     """Median score ratio of same-content pairs with different titles, all and time-matched.
 
-    The pairs are counted, not listed: posts of a group fold into (score, hour, weekend) cells,
-    cells meet cells, and the pairs with equal titles are counted the same way and taken off.
+    No pair is listed: posts of a group fold into (score, hour, weekend) cells, the medians are order
+    statistics over sweeps of the cells, and the pairs with equal titles are counted the same way and
+    taken off. Posts without group, title or a score above -1 have no ratio; posts without a posting time
+    are in no time-matched pair.
     """
-    cell = ["score", "hour", "weekend"]
-    rated = with_posting_time(rated_links(links))
-    titled = rated.groupBy(*GROUP, "title", *cell).agg(F.count(F.lit(1)).alias("n"))
+    rated = with_posting_time(rated_links(links)).filter("score > -1").dropna(subset=[*GROUP, "title"])
+    clock = F.col("hour") + F.when(F.col("weekend"), 24).otherwise(0)
+    cell = ["x", "time_class"]
+    timed = rated.withColumns({"x": F.col("score") + 1, "time_class": F.coalesce(clock, F.lit(-1))})
+    titled = timed.groupBy(*GROUP, "title", *cell).agg(F.count(F.lit(1)).alias("n"))
+    titled = cut_lineage(titled)
     merged = titled.groupBy(*GROUP, *cell).agg(F.sum("n").alias("n"))
-    counts = (
-        _ratio_counts(merged, GROUP, 1)
-        .unionByName(_ratio_counts(titled, [*GROUP, "title"], -1))
-        .groupBy("time_matched", "sratio")
-        .agg(F.sum("pairs").alias("pairs"))
-        .filter(F.col("pairs") > 0)
+    medians = PairRatios([(merged, GROUP, 1), (titled, [*GROUP, "title"], -1)]).medians()
+    (n_all, median_all), (n_matched, median_matched) = medians[False], medians[True]
+    return links.sparkSession.createDataFrame(
+        [(n_all, median_all, n_matched, median_matched)],
+        "n_all long, median_all double, n_matched long, median_matched double",
     )
-    matched = counts.filter("time_matched")
-    median = {"median": interpolated(0.5)}
-
-    def summary(rows: DataFrame, suffix: str) -> list[DataFrame]:
-        return [
-            rows.agg(F.sum("pairs").alias(f"n_{suffix}")),
-            exact_quantiles(rows, [], "sratio", median, "pairs").withColumnRenamed(
-                "median", f"median_{suffix}"
-            ),
-        ]
-
-    return one_row(*summary(counts, "all"), *summary(matched, "matched"))
