@@ -197,16 +197,25 @@ def take_mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The documents of the mix with ``copies``, how many times it takes each; ids are unique.
+    """The documents of the mix with ``copies``, how many times it takes each (a column of that name is
+    replaced); ids are unique.
 
     Rows without an id cannot be told apart and are taken once.
     """
+    docs = docs.drop("copies")
     mix = _mixed(docs.filter(docs[id_col].isNotNull()), plan, id_col, text_col, source_col)
-    times = mix.filter("times > 0").select(F.col("doc_id").alias("mix_id"), F.col("times").cast("int").alias("copies"))
-    taken = docs.join(times, docs[id_col].cast("long") == F.col("mix_id")).drop("mix_id")
+    taken_id = _free_name(docs, "mix_id")
+    times = mix.filter("times > 0").select(F.col("doc_id").alias(taken_id), F.col("times").cast("int").alias("copies"))
+    taken = docs.join(times, docs[id_col].cast("long") == times[taken_id]).drop(taken_id)
     return taken.unionByName(docs.filter(docs[id_col].isNull()).withColumn("copies", F.lit(1)))
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def _mixed(docs: DataFrame, plan: MixPlan, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, size, source_size, target, times (how often the mix takes the document)."""
     sized = written(
