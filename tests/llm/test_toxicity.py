@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 
@@ -33,13 +36,24 @@ def test_evidence_names_training_rows_only(scored):
     assert held and not held & {j for r in scored.values() for j in r.neighbours}
 
 
-def test_block_search_equals_brute_force():
+def _sparse(dense):
+    first = np.append(0, np.cumsum((dense > 0).sum(axis=1)))
+    rows, terms = np.nonzero(dense)
+    return t.Vectors(first, terms, dense[rows, terms])
+
+
+@pytest.mark.parametrize("cells", [t.MOST_CELLS, 200], ids=["together", "few at a time"])
+def test_block_search_equals_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(t, "MOST_CELLS", cells)
     rng = np.random.default_rng(2)
     dense = (rng.random((400, 90)) * (rng.random((400, 90)) < 0.08)).astype(np.float32)
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    index = t.ExampleIndex(np.arange(90, dtype=np.uint64), np.ones(90), np.arange(300), rng.integers(0, 2, 300), dense[:300], 0.3)
+    labels = rng.integers(0, 2, 300)
+    index = t.ExampleIndex(
+        np.arange(90, dtype=np.uint64), np.ones(90), 1.0, np.arange(300), np.arange(300), labels, _sparse(dense[:300]), 0.3
+    )
     order = index.ids
-    best, found = index.neighbours(dense[300:])
+    best, found = index.neighbours(_sparse(dense[300:]))
     exact = dense[300:] @ dense[:300].T
     for i in range(100):
         top = np.sort(exact[i])[::-1][: t.NEIGHBOURS]
@@ -48,6 +62,54 @@ def test_block_search_equals_brute_force():
         assert np.allclose(exact[i, order[found[i][real]]], best[i][real], atol=1e-5)
 
 
+def test_cosines_are_over_whole_texts(spark):
+    """Against plain Python, with terms that no example holds."""
+    texts = {i: prose(i % 7, 12 + i) + f" own{i} word{i % 3}" for i in range(40)}
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(24)], LABELS)
+    rows = t.score_toxicity(documents(spark, texts), labels).collect()
+
+    def counts(text):
+        out = {}
+        for w in re.findall(r"[a-z0-9]+", text.lower()):
+            for term in [("w", w)] + ([("p", w[: t.PREFIX])] if len(w) > t.PREFIX else []):
+                out[term] = out.get(term, 0) + 1
+        return out
+
+    n, prior, classes = 24, (6 + 1) / (24 + 2), (18, 6)
+    held = [{}, {}]
+    for i in range(24):
+        for term in counts(texts[i]):
+            held[i % 4 == 0][term] = held[i % 4 == 0].get(term, 0) + 1
+    share = lambda x: prior * held[1].get(x, 0) / classes[1] + (1 - prior) * held[0].get(x, 0) / classes[0]
+
+    def factor(x):
+        a, b = held[1].get(x, 0), held[0].get(x, 0)
+        chi = n * (a * 18 - b * 6) ** 2 / ((a + b) * (n - a - b) * 18 * 6) if 0 < a + b < n else 0
+        return max(min(chi / t.FULL_CHI_SQUARE, 1) ** 2, t.LEAST_FACTOR)
+
+    def vector(text):
+        v = {x: (1 + math.log(c)) * (math.log((n + 1) / (share(x) * n + 1)) + 1) * factor(x) for x, c in counts(text).items()}
+        length = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / length for x, w in v.items()}
+
+    examples = {i: vector(texts[i]) for i in range(24)}
+    for r in rows:
+        own = vector(texts[r.doc_id])
+        want = sorted((sum(w * e.get(x, 0) for x, w in own.items()) for e in examples.values()), reverse=True)
+        assert np.allclose(r.cosines, want[: t.NEIGHBOURS], atol=1e-5)
+
+
+def test_copies_of_toxic_examples_with_words_of_their_own_are_found(spark):
+    texts = {i: " ".join(f"clean{i}x{j}" for j in range(40)) for i in range(300)}
+    texts |= {1_000 + i: " ".join(f"rude{i}x{j}" for j in range(40)) for i in range(30)}
+    labels = spark.createDataFrame([(i, 1, int(i >= 1_000)) for i in texts], LABELS)
+    copies = {2_000 + i: texts[1_000 + i] for i in range(30)} | {3_000 + i: texts[i] for i in range(30)}
+    rows = {r.doc_id: r for r in t.score_toxicity(documents(spark, texts | copies), labels).collect()}
+    for i in range(30):
+        assert rows[2_000 + i].neighbours[0] == 1_000 + i and rows[2_000 + i].cosines[0] > 0.999
+        assert rows[2_000 + i].score > rows[3_000 + i].score
+
+
 def test_odd_rows_one_class_no_labels_and_empty_tables(spark):
     odd = odd_documents(spark)
     none = spark.createDataFrame([], LABELS)

@@ -1,32 +1,38 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are the words of a text and their prefixes of ``PREFIX`` bytes (inflected words share one).
-The vocabulary holds the terms whose presence differs most between the classes by chi-square among
-the labelled examples; inverse document frequencies are counted over all documents.
-
-Index: the examples lie in blocks, ordered by class and source of their strongest term. Every
-block has, for each term that occurs in it, the largest weight (block-max) and the postings of its
-examples. A text's upper bound for a block is the dot product with the block maxima; blocks are
-visited in descending order of bound, and a block is skipped when its bound does not exceed the
-text's ``k``-th best cosine so far. Skipped blocks cannot change the neighbours: the search is exact.
-
-Score: neighbours vote with weight 1 / (1 - cosine + 0.05); a logistic curve over the vote share and
-the best cosine, fitted on the examples' own leave-one-out votes with the class shares of all
-labelled rows, turns votes into a probability. A text that shares no term with any example gets the
+Terms are the words of a text and their prefixes of ``PREFIX`` bytes (inflected words share one). All of
+them count, in the examples and in the texts. The model is fitted on the examples: the inverse document
+frequency of a term is that of the examples, each class weighted to its share of all labelled rows, and a
+term that no example holds has the largest one. Such a term meets no example but lengthens the text's
+vector, so cosines are over whole vectors. Each term's weight has a factor between ``LEAST_FACTOR`` and 1
+that grows with the chi-square of its presence in the two classes of examples: terms that tell nothing of
+the classes weigh little beside those that do, and decide where a text has no others.
+
+Index: the examples lie in blocks, ordered by class and strongest term. Every block has the postings of its
+examples and, for each term that occurs in it, the largest weight (block-max). A text's upper bound for a
+block is the dot product with the block maxima; blocks are visited in descending order of bound, and a
+block is skipped when its bound does not exceed the text's ``k``-th best cosine so far. Skipped blocks
+cannot change the neighbours: the search is exact.
+
+Score: neighbours vote with weight 1 / (1 - cosine + ``NEAREST``); a logistic curve over the vote share and
+its product with the best cosine, fitted on the examples' own leave-one-out votes with the class shares of
+all labelled rows, and with weight ``COPY_WEIGHT`` on the votes for a copy of each, turns votes into a
+probability. A text that shares no term with any example gets the
 score of an empty vote.
 
-Bounds: ``PER_CLASS`` examples of each class (smallest md5 of the id) and ``TERMS`` terms, so the index
-that every task gets has at most 2 * PER_CLASS * TERMS weights. Labels are learned only from rows
-that the caller marks as training rows.
+Bounds: ``PER_CLASS`` examples of each class, smallest md5 of the id first, while the distinct terms of all
+examples stay within ``MOST_POSTINGS``; the index that every task gets has one weight for each of them.
+Labels are learned only from rows that the caller marks as training rows.
 
-Cases: null text counts as empty; null or repeated labels: the largest value per id, null ignored;
-no labelled rows of a class: every score is the share of the other, smoothed; repeated documents
-are scored alike; extra columns are not read; an empty table gives an empty result.
+Cases: null text counts as empty; null or repeated labels: the largest value per id, null ignored; an
+example whose id has several texts is the smallest of them; equal cosines are taken in the order of md5 of
+the example's id, whatever its label; no labelled rows of a class: every score is the share of the other,
+smoothed; repeated documents are scored alike; extra columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,18 +46,21 @@ from titlegauge.llm.common import (
     id_text,
     map_steps,
     record_batch,
-    text_steps,
     written,
 )
 from titlegauge.llm.textwords import WHITE_SPACE_OR_PUNCTUATION, find_words
 
-PER_CLASS = 2_048
-TERMS = 2_048
+PER_CLASS = 1_024
+MOST_POSTINGS = 4_000_000
 PREFIX = 4
 NEIGHBOURS = 15
+NEAREST = 0.05
 BLOCK = 64
-#: Chi-square that a term needs (1 degree of freedom; about 1e-5 by chance).
-LEAST_CHI_SQUARE = 20.0
+#: Texts that are searched together, and numbers of a dense matrix of theirs at most.
+TOGETHER, MOST_CELLS = 512, 8_000_000
+#: Chi-square at which a term has its full weight (1 degree of freedom; about 1e-5 by chance).
+FULL_CHI_SQUARE, LEAST_FACTOR = 20.0, 0.02
+COPY_WEIGHT = 0.1
 REJECT_AT = 0.7
 
 
@@ -74,69 +83,102 @@ def _counted(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[first], terms[first], np.diff(np.append(first, len(rows)))
 
 
-def known_terms(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number in the sorted vocabulary, times) of the terms that the vocabulary holds."""
-    words = find_words(column, WHITE_SPACE_OR_PUNCTUATION)
-    long = words.end - words.start > PREFIX
-    begin = words.start[long]
-    out_rows, out_terms = [], []
-    for rows, hashes in (
-        (words.row, words.hashes()),
-        (words.row[long], words.hashes(begin, begin + PREFIX) ^ np.uint64(1)),
-    ):
-        at = np.searchsorted(vocabulary, hashes)
-        at[at == len(vocabulary)] = 0
-        hit = np.flatnonzero(vocabulary[at] == hashes) if len(vocabulary) else at[:0]
-        out_rows.append(rows[hit])
-        out_terms.append(at[hit])
-    return _counted(np.concatenate(out_rows), np.concatenate(out_terms))
-
-
-def _weights(rows, terms, times, idf, n_rows) -> np.ndarray:
-    """Unit TF-IDF vectors as a dense matrix (rows without terms stay zero)."""
-    out = np.zeros((n_rows, len(idf)), np.float32)
-    out[rows, terms] = (1 + np.log(times)) * idf[terms]
-    length = np.sqrt((out * out).sum(axis=1))
-    return out / np.where(length > 0, length, 1)[:, None]
-
-
 @dataclass
-class Block:
-    """Postings of up to ``BLOCK`` examples: the terms they hold, and their weights per term."""
+class Vectors:
+    """Sparse rows: ``terms`` and ``weights`` of row i lie at ``first[i] : first[i + 1]``, by term."""
 
-    first: int
+    first: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def rows(self, a: int, b: int) -> Vectors:
+        i, j = self.first[a], self.first[b]
+        return Vectors(self.first[a : b + 1] - i, self.terms[i:j], self.weights[i:j])
+
+    def take(self, order: np.ndarray) -> Vectors:
+        sizes = np.diff(self.first)[order]
+        first = np.append(0, np.cumsum(sizes))
+        at = np.repeat(self.first[:-1][order] - first[:-1], sizes) + np.arange(first[-1])
+        return Vectors(first, self.terms[at], self.weights[at])
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.first))
+
+
+class Block:
+    """Postings of up to ``BLOCK`` examples, and the largest weight of each term."""
+
+    def __init__(self, first: int, vectors: Vectors):
+        self.first, self.n = first, len(vectors)
+        order = np.argsort(vectors.terms, kind="stable")
+        self.terms, self.weights = vectors.terms[order], vectors.weights[order]
+        self.example = vectors.row_of()[order]
+        new = np.flatnonzero(np.r_[True, self.terms[1:] != self.terms[:-1]][: len(order)])
+        self.names = self.terms[new]
+        self.largest = np.maximum.reduceat(self.weights, new) if len(new) else self.weights
+
 
 class ExampleIndex:
-    """Examples in blocks with block maxima, and the fitted curve."""
-
-    def __init__(self, vocabulary, idf, ids, toxic, vectors, prior):
-        self.vocabulary, self.idf = vocabulary, idf
-        strongest = vectors.argmax(axis=1) if len(idf) else np.zeros(len(ids), np.int64)
-        order = np.lexsort((ids, strongest, toxic))
-        self.ids, self.toxic, vectors = ids[order], toxic[order], vectors[order]
-        self.blocks: list[Block] = []
-        for first in range(0, len(order), BLOCK):
-            part = vectors[first : first + BLOCK]
-            terms = np.flatnonzero(part.any(axis=0))
-            self.blocks.append(Block(first, terms, np.ascontiguousarray(part[:, terms].T)))
-        self.maxima = np.zeros((len(idf), len(self.blocks)), np.float32)
-        for b, block in enumerate(self.blocks):
-            self.maxima[block.terms, b] = block.weights.max(axis=1) if len(block.terms) else 0
+    """Examples in blocks with block maxima, the vocabulary with its frequencies, and the fitted curve."""
+
+    def __init__(self, vocabulary, idf, unseen_idf, ids, tie, toxic, vectors: Vectors, prior):
+        self.vocabulary, self.idf, self.unseen_idf = vocabulary, idf, unseen_idf
+        place = np.arange(len(ids))
+        strongest = np.zeros(len(ids), np.int64)
+        by_weight = np.lexsort((vectors.terms, -vectors.weights, vectors.row_of()))
+        filled = np.diff(vectors.first) > 0
+        strongest[filled] = vectors.terms[by_weight[vectors.first[:-1][filled]]]
+        order = np.lexsort((place, strongest, toxic))
+        self.ids, self.tie, self.toxic, vectors = ids[order], tie[order], toxic[order], vectors.take(order)
+        self.blocks = [
+            Block(first, vectors.rows(first, min(first + BLOCK, len(order)))) for first in range(0, len(order), BLOCK)
+        ]
         self.prior = prior
         self.curve = self._fit(vectors) if len(set(self.toxic.tolist())) == 2 else None
 
-    def neighbours(self, queries: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def vectors_of(self, column: pa.Array) -> Vectors:
+        """Unit vectors of texts; terms outside the vocabulary are in their length alone."""
+        rows, hashes, times = text_terms(column)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
+        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
+        idf = np.where(known, self.idf[at], self.unseen_idf) if len(self.vocabulary) else np.full(len(hashes), self.unseen_idf)
+        weights = (1 + np.log(times)) * idf
+        length = np.sqrt(np.bincount(rows, weights=weights * weights, minlength=len(column)))
+        weights = weights / np.maximum(length, 1e-12)[rows]
+        first = np.searchsorted(rows[known], np.arange(len(column) + 1))
+        return Vectors(first, at[known], weights[known].astype(np.float32))
+
+    def neighbours(self, queries: Vectors, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``NEIGHBOURS`` best cosines of each query and their example numbers (-1: none)."""
+        n = len(queries)
+        best, found = np.zeros((n, NEIGHBOURS), np.float32), np.full((n, NEIGHBOURS), -1, np.int64)
+        a = 0
+        while a < n and self.blocks:
+            # As many texts as keep the matrix of their terms small; one long text is searched alone.
+            wide = np.maximum(np.diff(queries.first[a : min(n, a + TOGETHER) + 1]).cumsum(), 1)
+            fits = wide * np.arange(1, len(wide) + 1) <= MOST_CELLS
+            b = a + max(1, int(fits.sum()))
+            part = None if without is None else without[a:b]
+            best[a:b], found[a:b] = self._search(queries.rows(a, b), part)
+            a = b
+        return best, found
+
+    def _search(self, queries: Vectors, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(queries), NEIGHBOURS
-        best = np.zeros((n, k), np.float32)
-        found = np.full((n, k), -1, np.int64)
-        if not self.blocks:
-            return best, found
-        bounds = queries @ self.maxima
+        best, found = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
+        terms, column = np.unique(queries.terms, return_inverse=True)
+        dense = np.zeros((n, len(terms)), np.float32)
+        dense[queries.row_of(), column] = queries.weights
+        maxima = np.zeros((len(terms), len(self.blocks)), np.float32)
+        for b, block in enumerate(self.blocks):
+            at, there = _places(terms, block.names)
+            maxima[at[there], b] = block.largest[there]
+        bounds = dense @ maxima
         order = np.argsort(-bounds, axis=1, kind="stable")
+        postings: dict[int, np.ndarray] = {}
         for turn in range(len(self.blocks)):
             block_of = order[:, turn]
             bound = bounds[np.arange(n), block_of]
@@ -146,36 +188,40 @@ class ExampleIndex:
                 break
             for b in np.unique(block_of[alive]):
                 block = self.blocks[b]
+                if b not in postings:
+                    at, there = _places(terms, block.terms)
+                    matrix = np.zeros((len(terms), block.n), np.float32)
+                    matrix[at[there], block.example[there]] = block.weights[there]
+                    postings[b] = matrix
                 rows = alive[block_of[alive] == b]
-                scores = queries[np.ix_(rows, block.terms)] @ block.weights
-                numbers = np.broadcast_to(block.first + np.arange(scores.shape[1]), scores.shape)
+                scores = np.minimum(dense[rows] @ postings[b], 1)
+                numbers = np.broadcast_to(block.first + np.arange(block.n), scores.shape)
                 if without is not None:
                     scores = np.where(numbers == without[rows][:, None], 0, scores)
                 both = np.concatenate([best[rows], scores], axis=1)
                 names = np.concatenate([found[rows], np.where(scores > 0, numbers, -1)], axis=1)
-                # By cosine, then example number: ties never depend on the order of visits.
-                top = np.lexsort((np.where(names < 0, 1 << 40, names), -both), axis=1)[:, :k]
+                # By cosine to six places, then md5 of the id: ties depend on no order of visits and no label.
+                tie = np.where(names < 0, len(self.ids), self.tie[np.maximum(names, 0)])
+                top = np.lexsort((tie, -np.round(both, 6)), axis=1)[:, :k]
                 best[rows] = np.take_along_axis(both, top, axis=1)
                 found[rows] = np.take_along_axis(names, top, axis=1)
         return best, found
 
     def votes(self, best: np.ndarray, found: np.ndarray) -> np.ndarray:
         """(1, vote share, best cosine) of each query; an empty vote is at the prior."""
-        weight = np.where(found >= 0, 1 / (1.05 - np.minimum(best, 1)), 0)
+        weight = np.where(found >= 0, 1 / (1 + NEAREST - np.minimum(best, 1)), 0)
         toxic = np.where(found >= 0, self.toxic[np.maximum(found, 0)], 0)
         share = (weight * toxic).sum(axis=1) + self.prior
         share = share / (weight.sum(axis=1) + 1)
         return np.stack([np.ones(len(best)), share, share * best[:, 0]], axis=1)
 
-    def _fit(self, vectors: np.ndarray) -> np.ndarray:
+    def _fit(self, vectors: Vectors) -> np.ndarray:
         """Logistic regression on leave-one-out votes, classes weighted to their real shares."""
-        found = [
-            self.neighbours(vectors[i : i + 512], without=np.arange(i, min(i + 512, len(vectors))))
-            for i in range(0, len(vectors), 512)
-        ]
-        x = self.votes(*map(np.concatenate, zip(*found, strict=True)))
+        alone, copied = self.neighbours(vectors, without=np.arange(len(vectors))), self.neighbours(vectors)
+        x = np.concatenate([self.votes(*alone), self.votes(*copied)])
         y = self.toxic.astype(float)
         weight = np.where(y > 0, self.prior / max(y.mean(), 1e-9), (1 - self.prior) / max(1 - y.mean(), 1e-9))
+        y, weight = np.tile(y, 2), np.concatenate([weight, COPY_WEIGHT * weight])
         curve, ridge = np.zeros(3), 0.5 * np.eye(3)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
@@ -189,23 +235,21 @@ class ExampleIndex:
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, neighbours' cosines and their numbers for the texts of one batch."""
-        n = len(column)
-        rows, terms, times = known_terms(column, self.vocabulary)
-        best = np.zeros((n, NEIGHBOURS), np.float32)
-        found = np.full((n, NEIGHBOURS), -1, np.int64)
-        for a in range(0, n, 2_048):
-            b = min(n, a + 2_048)
-            i, j = np.searchsorted(rows, [a, b])
-            vectors = _weights(rows[i:j] - a, terms[i:j], times[i:j], self.idf, b - a)
-            hit = np.flatnonzero(vectors.any(axis=1))
-            if len(hit):
-                best[a + hit], found[a + hit] = self.neighbours(vectors[hit])
+        best, found = self.neighbours(self.vectors_of(column))
         if self.curve is None:
-            return np.full(n, self.prior), best, found
+            return np.full(len(column), self.prior), best, found
         score = 1 / (1 + np.exp(-np.clip(self.votes(best, found) @ self.curve, -30, 30)))
         return score, best, found
 
 
+def _places(sorted_terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted term lies, and whether it is there."""
+    if not len(sorted_terms):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_terms, wanted), len(sorted_terms) - 1)
+    return at, sorted_terms[at] == wanted
+
+
 def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return (
         labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
@@ -215,59 +259,6 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     )
 
 
-def _vocabulary(examples: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
-    """The ``TERMS`` terms of the largest chi-square among the examples, sorted."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, terms, _ = text_terms(batch.column("text"))
-        toxic = np.asarray(batch.column("toxic"))[rows]
-        names, place = np.unique(terms, return_inverse=True)
-        return record_batch(
-            term=names.view(np.int64),
-            t=np.bincount(place, weights=toxic, minlength=len(names)).astype(np.int64),
-            c=np.bincount(place, weights=1 - toxic, minlength=len(names)).astype(np.int64),
-        )
-
-    total = float(n_toxic + n_clean)
-    held = F.col("t") + F.col("c")
-    difference = F.col("t") * F.lit(float(n_clean)) - F.col("c") * F.lit(float(n_toxic))
-    spread = held * (F.lit(total) - held) * F.lit(float(n_toxic) * n_clean)
-    chi = F.when(spread > 0, F.lit(total) * difference * difference / spread)
-    best = (
-        map_steps(examples.select("text", "toxic"), step, "term long, t long, c long")
-        .groupBy("term")
-        .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        .withColumn("chi", chi)
-        .filter(F.col("chi") >= LEAST_CHI_SQUARE)
-        .orderBy(F.desc("chi"), "term")
-        .limit(TERMS)
-        .collect()
-    )
-    return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
-
-
-def _document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """Documents that hold each term, and all documents."""
-    terms = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(terms.value), np.int64), 0
-        for batch in text_steps(batches):
-            _, held, _ = known_terms(batch.column("text"), terms.value)
-            seen += np.bincount(held, minlength=len(seen))
-            n += batch.num_rows
-        yield record_batch(term=np.append(np.arange(len(seen)), -1), n=np.append(seen, n))
-
-    counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency, total = np.zeros(len(vocabulary), np.int64), 0
-    for r in counts.collect():
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            frequency[r["term"]] = r["n"]
-    return frequency, total
-
-
 def fit_index(docs: DataFrame, labels: DataFrame, training) -> ExampleIndex:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic (once per id); ``training``: a condition on doc_id."""
     labels = labels.filter(training)
@@ -276,34 +267,65 @@ def fit_index(docs: DataFrame, labels: DataFrame, training) -> ExampleIndex:
     order = F.md5(F.concat(F.lit("example"), id_text(F.col("doc_id"))))
     parts = [labels.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(PER_CLASS) for c in (0, 1)]
     chosen = written(parts[0].unionByName(parts[1]))
-    examples = written(
-        docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    examples = (
+        docs.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
+        .withColumn("place", order)
     )
-    n = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    vocabulary = _vocabulary(examples, n.get(1, 0), n.get(0, 0))
-    frequency, total = _document_frequency(docs, vocabulary)
-    idf = np.log((total + 1) / (frequency + 1)) + 1
-    terms = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, held, times = known_terms(batch.column("text"), terms.value)
-        cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        rows, terms, times = text_terms(batch.column("text"))
+        cut = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
         return record_batch(
-            doc_id=batch.column("doc_id"), toxic=batch.column("toxic"),
-            terms=pa.array([held[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int32())),
-            times=pa.array([times[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int32())),
+            doc_id=batch.column("doc_id"), toxic=batch.column("toxic"), place=batch.column("place"),
+            terms=pa.ListArray.from_arrays(cut, pa.array(terms.view(np.int64))),
+            times=pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))),
         )
 
-    # At most 2 * PER_CLASS rows of at most TERMS numbers.
-    rows = map_steps(examples, step, "doc_id long, toxic int, terms array<int>, times array<int>").orderBy("doc_id").collect()
-    sizes = [len(r["terms"]) for r in rows]
-    vectors = _weights(
-        np.repeat(np.arange(len(rows)), sizes),
-        np.array([t for r in rows for t in r["terms"]], np.int64),
-        np.array([t for r in rows for t in r["times"]], np.int64), idf, len(rows),
+    counted = written(
+        map_steps(examples, step, "doc_id long, toxic int, place string, terms array<long>, times array<int>")
     )
-    ids = np.array([r["doc_id"] for r in rows], np.int64)
-    return ExampleIndex(vocabulary, idf, ids, np.array([r["toxic"] for r in rows], np.int64), vectors, prior)
+    # The sizes of at most 2 * PER_CLASS rows, then the rows within the bound.
+    sizes = counted.select("place", "doc_id", F.size("terms").alias("n")).orderBy("place", "doc_id").collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    kept = [r["doc_id"] for r, t in zip(sizes, total, strict=True) if t <= MOST_POSTINGS]
+    inside = counted if len(kept) == len(sizes) else counted.filter(F.col("doc_id").isin(kept))
+    table = inside.orderBy("place", "doc_id").select("doc_id", "toxic", "terms", "times").toArrow().combine_chunks()
+    ids, toxic = table["doc_id"].to_numpy(), table["toxic"].to_numpy().astype(np.int64)
+    terms = _flat(table["terms"]).view(np.uint64)
+    times = _flat(table["times"])
+    sizes_of = np.array([len(x) for x in table["terms"]], np.int64)
+    first = np.append(0, np.cumsum(sizes_of)).astype(np.int64)
+    vocabulary, place = np.unique(terms, return_inverse=True)
+    of_toxic = np.repeat(toxic, sizes_of)
+    # A term's share of all labelled rows, from its share of each class.
+    n_toxic = int(toxic.sum())
+    held = [np.bincount(place[of_toxic == c], minlength=len(vocabulary)) for c in (0, 1)]
+    share = prior * held[1] / max(n_toxic, 1) + (1 - prior) * held[0] / max(len(toxic) - n_toxic, 1)
+    n = max(len(ids), 1)
+    idf = (np.log((n + 1) / (share * n + 1)) + 1) * _factors(held[1], held[0], n_toxic, len(toxic) - n_toxic)
+    unseen = LEAST_FACTOR * float(np.log(n + 1) + 1)
+    weights = (1 + np.log(times)) * idf[place]
+    row = np.repeat(np.arange(len(ids)), sizes_of)
+    length = np.sqrt(np.bincount(row, weights=weights * weights, minlength=len(ids)))
+    unit = (weights / np.maximum(length, 1e-12)[row]).astype(np.float32)
+    by_term = np.lexsort((place, row))
+    vectors = Vectors(first, place[by_term], unit[by_term])
+    return ExampleIndex(vocabulary, idf, unseen, ids, np.arange(len(ids)), toxic, vectors, prior)
+
+
+def _factors(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How much each term counts, from the examples of either class that hold it."""
+    total, held = n_toxic + n_clean, t + c
+    spread = held * (total - held) * float(max(n_toxic, 1)) * max(n_clean, 1)
+    chi = total * (t * float(n_clean) - c * float(n_toxic)) ** 2 / np.maximum(spread, 1)
+    return np.maximum(np.minimum(chi / FULL_CHI_SQUARE, 1) ** 2, LEAST_FACTOR)
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in column.chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def score_toxicity(
