@@ -99,3 +99,33 @@ def test_the_mix_reaches_its_budget(stages):
     words = sum(size(r.text) * r.copies for r in taken if r.doc_id is not None)
     total = sum(size(r.text) for i, r in before.items() if i is not None)
     assert 1.5 * total - 2 * max(size(r.text) for r in before.values()) <= words <= math.floor(1.5 * total)
+
+
+def _run(spark, folder, docs):
+    for _, stage in p.STAGES:
+        docs = written(stage(spark, docs, folder))
+    return docs
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    let_workers_import(spark)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(5_000, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_clashing_names_pass_through_every_stage(spark, folder):
+    rows = [(i, prose(i, 30), "s", 9, 8, i, "k", 0.5, True) for i in range(12)] + [(3, prose(3, 30), "s", 9, 8, 3, "k", 0.5, True)]
+    schema = "doc_id long, text string, source string, copies int, mix_id long, gone_id long, size string, score double, kept boolean"
+    got = _run(spark, folder, spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "source", "mix_id", "gone_id", "size", "score", "kept", "copies"]
+    taken = got.collect()
+    assert taken and all(r.copies in (1, 2) and r.gone_id == r.doc_id and r.mix_id == 8 for r in taken)
+    again = _run(spark, folder, got)
+    assert again.columns == got.columns and {r.doc_id for r in again.collect()} <= {r.doc_id for r in taken}
+
+
+def test_an_empty_table_passes_as_an_empty_table(spark, folder):
+    got = _run(spark, folder, spark.createDataFrame([], DOCUMENTS))
+    assert got.columns == [*COLUMNS, "copies"] and got.count() == 0
