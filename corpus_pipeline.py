@@ -1,7 +1,10 @@
 """The training-data pipeline over ``documents``: five stages, each written and read again.
 
 Every stage works on all that the stage before kept and returns the columns of documents; the last
-adds ``copies``. Rows with a null text or id pass through the stages like empty or unnamed documents.
+adds ``copies`` (in place of a column of that name). Rows with a null text or id pass through the stages
+like empty or unnamed documents; of repeated rows of an id one stays, the smallest text, then the smallest
+other columns; an empty table passes as an empty table; other columns are carried along under any name, and
+only ``doc_id``, ``text`` and ``source`` have to be there.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from titlegauge.llm.common import let_workers_import, table, written
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows of the given ids; rows without an id stay."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +37,9 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _one_row_per_id(docs: DataFrame) -> DataFrame:
     """Repeated rows of an id are copies of one document: the smallest text stays."""
     named = docs.filter("doc_id is not null")
-    repeated = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     several = named.join(repeated, "doc_id", "left_semi")
-    rest = docs.join(repeated.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rest = docs.join(repeated, "doc_id", "left_anti").select(docs.columns)
     smallest = several.groupBy("doc_id").agg(F.min(F.struct("text", *_others(docs))).alias("row"))
     one = smallest.select("doc_id", "row.*").select(docs.columns)
     return rest.unionByName(one)
@@ -53,6 +56,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    if "n_chars" not in docs.columns:
+        return pii.mask_personal_data(docs)
     size = F.when(F.col("n_chars").isNotNull(), F.coalesce(F.char_length("text"), F.col("n_chars")))
     return pii.mask_personal_data(docs).withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
 
