@@ -50,14 +50,14 @@ from titlegauge.llm.common import (
 )
 from titlegauge.llm.textwords import WHITE_SPACE_OR_PUNCTUATION, find_words
 
-PER_CLASS = 1_024
+PER_CLASS = 512
 MOST_POSTINGS = 4_000_000
 PREFIX = 4
 NEIGHBOURS = 15
 NEAREST = 0.05
 BLOCK = 64
 #: Texts that are searched together, and numbers of a dense matrix of theirs at most.
-TOGETHER, MOST_CELLS = 512, 8_000_000
+TOGETHER, MOST_CELLS = 128, 8_000_000
 #: Chi-square at which a term has its full weight (1 degree of freedom; about 1e-5 by chance).
 FULL_CHI_SQUARE, LEAST_FACTOR = 20.0, 0.02
 COPY_WEIGHT = 0.1
@@ -178,12 +178,13 @@ class ExampleIndex:
             maxima[at[there], b] = block.largest[there]
         bounds = dense @ maxima
         order = np.argsort(-bounds, axis=1, kind="stable")
+        keys, kth = np.zeros((n, k), np.int64), np.zeros(n)
         postings: dict[int, np.ndarray] = {}
         for turn in range(len(self.blocks)):
             block_of = order[:, turn]
             bound = bounds[np.arange(n), block_of]
             # Not below: an equal cosine may win its tie. The margin covers single precision sums.
-            alive = np.flatnonzero((bound > 0) & (bound + 1e-5 >= best[:, -1]))
+            alive = np.flatnonzero((bound > 0) & (bound + 1e-5 >= kth))
             if not len(alive):
                 break
             for b in np.unique(block_of[alive]):
@@ -195,16 +196,20 @@ class ExampleIndex:
                     postings[b] = matrix
                 rows = alive[block_of[alive] == b]
                 scores = np.minimum(dense[rows] @ postings[b], 1)
-                numbers = np.broadcast_to(block.first + np.arange(block.n), scores.shape)
                 if without is not None:
+                    numbers = np.broadcast_to(block.first + np.arange(block.n), scores.shape)
                     scores = np.where(numbers == without[rows][:, None], 0, scores)
-                both = np.concatenate([best[rows], scores], axis=1)
-                names = np.concatenate([found[rows], np.where(scores > 0, numbers, -1)], axis=1)
                 # By cosine to six places, then md5 of the id: ties depend on no order of visits and no label.
-                tie = np.where(names < 0, len(self.ids), self.tie[np.maximum(names, 0)])
-                top = np.lexsort((tie, -np.round(both, 6)), axis=1)[:, :k]
-                best[rows] = np.take_along_axis(both, top, axis=1)
-                found[rows] = np.take_along_axis(names, top, axis=1)
+                steps = np.rint(scores * 1e6).astype(np.int64)
+                key = np.where(steps > 0, (steps << 32) + len(self.ids) - self.tie[block.first : block.first + block.n], 0)
+                both = np.concatenate([keys[rows], key], axis=1)
+                keys[rows] = -np.partition(-both, k - 1, axis=1)[:, :k]
+                kth[rows] = (keys[rows].min(axis=1) >> 32) / 1e6
+        keys = -np.sort(-keys, axis=1)
+        by_tie = np.argsort(self.tie)
+        held = keys > 0
+        found[held] = by_tie[(len(self.ids) - (keys[held] & 0xFFFFFFFF))]
+        best[held] = (keys[held] >> 32) / 1e6
         return best, found
 
     def votes(self, best: np.ndarray, found: np.ndarray) -> np.ndarray:
