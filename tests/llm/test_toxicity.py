@@ -42,9 +42,10 @@ def _sparse(dense):
     return t.Vectors(first, terms, dense[rows, terms])
 
 
-@pytest.mark.parametrize("cells", [t.MOST_CELLS, 200], ids=["together", "few at a time"])
-def test_block_search_equals_brute_force(monkeypatch, cells):
-    monkeypatch.setattr(t, "MOST_CELLS", cells)
+@pytest.mark.parametrize("common, together", [(64, 128), (1, 128), (1_000, 7), (20, 7)])
+def test_block_search_equals_brute_force(monkeypatch, common, together):
+    monkeypatch.setattr(t, "COMMON", common)
+    monkeypatch.setattr(t, "TOGETHER", together)
     rng = np.random.default_rng(2)
     dense = (rng.random((400, 90)) * (rng.random((400, 90)) < 0.08)).astype(np.float32)
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)

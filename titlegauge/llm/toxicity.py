@@ -8,9 +8,10 @@ vector, so cosines are over whole vectors. Each term's weight has a factor betwe
 that grows with the chi-square of its presence in the two classes of examples: terms that tell nothing of
 the classes weigh little beside those that do, and decide where a text has no others.
 
-Index: the examples lie in blocks, ordered by class and strongest term. Every block has the postings of its
-examples and, for each term that occurs in it, the largest weight (block-max). A text's upper bound for a
-block is the dot product with the block maxima; blocks are visited in descending order of bound, and a
+Index: the examples lie in blocks, ordered by class and strongest term. Postings of terms that ``COMMON``
+examples hold are rows of a matrix, those of rarer terms are lists. Every block has the largest weight of
+each common term (block-max); what the lists add is short work and known beforehand. A text's upper bound
+for a block is the dot product with the block maxima and the largest addition; blocks are visited in descending order of bound, and a
 block is skipped when its bound does not exceed the text's ``k``-th best cosine so far. Skipped blocks
 cannot change the neighbours: the search is exact.
 
@@ -51,13 +52,15 @@ from titlegauge.llm.common import (
 from titlegauge.llm.textwords import WHITE_SPACE_OR_PUNCTUATION, find_words
 
 PER_CLASS = 512
-MOST_POSTINGS = 4_000_000
+MOST_POSTINGS = 2_000_000
 PREFIX = 4
 NEIGHBOURS = 15
 NEAREST = 0.05
 BLOCK = 64
-#: Texts that are searched together, and numbers of a dense matrix of theirs at most.
-TOGETHER, MOST_CELLS = 128, 8_000_000
+#: Examples from which on a term's postings are a row of a matrix (at most MOST_POSTINGS / COMMON rows).
+COMMON = 64
+#: Texts that are searched together.
+TOGETHER = 128
 #: Chi-square at which a term has its full weight (1 degree of freedom; about 1e-5 by chance).
 FULL_CHI_SQUARE, LEAST_FACTOR = 20.0, 0.02
 COPY_WEIGHT = 0.1
@@ -108,19 +111,6 @@ class Vectors:
         return np.repeat(np.arange(len(self)), np.diff(self.first))
 
 
-class Block:
-    """Postings of up to ``BLOCK`` examples, and the largest weight of each term."""
-
-    def __init__(self, first: int, vectors: Vectors):
-        self.first, self.n = first, len(vectors)
-        order = np.argsort(vectors.terms, kind="stable")
-        self.terms, self.weights = vectors.terms[order], vectors.weights[order]
-        self.example = vectors.row_of()[order]
-        new = np.flatnonzero(np.r_[True, self.terms[1:] != self.terms[:-1]][: len(order)])
-        self.names = self.terms[new]
-        self.largest = np.maximum.reduceat(self.weights, new) if len(new) else self.weights
-
-
 class ExampleIndex:
     """Examples in blocks with block maxima, the vocabulary with its frequencies, and the fitted curve."""
 
@@ -133,12 +123,35 @@ class ExampleIndex:
         strongest[filled] = vectors.terms[by_weight[vectors.first[:-1][filled]]]
         order = np.lexsort((place, strongest, toxic))
         self.ids, self.tie, self.toxic, vectors = ids[order], tie[order], toxic[order], vectors.take(order)
-        self.blocks = [
-            Block(first, vectors.rows(first, min(first + BLOCK, len(order)))) for first in range(0, len(order), BLOCK)
-        ]
+        self.starts = np.arange(0, len(order), BLOCK)
+        self._lay_out(vectors)
         self.prior = prior
         self.curve = self._fit(vectors) if len(set(self.toxic.tolist())) == 2 else None
 
+    def _lay_out(self, vectors: Vectors) -> None:
+        """Postings by term: those of common terms as rows of a matrix, the others as lists."""
+        example, terms, weights = vectors.row_of(), vectors.terms, vectors.weights
+        held = np.bincount(terms, minlength=len(self.vocabulary))
+        common = held >= COMMON
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((int(common.sum()), len(self.ids)), np.float32)
+        there = common[terms]
+        self.matrix[self.column[terms[there]], example[there]] = weights[there]
+        self.maxima = np.maximum.reduceat(self.matrix, self.starts, axis=1) if len(self.starts) else self.matrix
+        order = np.argsort(terms[~there], kind="stable")
+        self.list_first = np.append(0, np.cumsum(np.where(common, 0, held)))
+        self.list_example, self.list_weight = example[~there][order], weights[~there][order]
+
+    def _by_lists(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """What the lists of the terms add to the cosines of each text and example."""
+        begin = self.list_first[terms]
+        sizes = self.list_first[terms + 1] - begin
+        ends = np.cumsum(sizes)
+        at = np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        place = np.repeat(rows, sizes) * len(self.ids) + self.list_example[at]
+        each = np.repeat(weights, sizes) * self.list_weight[at]
+        return np.bincount(place, weights=each, minlength=n * len(self.ids)).reshape(n, -1).astype(np.float32)
+
     def vectors_of(self, column: pa.Array) -> Vectors:
         """Unit vectors of texts; terms outside the vocabulary are in their length alone."""
         rows, hashes, times = text_terms(column)
@@ -155,32 +168,24 @@ class ExampleIndex:
         """The ``NEIGHBOURS`` best cosines of each query and their example numbers (-1: none)."""
         n = len(queries)
         best, found = np.zeros((n, NEIGHBOURS), np.float32), np.full((n, NEIGHBOURS), -1, np.int64)
-        a = 0
-        while a < n and self.blocks:
-            # As many texts as keep the matrix of their terms small; one long text is searched alone.
-            wide = np.maximum(np.diff(queries.first[a : min(n, a + TOGETHER) + 1]).cumsum(), 1)
-            fits = wide * np.arange(1, len(wide) + 1) <= MOST_CELLS
-            b = a + max(1, int(fits.sum()))
+        for a in range(0, n if len(self.ids) else 0, TOGETHER):
+            b = min(n, a + TOGETHER)
             part = None if without is None else without[a:b]
             best[a:b], found[a:b] = self._search(queries.rows(a, b), part)
-            a = b
         return best, found
 
     def _search(self, queries: Vectors, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(queries), NEIGHBOURS
         best, found = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
-        terms, column = np.unique(queries.terms, return_inverse=True)
-        dense = np.zeros((n, len(terms)), np.float32)
-        dense[queries.row_of(), column] = queries.weights
-        maxima = np.zeros((len(terms), len(self.blocks)), np.float32)
-        for b, block in enumerate(self.blocks):
-            at, there = _places(terms, block.names)
-            maxima[at[there], b] = block.largest[there]
-        bounds = dense @ maxima
-        order = np.argsort(-bounds, axis=1, kind="stable")
         keys, kth = np.zeros((n, k), np.int64), np.zeros(n)
-        postings: dict[int, np.ndarray] = {}
-        for turn in range(len(self.blocks)):
+        row, column = queries.row_of(), self.column[queries.terms]
+        there = column >= 0
+        dense = np.zeros((n, len(self.matrix)), np.float32)
+        dense[row[there], column[there]] = queries.weights[there]
+        listed = self._by_lists(row[~there], queries.terms[~there], queries.weights[~there], n)
+        bounds = dense @ self.maxima + np.maximum.reduceat(listed, self.starts, axis=1)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        for turn in range(len(self.starts)):
             block_of = order[:, turn]
             bound = bounds[np.arange(n), block_of]
             # Not below: an equal cosine may win its tie. The margin covers single precision sums.
@@ -188,20 +193,15 @@ class ExampleIndex:
             if not len(alive):
                 break
             for b in np.unique(block_of[alive]):
-                block = self.blocks[b]
-                if b not in postings:
-                    at, there = _places(terms, block.terms)
-                    matrix = np.zeros((len(terms), block.n), np.float32)
-                    matrix[at[there], block.example[there]] = block.weights[there]
-                    postings[b] = matrix
+                block = slice(self.starts[b], self.starts[b] + BLOCK)
                 rows = alive[block_of[alive] == b]
-                scores = np.minimum(dense[rows] @ postings[b], 1)
+                scores = np.minimum(dense[rows] @ self.matrix[:, block] + listed[rows, block], 1)
                 if without is not None:
-                    numbers = np.broadcast_to(block.first + np.arange(block.n), scores.shape)
-                    scores = np.where(numbers == without[rows][:, None], 0, scores)
+                    own = without[rows][:, None] == np.arange(len(self.ids))[block]
+                    scores = np.where(own, 0, scores)
                 # By cosine to six places, then md5 of the id: ties depend on no order of visits and no label.
                 steps = np.rint(scores * 1e6).astype(np.int64)
-                key = np.where(steps > 0, (steps << 32) + len(self.ids) - self.tie[block.first : block.first + block.n], 0)
+                key = np.where(steps > 0, (steps << 32) + len(self.ids) - self.tie[block], 0)
                 both = np.concatenate([keys[rows], key], axis=1)
                 keys[rows] = -np.partition(-both, k - 1, axis=1)[:, :k]
                 kth[rows] = (keys[rows].min(axis=1) >> 32) / 1e6
@@ -247,14 +247,6 @@ class ExampleIndex:
         return score, best, found
 
 
-def _places(sorted_terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted term lies, and whether it is there."""
-    if not len(sorted_terms):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(sorted_terms, wanted), len(sorted_terms) - 1)
-    return at, sorted_terms[at] == wanted
-
-
 def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return (
         labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
