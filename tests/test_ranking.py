@@ -131,3 +131,16 @@ def test_pairs_of_a_split_group(frame, rows):
     for block in (17, 10_000):
         got = pairs_within(frame, ["k"], ["id"], newer, sides, block_rows=block).collect()
         assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_texts_with_a_common_prefix_fall_into_many_buckets(spark):
+    values = [("g", f"shared/prefix/{i:05d}", i) for i in range(3000)] + [("h", "one", 1), ("h", None, 2)]
+    frame = spark.createDataFrame(values, "k string, t string, n long").repartition(6)
+    staged = ranking.with_bucket(frame, ["k"], "t", "bucket")
+    sizes = {r.bucket: r["count"] for r in staged.filter("k = 'g'").groupBy("bucket").count().collect()}
+    assert len(sizes) >= ranking.SPLITTERS and max(sizes.values()) < 3000 / 20
+    counted = ranking.cumulative_counts(ranking.value_counts(frame, ["k"], "t"), ["k"], "t")
+    got = {r.t: r.below for r in counted.filter("k = 'g'").collect()}
+    assert got == {t: i for k, t, i in values if k == "g"}
+    numbered = ranking.ordinal_rank(frame.filter("k = 'g'").withColumn("v", F.lit(1.0)), ["k"], "v", "t", "r")
+    assert {r.t: r.r for r in numbered.collect()} == {t: i + 1 for k, t, i in values if k == "g"}

@@ -20,8 +20,9 @@ BUCKETS_PER_OCTAVE = 4096
 # Above the bucket of every finite number; infinity has it to itself.
 TOP_BUCKET = 1 << 40
 INDEX_BUCKETS = 4096
-# Leading bytes of text that make its bucket.
-TEXT_BYTES = 3
+# Sampled values that cut the texts of a group into buckets.
+SPLITTERS = 255
+SPLITTER_SALTS = 16
 
 
 def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
@@ -36,16 +37,28 @@ def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     return F.when(F.abs(number) == float("inf"), F.signum(number) * top).otherwise(finite).cast("long")
 
 
-def text_bucket(value: Column, n_bytes: int = TEXT_BYTES) -> Column:
-    """The same for text: its first bytes as a number. Text is ordered by its bytes."""
-    head = F.hex(F.substring(F.encode(value, "utf-8"), 1, n_bytes))
-    return F.conv(F.rpad(head, 2 * n_bytes, "0"), 16, 10).cast("long")
+def with_bucket(df: DataFrame, keys: Sequence[str], name: str, out: str) -> DataFrame:
+    """Add the order-keeping bucket ``out`` of the column ``name`` within its group.
 
-
-def bucket_of(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return text_bucket(F.col(name))
-    return order_bucket(F.col(name))
+    Texts of a group are cut by ``SPLITTERS`` of its own values, those lowest in hash order, so the
+    buckets are even whatever the texts have in common. The rest of the values needs no order here.
+    """
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return df.withColumn(out, order_bucket(F.col(name)))
+    keys = list(keys)
+    known = df.select(*keys, name).filter(F.col(name).isNotNull())
+    # Equal values share a hash, so a group of repeats is folded before the sample is taken.
+    folded = known.groupBy(*keys, name).agg(F.xxhash64(name).alias("_place"))
+    sample = first_n(
+        folded, keys, [F.col("_place"), F.col(name)], SPLITTERS, salts=SPLITTER_SALTS, spread=[name]
+    )
+    cuts = sample.groupBy(*keys).agg(F.sort_array(F.collect_list(name)).alias("_cuts"))
+    if keys:
+        staged = lookup_join(df, cuts, keys, how="left", spread=[name])
+    else:
+        staged = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    below = F.size(F.filter("_cuts", lambda cut: cut <= F.col(name)))
+    return staged.withColumn(out, F.coalesce(below, F.lit(0)).cast("long")).drop("_cuts")
 
 
 def first_n(
@@ -107,7 +120,7 @@ def _rows_below(keys: list[str], value: str) -> Column:
 def cumulative_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Add ``below`` (rows of the group with a smaller value) and ``total`` to value counts."""
     keys = list(keys)
-    bucketed = counts.withColumn("_bucket", bucket_of(counts, value))
+    bucketed = with_bucket(counts, keys, value, "_bucket")
     totals = _bucket_totals(bucketed, keys).drop("_cell")
     return (
         bucketed.join(totals, [*keys, "_bucket"])
@@ -232,7 +245,7 @@ def ordinal_rank(
     Rows move once, to (group, value, tie bucket); the two offsets come from counts.
     """
     keys = list(keys)
-    staged = df.withColumn("_tie_bucket", bucket_of(df, tie))
+    staged = with_bucket(df, keys, tie, "_tie_bucket")
     cells = staged.groupBy(*keys, value, "_tie_bucket").agg(F.count(F.lit(1)).alias("_cell"))
     before = (
         Window.partitionBy(*keys, value)
