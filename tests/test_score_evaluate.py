@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from titlegauge.operators import evaluate, score
+from titlegauge.operators import evaluate, features, score
 
 
 def test_confidence_levels(spark):
@@ -141,3 +141,25 @@ def test_mean_row(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("b", 3, None)], "subreddit string, n long, r double")
     row = evaluate.with_mean_row(df).filter("subreddit = 'MEAN'").first()
     assert (row.n, row.r) == (2.0, 0.5)
+
+
+def test_sums_equal_gathered_features(spark):
+    posts = spark.createDataFrame(
+        [(1, "s", "go stop go"), (2, "s", "calm!"), (3, "t", "go"), (4, "s", ""), (5, "s", None), (1, "s", "stop")],
+        "id long, subreddit string, title string",
+    )
+    keys = ["subreddit", "id"]
+    gathered = score.predict(posts, model(spark), keys)
+    summed = score.predict(posts, model(spark), keys, with_features=False)
+    want = {r.id: r.prediction for r in gathered.collect()}
+    assert {r.id: r.prediction for r in summed.collect()} == pytest.approx(want) and set(want) == {1, 2, 4, 5}
+    cells = features.feature_cells(posts, model(spark), keys, extra=["coef"])
+    one_by_one = features.long_features(gathered, keys)
+
+    def listed(df):
+        names = (*keys, "kind", "feature", "value", "raw", "coef")
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect())
+
+    assert listed(cells) == listed(one_by_one)
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan

@@ -124,7 +124,7 @@ def with_term_counts(
         staged, terms = df, word_boundary_grams(F.col(text))
     else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
-    staged = staged.withColumn("_sorted", F.array_sort(terms))
+    staged = staged.withColumn("_sorted", F.sort_array(terms))
     size = F.size("_sorted")
     run_starts = F.filter(
         F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),

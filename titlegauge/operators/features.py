@@ -49,17 +49,26 @@ def title_terms(posts: DataFrame, analyzer: str = "word", keep: Sequence[str] =
 
 def vocabulary(
     train: DataFrame, min_df: int = MIN_DF, max_features: int = MAX_FEATURES,
-    analyzer: str = "word", weight: str | None = None,
+    analyzer: str = "word", weight: str | None = None, means: dict[str, str] | None = None,
 ) -> DataFrame:
     """(subreddit, feature, tf, df, idf): terms in ``min_df`` training titles of the community,
     the ``max_features`` most frequent (ties by term), with smoothed inverse document frequency.
-    A row with a ``weight`` counts as that many titles.
+    A row with a ``weight`` counts as that many titles. ``means`` adds, under each of its names, the
+    mean of a column over the titles that hold the term, from the same pass.
     """
+    means = means or {}
     times = F.col(weight) if weight else F.lit(1)
-    terms = title_terms(train, analyzer, keep=[weight] if weight else [])
+    kept_columns = {*means.values(), *([weight] if weight else [])}
+    terms = title_terms(train, analyzer, keep=sorted(kept_columns))
     counted = (
         terms.groupBy("subreddit", "feature")
-        .agg(F.sum(F.col("tf") * times).alias("tf"), F.sum(times).alias("df"))
+        .agg(
+            F.sum(F.col("tf") * times).alias("tf"), F.sum(times).alias("df"),
+            *[
+                (F.sum(F.col(c) * times) / F.sum(F.when(F.col(c).isNotNull(), times))).alias(name)
+                for name, c in means.items()
+            ],
+        )
         .filter(F.col("df") >= min_df)
     )
     kept = first_n(
@@ -69,14 +78,14 @@ def vocabulary(
     sizes = train.groupBy("subreddit").agg(F.sum(times).alias("_size"))
     idf = F.log((1 + F.col("_size")) / (1 + F.col("df"))) + 1
     return lookup_join(kept, sizes, ["subreddit"], spread=["feature"]).select(
-        "subreddit", "feature", "tf", "df", idf.alias("idf")
+        "subreddit", "feature", "tf", "df", idf.alias("idf"), *means
     )
 
 
-def text_space(vocab: DataFrame, kind: str = "t") -> DataFrame:
+def text_space(vocab: DataFrame, kind: str = "t", extra: Sequence[str] = ()) -> DataFrame:
     return vocab.select(
         "subreddit", F.lit(kind).alias("kind"), "feature",
-        F.lit(0.0).alias("center"), F.col("idf").alias("factor"),
+        F.lit(0.0).alias("center"), F.col("idf").alias("factor"), *extra,
     )
 
 
@@ -190,6 +199,57 @@ def raw_features(
     return staged.select(*keys, cells.alias("_c")).select(*keys, "_c.*")
 
 
+def _weighted_cells(
+    posts: DataFrame, space: DataFrame, keys: Sequence[str], analyzer: str | None,
+    embedding: str | None,
+) -> DataFrame:
+    """(keys, kind, feature, x, raw, columns of ``space``, value): in-space features before text
+    weights get unit length.
+
+    Titles are dealt by ``keys`` before they are unrolled: what moves is a title, not its features,
+    and whatever is summed or gathered per title afterwards finds its rows in one place.
+    """
+    raw = raw_features(posts.repartition(*[F.col(k) for k in keys]), keys, analyzer, embedding)
+    joined = lookup_join(raw, space, SPACE_KEYS, spread=[*keys, "feature"])
+    value = F.when(F.col("kind") == "i", F.col("factor")).otherwise(
+        (F.col("x") - F.col("center")) * F.col("factor")
+    )
+    return joined.withColumn("value", value)
+
+
+def _square(kind: str) -> Column:
+    return F.sum(F.when(F.col("kind") == kind, F.col("value") * F.col("value")))
+
+
+def feature_cells(
+    posts: DataFrame, space: DataFrame, keys: Sequence[str], analyzer: str | None = "word",
+    embedding: str | None = None, extra: Sequence[str] = (),
+) -> DataFrame:
+    """(keys, kind, feature, value, raw, extra): a row per weighted, in-space feature of each title."""
+    cells = _weighted_cells(posts, space, keys, analyzer, embedding)
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*keys, "kind")))
+    value = F.when(F.col("kind").isin("t", "c"), F.col("value") / length).otherwise(F.col("value"))
+    return cells.select(*keys, "kind", "feature", value.alias("value"), "raw", *extra)
+
+
+def weighted_sums(
+    posts: DataFrame, model: DataFrame, keys: Sequence[str], analyzer: str | None = "word",
+    embedding: str | None = None,
+) -> DataFrame:
+    """(keys, prediction): the sum of value * coef per title; no features are gathered."""
+    cells = _weighted_cells(posts, model, keys, analyzer, embedding)
+    part = F.col("value") * F.col("coef")
+    sums = [F.sum(F.when(~F.col("kind").isin("t", "c"), part)).alias("_rest")]
+    for kind in ("t", "c"):
+        sums.append(F.sum(F.when(F.col("kind") == kind, part)).alias(f"_sum_{kind}"))
+        sums.append(_square(kind).alias(f"_square_{kind}"))
+    # A kind without features in the space adds nothing.
+    total = F.coalesce("_rest", F.lit(0.0))
+    for kind in ("t", "c"):
+        total = total + F.coalesce(F.col(f"_sum_{kind}") / F.sqrt(f"_square_{kind}"), F.lit(0.0))
+    return cells.groupBy(*keys).agg(*sums).select(*keys, total.alias("prediction"))
+
+
 def featurize(
     posts: DataFrame, space: DataFrame, keys: Sequence[str], analyzer: str | None = "word",
     embedding: str | None = None, extra: Sequence[str] = (),
@@ -199,16 +259,12 @@ def featurize(
     ``extra`` names further columns of ``space`` to carry (index, coefficient). The array of a
     title is bounded by its length; text weights have unit length over in-vocabulary terms.
     """
-    raw = raw_features(posts, keys, analyzer, embedding)
-    joined = lookup_join(raw, space, SPACE_KEYS, spread=[*keys, "feature"])
-    value = F.when(F.col("kind") == "i", F.col("factor")).otherwise(
-        (F.col("x") - F.col("center")) * F.col("factor")
-    )
-    weighted = joined.withColumn("value", value)
+    weighted = _weighted_cells(posts, space, keys, analyzer, embedding)
     # Sorted cells: equal titles then give bit-equal sums in every run.
-    cells = F.array_sort(F.collect_list(F.struct("kind", "feature", "value", "raw", *extra)))
-    gathered = weighted.groupBy(*keys).agg(cells.alias("_cells"))
-    gathered = gathered.withColumns({f"_norm_{kind}": _length(kind) for kind in ("t", "c")})
+    cells = F.sort_array(F.collect_list(F.struct("kind", "feature", "value", "raw", *extra)))
+    gathered = weighted.groupBy(*keys).agg(
+        cells.alias("_cells"), *[F.sqrt(_square(kind)).alias(f"_norm_{kind}") for kind in ("t", "c")]
+    )
     unit = F.transform(
         "_cells",
         lambda c: c.withField(
@@ -221,15 +277,6 @@ def featurize(
     return gathered.select(*keys, unit.alias("features"))
 
 
-def _length(kind: str) -> Column:
-    square = F.aggregate(
-        "_cells",
-        F.lit(0.0),
-        lambda acc, c: acc + F.when(c["kind"] == kind, c["value"] * c["value"]).otherwise(0.0),
-    )
-    return F.sqrt(square)
-
-
 def long_features(featurized: DataFrame, keys: Sequence[str]) -> DataFrame:
     return featurized.select(*keys, F.explode_outer("features").alias("_f")).select(*keys, "_f.*")
 
@@ -237,7 +284,7 @@ def long_features(featurized: DataFrame, keys: Sequence[str]) -> DataFrame:
 def tfidf(posts: DataFrame, vocab: DataFrame, analyzer: str = "word") -> DataFrame:
     """(subreddit, id, feature, weight) over in-vocabulary terms."""
     keys = ["subreddit", "id"]
-    cells = long_features(featurize(posts, text_space(vocab), keys, analyzer), keys)
+    cells = feature_cells(posts, text_space(vocab), keys, analyzer).filter(F.col("kind") == "t")
     return cells.select(*keys, "feature", F.col("value").alias("weight"))
 
 
@@ -272,9 +319,7 @@ def pair_differences(
     """(keys, kind, feature, value): features of title_a minus features of title_b."""
     sides = pair_titles(pairs, keys, community)
     by = [*keys, "side"]
-    cells = long_features(
-        featurize(sides, space, [*by, "subreddit"], analyzer, extra=extra), by
-    )
+    cells = feature_cells(sides, space, [*by, "subreddit"], analyzer, extra=extra)
     return (
         cells.filter(F.col("kind") != "i")
         .groupBy(*keys, "kind", "feature", *extra)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from titlegauge.functions.text import strip_spaces
 from titlegauge.functions.values import verdict
-from titlegauge.operators.features import featurize
+from titlegauge.operators.features import featurize, weighted_sums
 from titlegauge.operators.ranking import ordinal_rank
 
 # Wording of structural features, confidence floors and notes, empty explanation.
@@ -61,9 +61,14 @@ def draft_lines(requests: DataFrame) -> DataFrame:
 
 def predict(
     posts: DataFrame, model: DataFrame, keys: Sequence[str], analyzer: str | None = "word",
-    embedding: str | None = None,
+    embedding: str | None = None, with_features: bool = True,
 ) -> DataFrame:
-    """(keys, features, prediction): sum of value * coef; the intercept is a feature."""
+    """(keys, features, prediction): sum of value * coef; the intercept is a feature.
+
+    Without ``with_features`` the features are summed where they lie and none is gathered.
+    """
+    if not with_features:
+        return weighted_sums(posts, model, keys, analyzer, embedding)
     scored = featurize(posts, model, keys, analyzer, embedding, extra=["coef"])
     total = F.aggregate(
         "features", F.lit(0.0), lambda acc, f: acc + f["value"] * f["coef"]
@@ -77,11 +82,14 @@ def band(prediction: Column) -> Column:
 
 
 def score_titles(
-    posts: DataFrame, model: DataFrame, keys: Sequence[str], analyzer: str = "word"
+    posts: DataFrame, model: DataFrame, keys: Sequence[str], analyzer: str = "word",
+    with_features: bool = True,
 ) -> DataFrame:
     """0-100 band and verdict per title. A title of a community without a model has neither, and an
-    ``error`` that says so."""
-    scored = predict(posts, model, keys, analyzer).withColumn("band", band(F.col("prediction")))
+    ``error`` that says so. ``with_features`` keeps what ``explain`` reads."""
+    scored = predict(posts, model, keys, analyzer, with_features=with_features).withColumn(
+        "band", band(F.col("prediction"))
+    )
     scored = scored.withColumns(
         {"verdict": verdict(F.col("band")), "error": F.lit(None).cast("string")}
     )

@@ -106,7 +106,7 @@ def _predicted_test(spark, sf):
     labelled, model = _fixed(spark, sf)
     _, test = split_sides(labelled)
     keys = ["subreddit", "id", "title", "label"]
-    predicted = score.predict(test, model, keys).drop("features")
+    predicted = score.predict(test, model, keys, with_features=False)
     # Rounded so that ties are ties in every engine.
     return labelled, cut_lineage(predicted.withColumn("prediction", F.round("prediction", 9)))
 
@@ -122,9 +122,10 @@ def _metrics(spark, sf):
     return training.metrics_of(_fixed_evaluation(spark, sf))
 
 
-def _scored_drafts(spark, sf):
+def _scored_drafts(spark, sf, with_features=False):
     _, model = _fixed(spark, sf)
-    return cut_lineage(score.score_titles(fixtures.drafts(spark, sf), model, DRAFT_KEYS))
+    drafts = fixtures.drafts(spark, sf)
+    return cut_lineage(score.score_titles(drafts, model, DRAFT_KEYS, with_features=with_features))
 
 
 # ---------------------------------------------------------------- ingest and cleaning
@@ -475,7 +476,7 @@ def assembled_features(spark, sf):
     keys = ["subreddit", "id"]
     posts = _stored_clean(spark, sf)
     space = features.fit_space(_train_of(posts))
-    cells = features.long_features(features.featurize(posts, space, keys), keys)
+    cells = features.feature_cells(posts, space, keys)
     return rounded(
         cells.groupBy(*keys, "kind").agg(
             F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total")
@@ -511,8 +512,7 @@ def embedding_features(spark, sf):
     )
     posts = features.attach_vectors(clean, fixtures.post_vectors(spark, sf))
     keys = ["subreddit", "id"]
-    wide = features.featurize(posts, space, keys, analyzer=None, embedding="embedding")
-    cells = features.long_features(wide, keys)
+    cells = features.feature_cells(posts, space, keys, analyzer=None, embedding="embedding")
     return rounded(
         cells.groupBy(*keys, "kind").agg(
             F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total")
@@ -601,7 +601,9 @@ def trained_communities(spark, sf):
 def stored_scores(spark, sf):
     """Drafts scored by models on structure that were trained, stored and read back."""
     model = _stored(spark, sf)[2]["model"]
-    scored = score.score_titles(fixtures.drafts(spark, sf), model, DRAFT_KEYS, analyzer=None)
+    scored = score.score_titles(
+        fixtures.drafts(spark, sf), model, DRAFT_KEYS, analyzer=None, with_features=False
+    )
     return rounded(scored.select("request_id", "position", "subreddit", "band", "error"), 4)
 
 
@@ -785,7 +787,7 @@ def matched_pairs(spark, sf):
 
 @query
 def score_titles(spark, sf):
-    return rounded(_scored_drafts(spark, sf).drop("features", "prediction"))
+    return rounded(_scored_drafts(spark, sf).drop("prediction"))
 
 
 @query
@@ -799,7 +801,7 @@ def verdicts(spark, sf):
 @query
 def rank_drafts(spark, sf):
     ranked = score.rank_drafts(_scored_drafts(spark, sf))
-    return rounded(ranked.drop("features", "prediction", "title"))
+    return rounded(ranked.drop("prediction", "title"))
 
 
 @query
@@ -809,13 +811,13 @@ def strongest_draft(spark, sf):
 
 @query
 def explain(spark, sf):
-    explained = score.explain(_scored_drafts(spark, sf))
+    explained = score.explain(_scored_drafts(spark, sf, with_features=True))
     return rounded(score.explanation_rows(explained, ["request_id", "position"]))
 
 
 @query
 def explanation_text(spark, sf):
-    explained = score.explain(_scored_drafts(spark, sf), k=3)
+    explained = score.explain(_scored_drafts(spark, sf, with_features=True), k=3)
     return explained.select(
         "request_id", "position",
         score.explanation_text(F.col("boosts")).alias("boosted_by"),

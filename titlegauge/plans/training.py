@@ -12,7 +12,7 @@ from titlegauge.functions.text import STRUCTURAL_NAMES
 from titlegauge.operators.evaluate import evaluation_rows, with_mean_row
 from titlegauge.operators.features import (
     INTERCEPT, MAX_FEATURES, MIN_DF, attach_vectors, embedding_space, fit_space, intercept_space,
-    structural_space, text_space, title_terms, vocabulary,
+    structural_space, text_space, vocabulary,
 )
 from titlegauge.operators.labels import fit_ecdf
 from titlegauge.operators.models import ALPHAS, FOLDS, INTERCEPT_FACTOR, fit_ridge
@@ -48,7 +48,7 @@ def evaluate_model(
     decimals are ties."""
     train, test = split_sides(labelled)
     keys = ["subreddit", "id", "title", "label"]
-    predicted = predict(test, model, keys, analyzer, embedding).drop("features")
+    predicted = predict(test, model, keys, analyzer, embedding, with_features=False)
     predicted = cut_lineage(predicted.withColumn("prediction", F.round("prediction", digits)))
     sizes = train.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n_train"))
     return evaluation_rows(predicted, sizes)
@@ -124,14 +124,8 @@ def fixed_model(
     """A closed-form model: a term's coefficient is the mean label of the titles holding it minus
     the community mean; the intercept is the community mean."""
     means = train.groupBy("subreddit").agg(F.avg("label").alias("mean_label"))
-    held = (
-        title_terms(train, keep=["label"])
-        .groupBy("subreddit", "feature")
-        .agg(F.avg("label").alias("term_label"))
-    )
-    text = text_space(vocabulary(train, min_df, max_features)).join(
-        held, ["subreddit", "feature"]
-    )
+    vocab = vocabulary(train, min_df, max_features, means={"term_label": "label"})
+    text = text_space(vocab, extra=["term_label"])
     pairs = [x for name in STRUCTURAL_NAMES for x in (F.lit(name), F.lit(FIXED_STRUCTURAL_COEFS[name]))]
     rest = structural_space(train).unionByName(intercept_space(train))
     coef = (
