@@ -196,3 +196,33 @@ def test_newton_steps_over_small_chunks_of_two_models(spark, monkeypatch):
     got = {(r.subreddit, r.idx): r.coef for r in logit.fit(df, sizes).collect()}
     for name, theta in want.items():
         assert np.allclose([got[name, i] for i in [*range(len(theta) - 1), -1]], theta, atol=1e-7)
+
+
+def test_a_community_of_many_rows_is_one_chunk_and_chunks_are_bounded_by_cells(monkeypatch, spark):
+    """Steps over the cluster cost a pass each, so they are left to communities that no task can hold."""
+    posts = spark.range(20_000).select(
+        F.lit("s").alias("subreddit"), F.col("id").cast("string").alias("id"),
+        F.concat(F.lit("word"), F.col("id") % 7, F.lit(" term"), F.col("id") % 11).alias("title"),
+        (F.col("id") % 13 / 13).alias("label"),
+    )
+    space = cut_lineage(features.fit_space(posts, intercept_factor=models.INTERCEPT_FACTOR))
+    chunks = lambda: ridge_fit.row_chunks(posts, cut_lineage(ridge_fit.with_local_index(space)), 0, "word", None)[1]
+    assert chunks().first().chunks == 1
+    whole = models.fit_ridge(posts, space, alphas=(1.0,), folds=0).toPandas()
+    monkeypatch.setattr(ridge_fit, "CHUNK_CELLS", 80_000)
+    assert chunks().first().chunks > 1
+    parts = models.fit_ridge(posts, space, alphas=(1.0,), folds=0).toPandas()
+    both = whole.merge(parts, on=["subreddit", "kind", "feature"])
+    assert len(both) == len(whole) and np.allclose(both.coef_x, both.coef_y, atol=1e-6)
+
+
+def test_products_in_blocks_are_those_of_the_matrix(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 9)) * (rng.random((40, 9)) < 0.4)
+    row, idx = np.nonzero(x)
+    chunk = ridge_fit.Chunk(row, idx, x[row, idx], rng.normal(size=40))
+    monkeypatch.setattr(ridge_fit, "BLOCK_CELLS", 7)
+    monkeypatch.setattr(ridge_fit, "BLOCK_ROWS", 6)
+    v, w = rng.normal(size=9), rng.normal(size=40)
+    assert np.allclose(chunk.times(v), x @ v) and np.allclose(chunk.back(w, 9), w @ x)
+    assert np.allclose(np.concatenate([wide for wide, _ in chunk.dense(9)]), x)
