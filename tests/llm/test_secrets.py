@@ -4,6 +4,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, no_documents, odd_documents, odd_rows, prose
 from titlegauge.llm import secrets as m
@@ -76,3 +77,23 @@ def test_many_matches_in_one_text(spark):
     for a, is_added, b in places:
         assert not is_added or a >= ends
         ends = max(ends, b)
+
+
+def test_models_learn_from_all_texts(spark):
+    letters = F.translate(F.lpad(F.col("id").cast("string"), 5, "0"), "0123456789", "abcdefghij")
+    docs = spark.range(24_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("ordinaryword"), letters, F.lit(" token="), F.lpad(F.col("id").cast("string"), 20, "0")).alias("text"),
+    )
+    told = {r["random"]: r["count"] for r in m.training_tokens(docs, m.matched(docs)).groupBy("random").count().collect()}
+    assert told == {True: 24_000, False: 24_000}
+
+
+def test_threshold_is_the_quantile_of_all_ordinary_words(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=14)) for _ in range(3_000)]
+    tokens = spark.createDataFrame([(w, False) for w in words] + [(f"{i:030x}", True) for i in range(40)], "token string, random boolean")
+    ratios, threshold = m.fit(tokens)
+    scores = tokens.filter("not random").select(m._score(F.col("token"), ratios).alias("s"))
+    exact = scores.agg(F.percentile("s", F.lit(1 - m.TAIL))).first()[0]
+    assert threshold == pytest.approx(max(m.LEAST_THRESHOLD, exact), rel=1e-9)

@@ -4,18 +4,16 @@ DataFrame functions only. Positions follow from splitting a text by a pattern: t
 pieces between the matches and of the matches themselves add up to the matches' places.
 
 Models: both give each character after its predecessor (digits, letters and one class for signs). One
-is trained on the values that the patterns match, the other on long ordinary words in ``SAMPLE_TEXTS``
-texts (smallest md5 of the id); of each kind ``SAMPLE_TOKENS`` distinct words at most, smallest md5
-first. A word's score is the mean log-likelihood ratio of its character pairs, random over ordinary.
-The threshold lies above all but ``TAIL`` of the ordinary sample, and at ``LEAST_THRESHOLD`` or more.
+is trained on all distinct values that the patterns match, the other on all other distinct long ordinary
+words of the texts. A word's score is the mean log-likelihood ratio of its character pairs, random over ordinary.
+The threshold lies above all but ``TAIL`` of the ordinary words, and at ``LEAST_THRESHOLD`` or more.
 
 Candidates are all runs of key characters in every whole text that are long enough and mix digits
 with letters. One is added if it scores above the threshold and overlaps no pattern match. Pattern
 matches always stay.
 
 Cases: null or empty text has no spans; very long texts are one row, whose work grows with its matches
-times their root; spans that start together are ordered by kind as listed, samples that tie on md5 by
-their text; repeated rows give repeated results; extra columns are not read; where there is nothing to learn, only pattern matches are
+times their root; spans that start together are ordered by kind as listed; repeated rows give repeated results; extra columns are not read; where there is nothing to learn, only pattern matches are
 returned; an empty table gives an empty result.
 """
 
@@ -27,7 +25,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titlegauge.llm.common import id_and_text, id_text, written
+from titlegauge.llm.common import id_and_text, written
+from titlegauge.operators.ranking import exact_quantiles, interpolated
 
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
@@ -41,8 +40,6 @@ HEX = r"[0-9a-f]{24,}"
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"[A-Za-z][A-Za-z_]{11,}"
-SAMPLE_TEXTS = 2_000
-SAMPLE_TOKENS = 20_000
 TAIL = 0.001
 LEAST_THRESHOLD = 0.5
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -204,18 +201,14 @@ def _score(token: Column, ratios: list[float]) -> Column:
     return F.when(F.char_length(token) > 1, total / (F.char_length(token) - 1)).otherwise(F.lit(0.0))
 
 
-def _sample(tokens: DataFrame) -> DataFrame:
-    return tokens.filter(F.char_length("token") > 1).distinct().orderBy(F.md5("token"), "token").limit(SAMPLE_TOKENS)
-
-
 def training_tokens(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(token, random): the labelled samples."""
-    random = _sample(found.select(F.explode("base.value").alias("token")))
-    chosen = docs.select("doc_id").orderBy(F.md5(id_text(F.col("doc_id"))), "doc_id").limit(SAMPLE_TEXTS)
-    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
-    words = texts.select(F.explode(_all(F.coalesce(F.col("text"), F.lit("")), ORDINARY)).alias("token"))
-    ordinary = _sample(words.join(random, "token", "left_anti"))
-    return random.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
+    """(token, random): the distinct words of all texts; one that a pattern matched anywhere is random."""
+    values = found.select(F.explode("base.value").alias("token"), F.lit(True).alias("random"))
+    words = docs.select(
+        F.explode(_all(F.coalesce(F.col("text"), F.lit("")), ORDINARY)).alias("token"), F.lit(False).alias("random")
+    )
+    tokens = values.unionByName(words).filter(F.char_length("token") > 1)
+    return tokens.groupBy("token").agg(F.max("random").alias("random"))
 
 
 def fit(tokens: DataFrame) -> tuple[list[float], float] | None:
@@ -238,7 +231,7 @@ def fit(tokens: DataFrame) -> tuple[list[float], float] | None:
         likelihood[kind] = [log(n[i] / sums[i // N_CLASSES]) for i in range(len(n))]
     ratios = [r - o for r, o in zip(likelihood[True], likelihood[False], strict=True)]
     scored = tokens.filter("not random").select(_score(F.col("token"), ratios).alias("score"))
-    tail = scored.agg(F.percentile("score", F.lit(1 - TAIL)).alias("q")).first()["q"]
+    tail = exact_quantiles(scored.withColumn("all", F.lit(1)), ["all"], "score", {"q": interpolated(1 - TAIL)}).first()["q"]
     return ratios, max(LEAST_THRESHOLD, tail)
 
 
