@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -52,3 +53,14 @@ def test_held_out_text_like_the_corpus_scores_better_than_noise(spark):
     got = {r.doc_id: r for r in m.contract_scores(docs).collect()}
     bits = {i: -r.score / r.n_tokens for i, r in got.items()}
     assert max(b for i, b in bits.items() if i != 999) < bits[999]
+
+
+def test_memory_of_a_step():
+    """Cutting a step's text into grams needs at most 40 bytes a symbol beside the text."""
+    column = pa.array([prose(i, 400) for i in range(300)])
+    n = sum(len(t.encode()) + 1 for t in column.to_pylist())
+    tracemalloc.start()
+    rows, _ = m.grams(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == n and peak < 40 * n

@@ -52,6 +52,8 @@ END_WORD = np.int64(0x0E0D)
 HOT_WORDS = 1 << 18
 #: Text bytes of one scoring step; more text means fewer distinct grams per byte.
 STEP_BYTES = 3 << 20
+#: Distinct grams that are predicted at once.
+SCORED_GRAMS = 50_000
 #: Distinct keys that a counting task holds before it hands them on.
 HELD_KEYS = 1_000_000
 GATES = (ORDERS * 4 * 8, 256)
@@ -80,10 +82,15 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins = ends + 1 - ORDERS - np.diff(bounds)
     for i in range(ORDERS - 1):
         symbol[begins + i] = False
+    del row, place
     key = np.zeros(len(padded), np.uint64)
     for back in range(ORDERS):
-        key[back:] |= padded[: len(padded) - back].astype(np.uint64) << np.uint64(8 * back)
-    return np.repeat(np.arange(n_rows), np.diff(bounds) + 1), key[symbol]
+        byte = padded[: len(padded) - back].astype(np.uint64)
+        byte <<= np.uint64(8 * back)
+        key[back:] |= byte
+        del byte
+    key = key[symbol]
+    return np.repeat(np.arange(n_rows, dtype=np.int32), np.diff(bounds) + 1), key
 
 
 def contexts(gram: np.ndarray) -> np.ndarray:
@@ -407,18 +414,22 @@ def _score_texts(docs: DataFrame, model, hot) -> DataFrame:
             sums = np.zeros(n_rows)
             for begin in range(0, n_rows, 1 << 16):  # row numbers share a key with the gram
                 part = (row >= begin) & (row < begin + (1 << 16)) if n_rows > 1 << 16 else slice(None)
-                both = np.sort((gram[part] << np.uint64(16)) | (row[part] - begin).astype(np.uint64))
-                name = both >> np.uint64(16)
-                first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+                both = gram[part] << np.uint64(16)
+                both |= (row[part] - begin).astype(np.uint64)
+                if n_rows <= 1 << 16:
+                    del row, gram  # one part is all
+                both.sort()
+                # Where the gram changes: some bit above the row's differs.
+                first = np.flatnonzero(np.r_[True, (both[1:] ^ both[:-1]) >= np.uint64(1 << 16)])
                 cost = np.empty(len(first))
-                for a in range(0, len(first), 100_000):
-                    cost[a : a + 100_000] = mixer.log2_probability(name[first[a : a + 100_000]])
-                del name
+                for a in range(0, len(first), SCORED_GRAMS):
+                    name = both[first[a : a + SCORED_GRAMS]] >> np.uint64(16)
+                    cost[a : a + SCORED_GRAMS] = mixer.log2_probability(name)
                 each = np.repeat(cost, np.diff(np.append(first, len(both))))
-                some = np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), weights=each)
+                both &= np.uint64(0xFFFF)
+                some = np.bincount(both.view(np.int64), weights=each)
                 sums[begin : begin + len(some)] += some
-                del both, each
-            del row, gram
+                del both, each, first, cost
             words = find_words(column)
             keys = words.hashes()
             at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
