@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, no_documents, odd_documents, odd_rows, prose
+from titlegauge.llm import common
 from titlegauge.llm import near_dup as m
 from titlegauge.llm.components import components
 
@@ -87,3 +89,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 500 for i in range(500, 540)}
+
+
+def test_batches_of_long_rows_are_bounded_by_bytes(spark):
+    """10,000 candidates with their sets would be one batch otherwise, whatever their size."""
+    long = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4_000).alias("text"))
+    sizes = common.id_and_text(long, "doc_id", "text").mapInArrow(
+        lambda batches: (common.record_batch(n=[b.num_rows], bytes=[b.nbytes]) for b in batches), "n long, bytes long"
+    )
+    row = sizes.agg(F.sum("n").alias("n"), F.max("bytes").alias("most")).first()
+    assert row.n == 2_000 and row.most <= 2 * common.ARROW_BYTES

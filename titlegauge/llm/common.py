@@ -16,13 +16,17 @@ from titlegauge.session import cut_lineage
 
 #: Text bytes that one Python step holds at once; a longer document makes a step of its own.
 STEP_BYTES = 4 << 20
+#: Bytes of a batch on its way between Spark and a Python worker (10,000 long rows would be many times that).
+ARROW_BYTES = 8 << 20
 
 
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers look for this package where the driver found it, besides their own path.
 
-    A cluster that does not share that folder gets the package by ``--py-files`` as usual.
+    A cluster that does not share that folder gets the package by ``--py-files`` as usual. Batches of
+    rows that they are sent are bounded by bytes, whatever the length of a row.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
