@@ -146,3 +146,18 @@ def test_blocks_of_a_hot_group_meet_in_small_cells(spark):
         cells[r.i, r.j][0].add(r.x)
         cells[r.i, r.j][1].add(r.y)
     assert len(cells) >= 60 and max(len(a) + len(b) for a, b in cells.values()) <= 2 * 80
+
+
+def test_repost_pairs_are_made_in_the_row(spark):
+    _, df = make_links(spark, 5)
+    assert "Join" not in pairs.repost_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_clean_titles_and_urls_once_per_page_or_document(spark, small_dir):
+    from titlegauge.operators import ingest
+    from titlegauge.sources import fixtures
+
+    per_post = ingest.external_links(fixtures.raw_links(spark, small_dir).drop("nurl", "clean"))
+    got = fixtures.links(spark, small_dir)
+    assert got.columns == per_post.columns
+    assert got.exceptAll(per_post).isEmpty() and per_post.exceptAll(got).isEmpty()
