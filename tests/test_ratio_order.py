@@ -58,3 +58,19 @@ def test_noise_of_an_empty_table(spark):
     schema = "sub string, nurl string, title string, score long, upvote_ratio double, num_comments long, created_utc long, id string"
     row = noise.time_matched_noise(spark.createDataFrame([], schema)).first()
     assert (row.n_all, row.median_all, row.n_matched, row.median_matched) == (0, None, 0, None)
+
+
+@pytest.mark.parametrize("few", [256, 20, 0], ids=["pairs", "some swept", "most swept"])
+def test_small_groups_pair_by_pair_give_the_same(spark, monkeypatch, few):
+    monkeypatch.setattr(m, "PAIR_ROWS", few)
+    rows = _rows(6)
+    got, (every, near) = _medians(spark, rows), _brute(rows)
+    assert got == {False: (len(every), statistics.median(every)), True: (len(near), statistics.median(near))}
+
+
+def test_small_groups_need_few_passes(spark, monkeypatch):
+    passes, counts = [], m.PairRatios.counts
+    monkeypatch.setattr(m.PairRatios, "counts", lambda self, bounds: passes.append(1) or counts(self, bounds))
+    rows = [(f"g{i % 9}", f"t{i}", 1.0 + i * i % 97, i % 48, 1) for i in range(90)]
+    assert _medians(spark, rows)[False] == (len(_brute(rows)[0]), statistics.median(_brute(rows)[0]))
+    assert len(passes) <= 7

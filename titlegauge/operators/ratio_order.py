@@ -4,7 +4,9 @@ The k-th smallest of all ratios is the least double that at least k + 1 pairs do
 pairs do not exceed a bound is a sweep: sorted by value, each cell looks up how much weight of its group
 lies between its own value and the bound times it. Positive doubles are ordered like their bits, so the
 interval that holds the answer is cut into ``PIECES`` by bits until one double is left: some twelve
-sweeps whatever the number of pairs. Several positions advance in the same sweeps.
+sweeps whatever the number of pairs. Several positions advance in the same sweeps. A group of few cells
+is cheaper pair by pair: its ratios are made in the task and counted between the bounds; if no group is
+larger, bounds cost next to nothing and the interval is cut into ``FINE_PIECES``.
 
 Two posts are time-matched if both are on a weekend or both are not and their hours are near on the
 24-hour circle: a cell looks up the classes (hour, weekend) within reach of its own.
@@ -28,6 +30,8 @@ from titlegauge.session import cut_lineage, let_workers_import
 
 #: Cells of a group above which it is cut, cells of a task, and parts of an interval per sweep.
 BLOCK_ROWS, TASK_ROWS, PIECES = 100_000, 200_000, 32
+#: Cells of a group up to which its pairs are made one by one, and parts of an interval if no group has more.
+PAIR_ROWS, FINE_PIECES = 256, 2_048
 HOURS, CLASSES = 24, 48
 UNIT = ["u1", "u2"]
 
@@ -88,14 +92,69 @@ class Sweep:
         return out
 
 
-def _sweep_of(rows: pa.Table) -> Sweep:
+def _near_classes() -> np.ndarray:
+    """Whether two time classes match; the last row and column (-1) are cells without a time."""
+    hour, weekend = np.arange(CLASSES) % HOURS, np.arange(CLASSES) // HOURS
+    gap = np.abs(hour[:, None] - hour)
+    near = np.zeros((CLASSES + 1, CLASSES + 1), bool)
+    near[:-1, :-1] = (np.minimum(gap, HOURS - gap) <= TIME_MATCH_HOURS) & (weekend[:, None] == weekend)
+    return near
+
+
+class FewCells:
+    """The cells of a task's small units, whose pairs are made one by one: each cell meets the next of its
+    unit, then the next but one, and so on."""
+
+    def __init__(self, unit, sign, x, time_class, n):
+        order = np.lexsort((x, unit))
+        self.unit, self.sign, self.x, self.n = unit[order], sign[order], x[order], n[order]
+        self.time_class = time_class[order]
+        self.near = _near_classes()
+
+    def twice_pairs(self, bounds: list[list[float]]) -> list[list[int]]:
+        """As ``Sweep.twice_pairs``, for the bounds of all pairs and those of the time-matched ones."""
+        asked = [np.unique(np.array(b, float)) for b in bounds]
+        # Sums of doubles are exact up to 2^53.
+        kind = float if float(self.n.sum()) ** 2 < 2**52 else object
+        found = [np.zeros(len(a) + 1, kind) for a in asked]
+        selves = [int((self.sign * self.n * self.n)[on].sum()) for on in (slice(None), self.time_class >= 0)]
+        first, step = np.arange(len(self.x)), 0
+        while len(first):
+            step += 1
+            first = first[first + step < len(self.x)]
+            first = first[self.unit[first] == self.unit[first + step]]
+            ratio = self.x[first + step] / self.x[first]
+            weight = 2 * self.sign[first] * self.n[first] * self.n[first + step]
+            matched = self.near[self.time_class[first], self.time_class[first + step]]
+            for i, on in enumerate((slice(None), matched)):
+                place = np.searchsorted(asked[i], ratio[on], side="left")
+                if kind is float:
+                    found[i] += np.bincount(place, weight[on], len(found[i]))
+                else:
+                    np.add.at(found[i], place, weight[on].astype(object))
+        out = []
+        for b, a, part, own in zip(bounds, asked, found, selves, strict=True):
+            upto = np.cumsum(part)
+            out.append([int(upto[i]) + own for i in np.searchsorted(a, b)])
+        return out
+
+
+def _twice_pairs(rows: pa.Table, bounds: list[list[float]]) -> list[list[int]]:
+    """For each of (all, time-matched), the signed pairs of a task within each bound, as counted by ``Sweep``."""
     u1, u2 = (rows[c].to_numpy() for c in UNIT)
     order = np.lexsort((u2, u1))
     new = np.r_[True, (np.diff(u1[order]) != 0) | (np.diff(u2[order]) != 0)][: len(order)]
     unit = np.empty(len(order), np.int64)
     unit[order] = np.cumsum(new) - 1
-    columns = [rows[c].to_numpy() for c in ("sign", "x", "time_class", "n", "as_a", "as_b")]
-    return Sweep(unit, *columns)
+    columns = [unit, *(rows[c].to_numpy() for c in ("sign", "x", "time_class", "n"))]
+    as_a, as_b = rows["as_a"].to_numpy(), rows["as_b"].to_numpy()
+    few = (np.bincount(unit) <= PAIR_ROWS)[unit] & as_a & as_b
+    out = FewCells(*[c[few] for c in columns]).twice_pairs(bounds)
+    if not few.all():
+        sweep = Sweep(*[c[~few] for c in columns], as_a[~few], as_b[~few])
+        more = [sweep.twice_pairs(b, matched) for b, matched in zip(bounds, (False, True), strict=True)]
+        out = [[p + q for p, q in zip(*parts, strict=True)] for parts in zip(out, more, strict=True)]
+    return out
 
 
 class PairRatios:
@@ -123,8 +182,12 @@ class PairRatios:
         self.dealt = self._dealt(summary["rows"])
 
     def _dealt(self, rows: int) -> DataFrame:
-        sizes = self.cells.groupBy(*UNIT, "sign").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK_ROWS)
-        cuts = sizes.select(*UNIT, "sign", F.ceil(F.col("_n") / BLOCK_ROWS).cast("long").alias("_blocks"))
+        counted = self.cells.groupBy(*UNIT, "sign").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = cut_lineage(counted.filter(F.col("_n") > min(PAIR_ROWS, BLOCK_ROWS)))
+        self.pieces = FINE_PIECES if sizes.isEmpty() else PIECES
+        cuts = sizes.filter(F.col("_n") > BLOCK_ROWS).select(
+            *UNIT, "sign", F.ceil(F.col("_n") / BLOCK_ROWS).cast("long").alias("_blocks")
+        )
         cut = lookup_join(self.cells, cuts, [*UNIT, "sign"], how="left", spread=["x", "time_class"])
         whole = cut.filter(F.col("_blocks").isNull()).select(
             *self.cells.columns, F.lit(True).alias("as_a"), F.lit(True).alias("as_b"),
@@ -153,8 +216,7 @@ class PairRatios:
         wanted = {m: [b for matched, b in bounds if matched == m] for m in (False, True)}
 
         def run(rows: pa.Table) -> pa.Table:
-            sweep = _sweep_of(rows)
-            found = [sweep.twice_pairs(wanted[m], m) for m in (False, True)]
+            found = _twice_pairs(rows, [wanted[m] for m in (False, True)])
             return pa.table({
                 "matched": pa.array([m for m in (False, True) for _ in wanted[m]], pa.bool_()),
                 "place": pa.array([i for m in (False, True) for i in range(len(wanted[m]))], pa.int32()),
@@ -190,8 +252,8 @@ class PairRatios:
         while any(high - low > 1 for low, high in inside.values()):
             cuts: dict[tuple[bool, float], int] = {}
             for (matched, _), (low, high) in inside.items():
-                for i in range(1, PIECES):
-                    at = low + (high - low) * i // PIECES
+                for i in range(1, self.pieces):
+                    at = low + (high - low) * i // self.pieces
                     if low < at < high:
                         cuts[matched, _double(at)] = at
             counted = self.counts(sorted(cuts))
