@@ -35,6 +35,12 @@ def test_clean_posts_policies(spark):
         ingest.clean_posts(raw, bad_time="other")
 
 
+def test_a_title_is_cleaned_once(spark):
+    raw = spark.createDataFrame([("1", " a  b ", "s", "3", "x", "1700000000")], RAW)
+    plan = ingest.clean_posts(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_quota_limits_hold_and_nothing_eligible_is_lost(spark):
     rng = random.Random(1)
     rows = [
