@@ -47,6 +47,20 @@ def test_repost_pairs_equal_brute_force(spark, seed, cap):
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
+@pytest.mark.parametrize("seed, plain, block", [(1, 5, 20), (2, 12, 7), (3, 0, 3), (4, 90, 20)])
+def test_large_groups_are_pruned_in_parts(spark, seed, plain, block):
+    _, df = make_links(spark, seed)
+    whole = {tuple(r) for r in pairs.repost_pairs(df, 3, plain=10_000).collect()}
+    assert {tuple(r) for r in pairs.repost_pairs(df, 3, plain, block).collect()} == whole
+
+
+def test_posts_of_plain_groups_are_shuffled_once(spark):
+    _, df = make_links(spark, 1)
+    found = pairs.repost_pairs(df.filter("nurl != 'hot'"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_ten_of_fifteen(spark):
     rows = [("s", "u", f"t{i}", i, 0.5, 1, i, 100 - i) for i in range(6)]
     assert pairs.repost_pairs(spark.createDataFrame(rows, LINK)).count() == 10
