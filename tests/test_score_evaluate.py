@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from titlegauge.operators import evaluate, features, score
+from titlegauge.plans import pair_study
+from titlegauge.functions.text import with_structural
 
 
 def test_confidence_levels(spark):
@@ -163,3 +165,43 @@ def test_sums_equal_gathered_features(spark):
     assert listed(cells) == listed(one_by_one)
     plan = summed._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_scored_pairs_shuffle_no_titles(spark):
+    pairs = spark.createDataFrame(
+        [("s", "a", "b"), ("s", "b", None), ("t", "a", "b")], "subreddit string, title_win string, title_lose string"
+    )
+    bands = spark.createDataFrame(
+        [("s", "a", 1.0), ("s", "b", 2.0), ("s", None, 3.0)], "subreddit string, title string, band double"
+    )
+    scored = evaluate.scored_pairs(pairs, bands)
+    assert [tuple(r) for r in scored.collect()] == [("s", "a", "b", 1.0, 2.0)]
+    read = evaluate.scored_pairs(pairs.hint("merge"), bands.hint("merge")).select("subreddit", "band_win", "band_lose")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("title" in line for line in moved)
+
+
+def test_titles_of_pairs_are_scored_once(spark):
+    pairs = spark.createDataFrame([("s", "go", "stop")], "subreddit string, title_win string, title_lose string")
+    bands = pair_study.title_bands(pairs, model(spark))
+    plan = bands._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and {r.title for r in bands.collect()} == {"go", "stop"}
+
+
+@pytest.mark.parametrize("analyzer", [None, "word"])
+def test_pair_differences_move_titles_only(spark, analyzer):
+    pairs = spark.createDataFrame([(1, "Go on 3", "stop?"), (2, "calm!", "go go")], "k long, title_a string, title_b string")
+    community = F.lit("all")
+    titles = features.pair_titles(pairs, ["k"], community).withColumn("id", F.col("k"))
+    space = features.fit_space(titles, 1, 100, analyzer)
+    found = features.pair_differences(pairs, space, ["k"], community, analyzer)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and found.count() > 0
+
+
+def test_letters_are_counted_once(spark):
+    found = with_structural(spark.createDataFrame([("Go ON 3",)], "title string")).select("caps_ratio")
+    assert found.first()[0] == pytest.approx(3 / 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^\\p{L}]+") == 1

@@ -110,3 +110,12 @@ def test_verdicts(spark):
     for band, expected in [(75.0, "strong"), (74.9, "above average"), (50.0, "above average"),
                            (25.0, "below average"), (24.9, "weak")]:
         assert one(spark, values.verdict, band, "double") == expected
+
+
+def test_gaps_of_every_kind_are_found(spark):
+    spaces = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    others = "\x00\x1b\x7f\x84\x86\xa1\u167f\u1681\u1fff\u200b\u2027\u202a\u202e\u2030\u205e\u2060\u2fff\u3001\uffff\U0001f600\U0010ffff"
+    rows = [(f"a{c}b", "a b") for c in spaces] + [(f"a {c} b{c}", "a b") for c in spaces]
+    rows += [(f"a{c}b", f"a{c}b") for c in others] + [("  a  b c ", "a b c"), ("a b", "a b"), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [(r.t, r.got) for r in df.select("t", text.collapse_spaces(F.col("t")).alias("got")).collect()] == rows
