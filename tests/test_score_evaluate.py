@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from titlegauge.functions.text import with_structural
 from titlegauge.operators import evaluate, features, score
 from titlegauge.plans import pair_study
-from titlegauge.functions.text import with_structural
+from titlegauge.session import cut_lineage
 
 
 def test_confidence_levels(spark):
@@ -194,7 +195,7 @@ def test_pair_differences_move_titles_only(spark, analyzer):
     pairs = spark.createDataFrame([(1, "Go on 3", "stop?"), (2, "calm!", "go go")], "k long, title_a string, title_b string")
     community = F.lit("all")
     titles = features.pair_titles(pairs, ["k"], community).withColumn("id", F.col("k"))
-    space = features.fit_space(titles, 1, 100, analyzer)
+    space = cut_lineage(features.fit_space(titles, 1, 100, analyzer))
     found = features.pair_differences(pairs, space, ["k"], community, analyzer)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and found.count() > 0
