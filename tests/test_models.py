@@ -226,3 +226,40 @@ def test_products_in_blocks_are_those_of_the_matrix(monkeypatch):
     v, w = rng.normal(size=9), rng.normal(size=40)
     assert np.allclose(chunk.times(v), x @ v) and np.allclose(chunk.back(w, 9), w @ x)
     assert np.allclose(np.concatenate([wide for wide, _ in chunk.dense(9)]), x)
+
+
+def test_steps_over_few_features_do_not_read_the_rows_again(monkeypatch):
+    """Products of few columns are summed once; of many, cells lie in order of row and of feature."""
+    rng = np.random.default_rng(5)
+    x, y, fold = rng.normal(size=(60, 6)), rng.normal(size=60), rng.integers(0, 2, 60)
+    x[:, 1] += 50
+    row, idx = np.nonzero(np.ones_like(x))
+    # A feature that a row holds twice counts twice.
+    twice = np.append(row, row[:6]), np.append(idx, idx[:6]), np.append(x.ravel(), x.ravel()[:6])
+    order = np.argsort(twice[0], kind="stable")
+    cells = [c[order] for c in twice]
+    x[0] *= 2
+    chunk = lambda: ridge_fit.Chunk(*cells, y, fold)
+    monkeypatch.setattr(ridge_fit, "GRAM_FEATURES", 5)
+    rows = chunk()
+    by_rows = ridge_fit._solved_here(rows, 6, 3, (0.1, 10.0))
+    assert rows.turned is not None
+    monkeypatch.setattr(ridge_fit, "GRAM_FEATURES", 6)
+    monkeypatch.setattr(ridge_fit.Chunk, "times", lambda *_: pytest.fail("the rows are read in a step"))
+    by_grams = ridge_fit._solved_here(chunk(), 6, 3, (0.1, 10.0))
+    assert np.allclose(by_rows.solution, by_grams.solution, atol=1e-7)
+    for a, alpha in enumerate((0.1, 10.0)):
+        assert np.allclose(by_grams.solution[-1, a], ridge(x, y, alpha)[0], atol=1e-7)
+
+
+def test_turned_cells_give_the_same_sums(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 11)) * (rng.random((30, 11)) < 0.3)
+    x[4] = x[29] = 0.0
+    x[:, 2] = x[:, 10] = 0.0
+    row, idx = np.nonzero(x)
+    chunk = ridge_fit.Chunk(row, idx, x[row, idx], np.zeros(30))
+    monkeypatch.setattr(ridge_fit, "STRETCH_CELLS", 4)
+    chunk.turn()
+    v, w = rng.normal(size=11), rng.normal(size=30)
+    assert np.allclose(chunk.times(v), x @ v) and np.allclose(chunk.back(w, 11), w @ x)
