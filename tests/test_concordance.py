@@ -43,3 +43,25 @@ def test_groups_cut_into_blocks_give_the_same(spark, monkeypatch):
         got = {(r.g, r.h): r.pairs for r in m.ordered_pairs(df, ["g", "h"], "x", "y").collect()}
         assert {k: v for k, v in got.items() if k[0]} == {k: v for k, v in want.items() if k[0]}
     assert m.ordered_pairs(df.limit(0), ["g", "h"], "x", "y").collect() == []
+
+
+def test_slots_are_told_apart_in_the_task(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [
+        (rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(30) / 2, float(rng.randrange(6)), rng.getrandbits(5), 1 << rng.randrange(5))
+        for _ in range(200)
+    ] + [("z", 1.0, 1.0, 3, 3), ("z", 1.0, 2.0, 3, 3), ("y", 0.0, 0.0, 1 << 62, 0), ("y", -1.0, -1.0, 0, 1 << 62)]
+    want = {}
+    for g, x, y, first, _ in rows:
+        for g2, x2, y2, _, second in rows:
+            if g == g2 and x > x2 and y > y2:
+                for slot in range(63):
+                    if first & second & 1 << slot:
+                        want[g, slot > 0] = want.get((g, slot > 0), 0) + 1
+    df = spark.createDataFrame(rows, "g string, x double, y double, first long, second long")
+    for limit, step in ((50_000, 50_000), (50_000, 30), (40, 50_000)):
+        monkeypatch.setattr(m, "BLOCK_ROWS", limit)
+        monkeypatch.setattr(m, "STEP_ROWS", step)
+        monkeypatch.setattr(m, "CUTS", 5)
+        got = {(r.g, r.slotted): r.pairs for r in m.ordered_pairs(df, ["g"], "x", "y").collect()}
+        assert got == want
