@@ -263,3 +263,35 @@ def test_turned_cells_give_the_same_sums(monkeypatch):
     chunk.turn()
     v, w = rng.normal(size=11), rng.normal(size=30)
     assert np.allclose(chunk.times(v), x @ v) and np.allclose(chunk.back(w, 11), w @ x)
+
+
+def test_equations_are_added_to_a_table_or_found_by_sorting(monkeypatch):
+    from titlegauge.operators import logit
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(25, 6)) * (rng.random((25, 6)) < 0.5)
+    y, weight, theta = (rng.random(25) < 0.5).astype(float), rng.integers(1, 4, 25).astype(float), rng.normal(size=7)
+    row, idx = np.nonzero(x)
+    value = x[row, idx]
+    # The features of a row in any order, one of them twice.
+    order = np.lexsort((rng.random(len(row)), row))
+    row, idx, value = row[order], idx[order], value[order]
+    x[row[0], idx[0]] += 1.5
+    row, idx, value = np.r_[row[0], row], np.r_[idx[0], idx], np.r_[1.5, value]
+    wide = np.column_stack([x, np.ones(25)])
+    p = 1 / (1 + np.exp(-wide @ theta))
+    want = (wide * (weight * p * (1 - p))[:, None]).T @ wide
+    monkeypatch.setattr(logit, "PRODUCTS", 30)
+    for cells in (logit.TABLE_CELLS, 1):
+        monkeypatch.setattr(logit, "TABLE_CELLS", cells)
+        if cells > 1:
+            monkeypatch.setattr(np, "unique", lambda *_, **__: pytest.fail("sorted"))
+        keys, (sums,) = logit._equations(ridge_fit.Chunk(row, idx, value, y, weight=weight), theta)
+        monkeypatch.undo() if cells > 1 else None
+        monkeypatch.setattr(logit, "PRODUCTS", 30)
+        table = np.zeros((7, 7))
+        np.add.at(table.reshape(-1), keys[keys >= 0], sums[keys >= 0])
+        assert np.allclose(table, np.triu(want))
+        gradient = np.zeros(7)
+        gradient[-2 - keys[keys < -1]] = sums[keys < -1]
+        assert np.allclose(gradient, wide.T @ (weight * (p - y)))
