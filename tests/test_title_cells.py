@@ -72,3 +72,22 @@ def test_boundaries_are_found_before_rows_are_marked(spark):
     plan = marked._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
     assert {r.id for r in marked.filter("low").collect()} == {*range(0, 100, 10), 1, 11, 21, 31, 41}
+
+
+def test_pairs_are_arrays_of_differences(spark):
+    space = spark.createDataFrame(ROWS, SPACE)
+    pairs = spark.createDataFrame(
+        [(1, "go stop", "stop go go"), (2, None, "x y z"), (3, "go", "go")], "k int, title_a string, title_b string"
+    )
+    found = features.pair_features(pairs, space, ["k"], F.lit("s"), "word", ["kind", "feature", "value", "coef"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "explode_outer" not in plan
+    got = {r.k: {f.feature: (round(f.value, 9), f.coef) for f in r.features} for r in found.collect()}
+    length = math.hypot(2.0, 3.0)
+    assert got[1] == {
+        "n_words": (-0.5, 0.1), "go": (round(2 / length - 1, 9), 0.5), "go stop": (round(3 / length, 9), -1.0),
+    }
+    assert got[2] == {"n_words": (-1.5, 0.1)} and got[3] == {"n_words": (0.0, 0.1), "go": (0.0, 0.5)}
+    flat = features.pair_differences(pairs, space, ["k"], F.lit("s"), "word", ["coef"])
+    assert flat.columns == ["k", "kind", "feature", "coef", "value"]
+    assert {(r.k, r.feature): (round(r.value, 9), r.coef) for r in flat.collect()} == {(k, f): v for k, c in got.items() for f, v in c.items()}
