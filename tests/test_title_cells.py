@@ -62,6 +62,7 @@ def test_cells_of_titles(spark, monkeypatch):
     # Chunks of one title each give the same.
     monkeypatch.setattr(title_cells, "CHUNK_TEXT", 1)
     monkeypatch.setattr(title_cells, "LEAST_TEXT", 1)
+    monkeypatch.setattr(title_cells, "BROADCAST_BYTES", 0)
     parts = features.weighted_sums(titles(spark), space, keys, "word_char", "embedding")
     assert {(r.subreddit, r.id): round(r.prediction, 9) for r in parts.collect()} == {k: round(v, 9) for k, v in totals.items()}
 
